@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matrix_packing, online_packing
+from . import digest, matrix_packing, online_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op3_packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix_packing.packed_matrix(_table(spark, sf_dir, "documents"))
 
 
+def op5_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.neighbour_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack_documents(_table(spark, sf_dir, "documents"))
 
