@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, matrix_packing, mixing, online_packing, pii_crf
+from . import digest, matrix_packing, mixing, online_packing, pii_crf, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draws(_table(spark, sf_dir, "documents"))
 
 
+def op7_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
