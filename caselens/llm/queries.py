@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, digest, matrix_packing, mixing, online_packing, pii_crf, quality, toxicity
+from . import chosen_path, digest, matrix_packing, mixing, online_packing, pii_crf, quality, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.groups(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
