@@ -173,7 +173,7 @@ def top_k(rows: DataFrame, is_query: Column, *, k: int = K, block: int = BLOCK,
     queries = x.where("q").withColumn("part", F.pmod(F.xxhash64("v", "vec_id", F.lit(1)), F.lit(groups)).cast("int")).select("block", "part", "vec_id", "v")
 
     def meet(left: DataFrame) -> DataFrame:
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
+        def run(frame):
             q, d = frame[frame["asks"]], frame[~frame["asks"]]
             if not len(q) or not len(d):
                 return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0, "int64")})

@@ -179,7 +179,7 @@ def fit(described: DataFrame, labels: DataFrame, *, label: str = "quality", feat
         if gram[0, -1]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int32()), pa.array(list(gram), pa.list_(pa.float64()))], ["i", "v"])
 
-    def add(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def add(key, frame):
         return pd.DataFrame({"i": [key[0]], "v": [np.sum(np.stack(frame["v"].to_list()), axis=0)]})
 
     rows = train.mapInArrow(equations, "i int, v array<double>").groupBy("i").applyInPandas(add, "i int, v array<double>").collect()
