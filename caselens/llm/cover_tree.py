@@ -36,7 +36,7 @@ K = 5
 SCALE = 256
 BLOCK = 4096
 QUERY_BLOCK = 4096
-LEAF = 48
+LEAF = 256
 FAN = 8
 _LONG = np.iinfo(np.int64)
 
@@ -87,18 +87,32 @@ class Best:
         self.k = k
         self.score = np.full((n, k), _LONG.min, np.int64)
         self.id = np.full((n, k), _LONG.max, np.int64)
-        self.floor = np.full(n, -np.inf) if floor is None else floor.astype(np.float64)
+        floor = np.full(n, -np.inf) if floor is None else floor
+        self.floor = np.array([_LONG.min if f == -np.inf else int(f) for f in floor.tolist()], np.int64)
+
+    def least(self, rows: np.ndarray) -> np.ndarray:
+        """What a score must reach to matter to each of the queries."""
+        return np.maximum(np.where(self.id[rows, -1] == _LONG.max, _LONG.min, self.score[rows, -1]), self.floor[rows])
 
     def worst(self, rows: np.ndarray) -> float:
-        """The score that something must reach to matter to any of the queries."""
-        kth = np.where(self.id[rows, -1] == _LONG.max, -np.inf, self.score[rows, -1].astype(np.float64))
-        return float(np.maximum(kth, self.floor[rows]).min())
+        least = self.least(rows).min()
+        return -np.inf if least == _LONG.min else float(least)
 
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        score = np.hstack([self.score[rows], np.where(own, _LONG.min, score)])
-        ids = np.hstack([self.id[rows], np.where(own, _LONG.max, np.broadcast_to(ids, own.shape))])
-        first = np.lexsort((ids, ~score), axis=-1)[:, : self.k]
-        self.score[rows], self.id[rows] = np.take_along_axis(score, first, 1), np.take_along_axis(ids, first, 1)
+        score = np.where(own, _LONG.min, score)
+        least = self.least(rows)
+        if score.shape[1] > self.k:
+            least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
+        q, c = np.nonzero((score >= least[:, None]) & ~own)
+        if not len(q):
+            return
+        hit = np.unique(q)
+        row = np.concatenate([np.repeat(hit, self.k), q])
+        value = np.concatenate([self.score[rows[hit]].ravel(), score[q, c]])
+        name = np.concatenate([self.id[rows[hit]].ravel(), ids[c]])
+        order = np.lexsort((name, ~value, row))
+        first = np.searchsorted(row[order], hit)[:, None] + np.arange(self.k)
+        self.score[rows[hit]], self.id[rows[hit]] = value[order[first]], name[order[first]]
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -134,7 +148,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
             continue
         if not a.children[i] and not b.children[j]:
             cols = b.rows[j]
-            best.add(rows, products(queries[rows], data[cols]), data_ids[cols][None, :], query_ids[rows][:, None] == data_ids[cols][None, :])
+            best.add(rows, products(queries[rows], data[cols]), data_ids[cols], query_ids[rows][:, None] == data_ids[cols][None, :])
             continue
         wide = b.children[j] and (not a.children[i] or b.radius[j] >= a.radius[i])
         pairs = [(i, c) for c in b.children[j]] if wide else [(c, j) for c in a.children[i]]
@@ -180,7 +194,7 @@ def top_k(rows: DataFrame, is_query: Column, *, k: int = K, block: int = BLOCK,
             width = max(max(map(len, frame["v"])), 1)
             ids = q["vec_id"].to_numpy()
             best = search(_dense(q["v"], width), ids, _dense(d["v"], width), d["vec_id"].to_numpy(), k, q["floor"].to_numpy())
-            found = (best.id != _LONG.max) & (best.score.astype(np.float64) >= best.floor[:, None])
+            found = (best.id != _LONG.max) & (best.score >= best.floor[:, None])
             return pd.DataFrame({"query_id": np.repeat(ids, k)[found.ravel()], "vec_id": best.id[found], "score": best.score[found]})
 
         asked = left.select("block", "part", "vec_id", "v", "floor", F.lit(True).alias("asks"))
