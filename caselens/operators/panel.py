@@ -45,7 +45,7 @@ def simplex(v):
     return np.maximum(v - (s[:k].sum() - 1) / k, 0)
 
 
-def control_weights(treated, donors, steps: int = 20_000, tolerance: float = 1e-12):
+def control_weights(treated, donors, steps: int = 20_000, tolerance: float = 1e-10):
     """Donor weights on the simplex that best reproduce the treated unit's path, by accelerated projected gradient."""
     import numpy as np
 
