@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples (operator 9).
 
 A bounded sample of labelled rows gives the examples (at most EXAMPLES of each
-label, by a hash of doc_id) and the terms: words, A-Z lower-cased, whose
-presence goes with the label by a log-likelihood ratio over MIN_RATIO. Document
+label, by a hash of doc_id) and the terms: words and longer words' first STEMS
+bytes, A-Z lower-cased, whose presence goes with the label by the TERMS highest
+log-likelihood ratios of at least MIN_RATIO. Document
 frequencies of the terms are counted over all documents. Every document becomes
 a TF-IDF vector over the terms, and its NEIGHBOURS nearest examples by cosine
 are found exactly in an inverted index whose postings are cut into blocks of
@@ -33,7 +34,8 @@ from . import bytesops, isotonic, storage
 from .quality import is_held_out
 
 EXAMPLES = 4096
-TERMS = 1024
+TERMS = 128
+STEMS = (5,)
 MIN_RATIO = 24.0
 NEIGHBOURS = 24
 THRESHOLD = 0.5
@@ -52,12 +54,12 @@ def _terms_of(docs: DataFrame, known: np.ndarray) -> DataFrame:
             numbers: list[list[int]] = [[] for _ in range(batch.num_rows)]
             times: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for first, last in bytesops.row_blocks(offs):
-                words, at = bytesops.word_hashes(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first])
+                words, rows = bytesops.term_hashes(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first], STEMS)
                 here = np.flatnonzero(maybe[(words >> np.uint64(48)).astype(np.int64)])
                 slot = np.searchsorted(known, words[here])
                 slot[slot == len(known)] = 0
                 hit = known[slot] == words[here] if len(known) else np.zeros(len(here), bool)
-                row = np.searchsorted(at, here[hit], "right") - 1
+                row = rows[here[hit]]
                 pairs, n = np.unique(row * len(known) + slot[hit], return_counts=True)
                 for p, c in zip(pairs.tolist(), n.tolist(), strict=True):
                     numbers[first + p // len(known)].append(p % len(known))
@@ -75,10 +77,13 @@ def _distinct_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             buf, offs = bytesops.text_bytes(batch.column(1))
             for first, last in bytesops.row_blocks(offs):
-                words, at = bytesops.word_hashes(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first])
-                sets = [np.unique(words[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                y = np.repeat(batch.column(0).to_numpy()[first:last], [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))], ["y", "word"])
+                words, rows = bytesops.term_hashes(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first], STEMS)
+                order = np.lexsort((words, rows))
+                words, rows = words[order], rows[order]
+                new = np.ones(len(words), bool)
+                new[1:] = (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])
+                y = batch.column(0).to_numpy()[first + rows[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(words[new].view(np.int64))], ["y", "word"])
 
     return docs.select("y", "text").mapInArrow(run, "y int, word long")
 
