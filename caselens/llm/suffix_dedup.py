@@ -325,6 +325,8 @@ def drop_repeats(docs: DataFrame, **how) -> DataFrame:
     """The rows and columns of ``docs`` with repeated bytes taken out of ``text``;
     a character that loses a byte goes whole."""
 
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, texts = batch.column(0), []
@@ -336,7 +338,7 @@ def drop_repeats(docs: DataFrame, **how) -> DataFrame:
                         at = b
                     text = "".join([*kept, raw[at:].decode("utf-8", "ignore")])
                 texts.append(text)
-            columns = [pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return _with_spans(docs, **how).mapInArrow(run, docs.schema)
