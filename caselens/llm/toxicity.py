@@ -70,6 +70,19 @@ def _terms_of(docs: DataFrame, known: np.ndarray) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, terms array<int>, times array<int>")
 
 
+def _frequencies(every: DataFrame, n_terms: int) -> DataFrame:
+    """(t, n): how many documents have each term, counted in tasks before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["t", "n"])
+
+    return every.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def _distinct_words(docs: DataFrame) -> DataFrame:
     """A row per distinct word of each text: y, word (its hash as a long)."""
 
@@ -194,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: i
     every = storage.materialize(_terms_of(docs, terms), "terms")
     n_docs = every.count()
     df = np.zeros(len(terms))
-    for r in every.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
+    for r in _frequencies(every, len(terms)).collect():
         df[r["t"]] = r["n"]
     rows = _terms_of(sample, terms).join(F.broadcast(sample.select("doc_id", "y")), "doc_id").collect()
     first = [(int(np.argmin(df[r["terms"]])) if r["terms"] else -1) for r in rows]
