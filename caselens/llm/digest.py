@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from . import storage
 
-BUCKETS = 256
+BUCKETS = 1024
 #: Code differences of 0 to 3 quartiles, the largest counted double.
 _STEP = np.array([0, 1, 2, 6], np.int64)
-#: What two unrelated digests differ by on average; at and beyond it likeness is 0.
-_FAR = 1.5 * BUCKETS
+#: About what digests of unrelated texts of one language differ by; at and beyond it likeness is 0.
+_FAR = 0.8 * BUCKETS
 
 
 def codes(data: bytes) -> np.ndarray:
@@ -40,7 +40,7 @@ def codes(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(BUCKETS + 1, np.uint8)
     b = np.frombuffer(data + b"\0\0", np.uint8).astype(np.uint32)
-    hashed = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(2654435761) >> np.uint32(24)
+    hashed = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(2654435761) >> np.uint32(33 - BUCKETS.bit_length())
     count = np.bincount(hashed, minlength=BUCKETS)
     order = np.sort(count)
     cuts = order[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
