@@ -46,7 +46,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import aggregates, models, ordered, projections, relations, simulation  # noqa: F401
+    from . import aggregates, extras, models, ordered, projections, relations, simulation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
