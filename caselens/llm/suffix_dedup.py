@@ -260,7 +260,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     """(name, n_bytes, spans) of texts with repeats: a text's name is a digest of it; spans are in bytes, unmerged."""
     runs = storage.materialize(_runs(docs, length, gram), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y")).where("n > 1")
-    met = storage.materialize(runs.join(keys.select("key", (F.col("x") != F.col("y")).alias("mixed")), "key"), "met")
+    # As a table of its own, so that Spark can split a leader that many runs share when it joins them.
+    keys = storage.materialize(keys.select("key", (F.col("x") != F.col("y")).alias("mixed")), "keys")
+    met = storage.materialize(runs.join(keys, "key"), "met")
     covered = [(F.col("begin")).alias("first"), (F.col("begin") + F.col("windows") - 1 + length).alias("last")]
     whole = met.where("NOT mixed").select("name", "n_bytes", *covered)
     one = F.min(F.struct("doc_id", "name", "n_bytes", "begin", "windows", "lead")).alias("r")
