@@ -177,5 +177,9 @@ def mix(docs: DataFrame, *, seed: int = 0, shards: int = SHARDS, **how) -> DataF
     names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("source").cast("string").alias("source"), _rank(seed).alias("rank"))
     out = _drawn(keyed, cut, shard_of).select("_row", "rank", F.posexplode("shards").alias("copy", "shard"))
-    order = F.xxhash64(F.lit(seed + 202), "shard", "rank", "copy")
-    return out.repartition("shard").sortWithinPartitions("shard", order).select(*names)
+    # A shard is a number of files that follows the session's partitions, so a task's part of the data needn't grow.
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = -(-parts // shards)
+    out = out.withColumn("order", F.xxhash64(F.lit(seed + 202), "shard", "rank", "copy"))
+    out = out.withColumn("file", F.pmod("order", F.lit(files)))
+    return out.repartition(parts, "shard", "file").sortWithinPartitions("shard", "file", "order").select(*names)
