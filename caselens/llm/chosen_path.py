@@ -6,10 +6,15 @@ a set walks down from the root: a node's own hash function picks the lowest
 token of the set, and that token leads to the child, so two sets stay together
 at a step with a chance of their Jaccard similarity. After DEPTH steps, sets on
 one path form a node. A node of at most LIMIT sets is compared exhaustively in
-one task. A larger one branches again by the path of the next tree, and what is
-still larger is dealt into parts of about LIMIT / 2 sets that all hold the
-node's smallest document, differently in every tree. A pair at the threshold is
-missed with a chance of (1 - 0.8 ** DEPTH) ** TREES, about 0.001.
+one task. A larger one is first thinned: it branches again by the path of the
+next tree, and what is still larger is dealt into parts of about LIMIT / 2 sets
+that all hold the node's smallest document, differently in every tree. What
+these links leave in different components is then compared whole, part against
+part of about 2 * LIMIT sets each, so every two sets of a node are compared or
+already linked. Only parts of one component, and parts whose sizes rule a link
+out, skip each other. A pair at the threshold is missed with a chance of
+(1 - 0.8 ** DEPTH) ** TREES, about 0.001, whatever the size of its nodes; the
+work in a node grows with the square of the sets left in different components.
 
 Comparisons use the full sets. Only a spanning forest of a node's links leaves
 its task, and nodes with the same members in several trees are compared once.
@@ -39,6 +44,7 @@ PERCENT = 80
 TREES = 10
 DEPTH = 3
 LIMIT = 256
+PART = 1 << 21
 
 
 def _paths(tokens: np.ndarray, trees: int, depth: int) -> np.ndarray:
@@ -78,14 +84,15 @@ def _sketches(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, paths array<long>")
 
 
-def _nodes(classes: DataFrame, trees: int, limit: int) -> DataFrame:
-    """(node, rep) of nodes with two members or more and about ``limit`` at most."""
+def _nodes(classes: DataFrame, trees: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(node, rep) of nodes with two members or more and about ``limit`` at most, and of whole larger ones."""
     at = classes.select("rep", "paths", F.posexplode("paths").alias("tree", "node"))
     at = storage.materialize(at.select("rep", "node", F.xxhash64("node", F.get("paths", (F.col("tree") + 1) % trees)).alias("deeper")), "paths")
     sizes = at.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     met = storage.materialize(at.join(sizes, "node"), "met")
     small = met.where(F.col("n") <= limit).select("node", "rep")
-    large = met.where(F.col("n") > limit).select(F.col("deeper").alias("node"), "rep")
+    whole = met.where(F.col("n") > limit)
+    large = whole.select(F.col("deeper").alias("node"), "rep")
     sizes = large.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
     large = large.join(sizes, "node")
     split = large.where(F.col("n") <= limit).select("node", "rep")
@@ -93,7 +100,36 @@ def _nodes(classes: DataFrame, trees: int, limit: int) -> DataFrame:
     huge = large.where(F.col("n") > limit).select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), parts)).alias("node"), "rep", "first")
     # The first document of a node joins each of its parts.
     joined = huge.select("node", F.col("first").alias("rep")).distinct()
-    return small.unionAll(split).unionAll(huge.select("node", "rep")).unionAll(joined)
+    return small.unionAll(split).unionAll(huge.select("node", "rep")).unionAll(joined), whole.select("node", "rep")
+
+
+def _open_pairs(whole: DataFrame, classes: DataFrame, component: DataFrame, *, percent: int, limit: int) -> DataFrame:
+    """(node, rep) of every two parts of a large node that may still hold an unknown link between components."""
+    most = 2 * limit
+    rows = whole.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    rows = rows.join(classes.select("rep", "n_shingles"), "rep").select("node", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    held = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
+    # A node within one component has nothing left to find.
+    still = held.groupBy("node").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") <= most, F.col("n"))).alias("rest")).where("k > 1").select("node", "rest")
+    rows = rows.join(held, ["node", "component"]).join(still, "node")
+    # A component of more than a part has parts of its own; the others share some, with alike sizes together.
+    own = F.col("n") > most
+    band = F.when(own | (F.col("rest") > most), F.floor(3 * F.log2("n_shingles"))).otherwise(0).alias("band")
+    rows = rows.select("node", "rep", "n_shingles", own.alias("own"), F.when(own, F.col("component")).otherwise(0).alias("owner"), band)
+    # A part is bounded by its number of sets and by their shingles.
+    cells = rows.groupBy("node", "own", "owner", "band").agg(F.ceil(F.greatest(F.count("*") / most, F.sum("n_shingles") / PART)).alias("parts"))
+    name = F.xxhash64("node", "own", "owner", "band", F.pmod(F.xxhash64("rep", "node"), "parts")).alias("part")
+    keyed = rows.join(cells, ["node", "own", "owner", "band"]).select("node", "rep", "n_shingles", "own", "owner", name)
+    keyed = storage.materialize(keyed, "parts")
+    parts = keyed.groupBy("node", "part").agg(F.first("own").alias("own"), F.first("owner").alias("owner"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    # The parts of one component skip each other, and so do parts of too different sizes.
+    may = F.expr(f"a.node = b.node AND a.part <= b.part AND NOT (a.own AND b.own AND a.owner = b.owner) AND 100 * a.hi >= {percent} * b.lo AND 100 * b.hi >= {percent} * a.lo")
+    pairs = parts.alias("a").join(parts.alias("b"), may).select(F.col("a.node").alias("node"), F.col("a.part").alias("x"), F.col("b.part").alias("y"), F.xxhash64("a.node", "a.part", "b.part").alias("pair"))
+    ends = pairs.where("x <> y").select("node", "pair", F.explode(F.array("x", "y")).alias("part"))
+    # A part that meets another is compared within itself there.
+    alone = pairs.where("x = y").select("node", "pair", F.col("x").alias("part")).join(ends.select("node", "part").distinct(), ["node", "part"], "left_anti")
+    ends = ends.unionByName(alone)
+    return keyed.join(ends, ["node", "part"]).select(F.col("pair").alias("node"), "rep")
 
 
 def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -133,9 +169,8 @@ def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(docs: DataFrame, classes: DataFrame, *, words: int, percent: int, trees: int, limit: int) -> DataFrame:
-    """(a, b) pairs of class representatives whose components are those of all links found."""
-    nodes = _nodes(classes, trees, limit)
+def links(docs: DataFrame, classes: DataFrame, nodes: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """(a, b) pairs of class representatives whose components are those of all links within the nodes."""
     members = nodes.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members"))
     alike = storage.materialize(members.groupBy("members").agg(F.min("node").alias("node")), "nodes")
     wanted = alike.select("node", F.explode("members").alias("rep")).groupBy("rep").agg(F.collect_list("node").alias("nodes"))
@@ -182,12 +217,16 @@ def groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, trees
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = storage.materialize(_sketches(docs, words, trees, depth), "sketches")
     whole = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = storage.materialize(whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("paths").alias("paths")), "classes")
+    classes = storage.materialize(whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("paths").alias("paths"), F.first("n_shingles").alias("n_shingles")), "classes")
     # Rows with one doc_id and different texts are one document.
     same_id = whole.groupBy("doc_id").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("doc_id")
     twice = whole.join(same_id, "doc_id").select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = links(docs, classes, words=words, percent=percent, trees=trees, limit=limit).unionAll(twice)
-    component = components.smallest_reachable(found)
+    nodes, whole_nodes = _nodes(classes, trees, limit)
+    component = components.smallest_reachable(links(docs, classes, nodes, words=words, percent=percent).unionAll(twice))
+    pairs = storage.materialize(_open_pairs(whole_nodes, classes, component, percent=percent, limit=limit), "pairs")
+    if not pairs.isEmpty():
+        more = links(docs, classes, pairs, words=words, percent=percent)
+        component = components.smallest_reachable(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     named = classes.join(component, classes["rep"] == component["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     out = rows.drop("paths").join(named, ["c1", "c2"], "left")
     ids = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")

@@ -81,3 +81,20 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(130, 101), (7, 7)]
     got = {r.node: r.component for r in components.smallest_reachable(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 131)}}
+
+
+def test_original_with_a_larger_id_meets_all_its_variants(spark):
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(400)]
+    rows = [(1000, " ".join(base))]
+    for i in range(200):
+        words = list(base)
+        for k in rng.sample(range(400), 9):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4, 80)
+    variants = brute(rows[1:], 4, 80)
+    assert set(want.values()) == {0} and len(set(variants.values())) == 200
+    got = {r.doc_id: r.component_id for r in chosen_path.groups(docs, words=4, limit=16).collect()}
+    assert got == want
