@@ -1,11 +1,11 @@
 """Toxicity by nearest labelled examples (operator 9).
 
 A bounded sample of labelled rows gives the examples (at most EXAMPLES of each
-label, by a hash of doc_id) and the terms: words and longer words' first STEMS
-bytes, A-Z lower-cased, whose presence goes with the label by the TERMS highest
-log-likelihood ratios of at least MIN_RATIO. Document
-frequencies of the terms are counted over all documents. Every document becomes
-a TF-IDF vector over the terms, and its NEIGHBOURS nearest examples by cosine
+label, by a hash of doc_id) and the terms: all words and longer words' first STEMS
+bytes, A-Z lower-cased, of at least FLOOR examples. Document frequencies of the
+terms are counted over all documents. Every document becomes a TF-IDF vector
+over the terms, each weighed by 1 plus the log-likelihood ratio of its presence
+and the label, and its NEIGHBOURS nearest examples by cosine
 are found exactly in an inverted index whose postings are cut into blocks of
 examples: a block's largest weights bound what any example in it can score, and
 blocks are visited by falling bound until no bound reaches the kth score.
@@ -15,13 +15,14 @@ The nearest examples are returned as evidence.
 
 Defined results: a null text is an empty one; texts without a term get the rate
 of labelled examples without one; ties in cosine go to the smaller example
-number; repeated rows get a row each, and repeated labels of a doc_id count
+number, which doesn't depend on the label; repeated rows get a row each, and repeated labels of a doc_id count
 once, by the largest label; without labelled rows every score is 0.5; an empty
 table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,9 +35,8 @@ from . import bytesops, isotonic, storage
 from .quality import is_held_out
 
 EXAMPLES = 4096
-TERMS = 128
 STEMS = (5,)
-MIN_RATIO = 24.0
+FLOOR = 2
 NEIGHBOURS = 24
 THRESHOLD = 0.5
 BLOCK = 64
@@ -51,8 +51,7 @@ def _terms_of(docs: DataFrame, known: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = bytesops.text_bytes(batch.column(1))
-            numbers: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            times: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            numbers, times, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.zeros(batch.num_rows + 1, np.int32)
             for first, last in bytesops.row_blocks(offs):
                 words, rows = bytesops.term_hashes(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first], STEMS)
                 here = np.flatnonzero(maybe[(words >> np.uint64(48)).astype(np.int64)])
@@ -61,10 +60,12 @@ def _terms_of(docs: DataFrame, known: np.ndarray) -> DataFrame:
                 hit = known[slot] == words[here] if len(known) else np.zeros(len(here), bool)
                 row = rows[here[hit]]
                 pairs, n = np.unique(row * len(known) + slot[hit], return_counts=True)
-                for p, c in zip(pairs.tolist(), n.tolist(), strict=True):
-                    numbers[first + p // len(known)].append(p % len(known))
-                    times[first + p // len(known)].append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "terms", "times"])
+                numbers.append((pairs % max(len(known), 1)).astype(np.int32))
+                times.append(n.astype(np.int32))
+                sizes[first + 1 : last + 1] = np.bincount(pairs // max(len(known), 1), minlength=last - first)
+            ends = pa.array(np.cumsum(sizes, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (numbers, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "terms", "times"])
 
     storage.small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, terms array<int>, times array<int>")
@@ -101,6 +102,13 @@ def _distinct_words(docs: DataFrame) -> DataFrame:
     return docs.select("y", "text").mapInArrow(run, "y int, word long")
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from lo to below hi of each range, and each one's range."""
+    n = hi - lo
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) + (lo - np.cumsum(n) + n)[owner], owner
+
+
 @dataclass
 class Index:
     """Unit TF-IDF vectors of the examples as postings by term and block."""
@@ -111,10 +119,12 @@ class Index:
     ids: np.ndarray
     levels: np.ndarray
     plain: float
+    cells: np.ndarray = field(default=None)
+    block: np.ndarray = field(default=None)
+    most: np.ndarray = field(default=None)
     starts: np.ndarray = field(default=None)
     posted: np.ndarray = field(default=None)
     weight: np.ndarray = field(default=None)
-    most: np.ndarray = field(default=None)
 
     def vector(self, terms, times) -> tuple[np.ndarray, np.ndarray]:
         terms = np.asarray(terms, np.int64)
@@ -129,31 +139,38 @@ class Index:
         w = np.concatenate([x for _, x in vectors]) if vectors else np.zeros(0)
         cell = term * blocks + example // BLOCK
         order = np.argsort(cell, kind="stable")
-        self.posted, self.weight = example[order], w[order]
-        self.starts = np.searchsorted(cell[order], np.arange(n_terms * blocks + 1)).reshape(-1)
-        self.most = np.zeros(n_terms * blocks)
-        np.maximum.at(self.most, cell, w)
-        self.most = self.most.reshape(n_terms, blocks)
+        self.posted, self.weight = example[order].astype(np.int32), w[order]
+        # Only blocks that a term occurs in have a cell: cells of a term, postings of a cell.
+        used, first = np.unique(cell[order], return_index=True)
+        self.block, self.starts = (used % blocks).astype(np.int32), np.append(first, len(order))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(used, np.arange(n_terms + 1) * blocks)
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine, exactly, ties to the smaller number."""
-        blocks = self.most.shape[1]
-        bound = w @ self.most[terms]
+        cell, owner = _ranges(self.cells[terms], self.cells[terms + 1])
+        block, share = self.block[cell], w[owner]
+        bound = np.bincount(block, weights=share * self.most[cell], minlength=1)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_s) == k and bound[b] < best_s[-1] - 1e-12):
-                break
-            got = np.zeros(BLOCK)
-            for t, x in zip(terms, w, strict=True):
-                lo, hi = self.starts[t * blocks + b], self.starts[t * blocks + b + 1]
-                got[self.posted[lo:hi] - b * BLOCK] += x * self.weight[lo:hi]
+        at, step = 0, 8
+        while at < len(order):
+            if len(best_s) == k:
+                order = order[bound[order] >= best_s[-1] - 1e-9]
+            some = np.zeros(len(bound), bool)
+            some[order[at : at + step]] = True
+            at, step = at + step, 2 * step
+            here = np.flatnonzero(some[block])
+            posting, mine = _ranges(self.starts[cell[here]], self.starts[cell[here] + 1])
+            got = np.bincount(self.posted[posting], weights=share[here][mine] * self.weight[posting], minlength=1)
             hits = np.flatnonzero(got > 0)
-            i = np.concatenate([best_i, hits + b * BLOCK])
-            s = np.concatenate([best_s, got[hits]])
-            if without >= 0:
-                i, s = i[i != without], s[i != without]
-            order = np.lexsort((i, -np.round(s, 12)))[:k]
-            best_i, best_s = i[order], s[order]
+            hits = hits[hits != without]
+            if len(best_s) == k:
+                hits = hits[got[hits] >= best_s[-1] - 1e-9]
+            i, s = np.concatenate([best_i, hits]), np.concatenate([best_s, got[hits]])
+            keep = np.lexsort((i, -np.round(s, 12)))[:k]
+            best_i, best_s = i[keep], s[keep]
         return best_i, best_s
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -162,7 +179,8 @@ class Index:
         return float((w * self.labels[near]).sum() / total) if total else -1.0
 
     def score(self, terms, times, known: dict) -> tuple[float, list[int]]:
-        key = (tuple(terms), tuple(times))
+        terms, times = np.asarray(terms, np.int64), np.asarray(times, np.int64)
+        key = hashlib.blake2b(np.concatenate([terms, times]).tobytes(), digest_size=16).digest()
         if key not in known:
             if len(known) > 100_000:
                 known.clear()
@@ -184,7 +202,7 @@ def _llr(a, b, na, nb):
     return F.when(p < 1, 2 * (part(a, na, p) + part(b, nb, p))).otherwise(0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: int = EXAMPLES, most_terms: int = TERMS) -> tuple[np.ndarray, Index | None, DataFrame | None]:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: int = EXAMPLES, floor: int = FLOOR) -> tuple[np.ndarray, Index | None, DataFrame | None]:
     """The terms' hashes, the index of examples, and every document's terms."""
     spark = docs.sparkSession
     train = labels.where(F.col(label).isin(0, 1) & ~is_held_out() & F.col("doc_id").isNotNull())
@@ -201,24 +219,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: i
         return np.zeros(0, np.uint64), None, None
     seen = _distinct_words(sample).groupBy("word").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     rated = seen.withColumn("ratio", _llr(F.col("a"), F.col("b"), F.lit(max(n.get(1, 0.0), 1e-9)), F.lit(max(n.get(0, 0.0), 1e-9))))
-    chosen = rated.where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "word").limit(most_terms).select("word")
-    terms = np.sort(np.array([r["word"] for r in chosen.collect()], np.int64).view(np.uint64))
+    chosen = rated.where(F.col("a") + F.col("b") >= floor).select("word", "ratio").toArrow()
+    terms = chosen["word"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    terms, ratio = terms[order], np.maximum(chosen["ratio"].to_numpy().astype(np.float64)[order], 0.0)
 
     every = storage.materialize(_terms_of(docs, terms), "terms")
     n_docs = every.count()
     df = np.zeros(len(terms))
-    for r in _frequencies(every, len(terms)).collect():
-        df[r["t"]] = r["n"]
-    rows = _terms_of(sample, terms).join(F.broadcast(sample.select("doc_id", "y")), "doc_id").collect()
-    first = [(int(np.argmin(df[r["terms"]])) if r["terms"] else -1) for r in rows]
-    keyed = sorted(range(len(rows)), key=lambda i: (rows[i]["y"], rows[i]["terms"][first[i]] if rows[i]["terms"] else -1, rows[i]["doc_id"]))
-    rows = [rows[i] for i in keyed if rows[i]["terms"]] + [rows[i] for i in keyed if not rows[i]["terms"]]
+    counted = _frequencies(every, len(terms)).toArrow()
+    df[counted["t"].to_numpy()] = counted["n"].to_numpy()
+    got = _terms_of(sample, terms).join(F.broadcast(sample.select("doc_id", "y")), "doc_id").toArrow().combine_chunks()
+    columns = [got[c].to_pylist() for c in ("doc_id", "y")] + [[x.values.to_numpy() for x in got[c]] for c in ("terms", "times")]
+    rows = [dict(zip(("doc_id", "y", "terms", "times"), r, strict=True)) for r in zip(*columns, strict=True)]
+    # Alike examples share blocks, by their heaviest term; the order says nothing of the label.
+    scale = np.log(1 + n_docs / (1 + df)) * (1 + ratio)
+    lead = [int(r["terms"][np.argmax(scale[r["terms"]])]) if len(r["terms"]) else len(terms) for r in rows]
+    mixed = bytesops.mix(np.array([r["doc_id"] for r in rows], np.int64).view(np.uint64), 9).tolist()
+    rows = [rows[i] for i in sorted(range(len(rows)), key=lambda i: (lead[i], mixed[i]))]
     y = np.array([r["y"] for r in rows], np.float64)
     vote = np.where(y == 1, rates.get(1, 0) / max(n.get(1, 0), 1), rates.get(0, 0) / max(n.get(0, 0), 1))
-    bare = np.array([not r["terms"] for r in rows])
+    bare = np.array([not len(r["terms"]) for r in rows])
     plain = float(((vote * y)[bare].sum() + 0.5 * y.mean()) / (vote[bare].sum() + 1)) if bare.any() else 0.5 * y.mean()
-    index = Index(np.log(1 + n_docs / (1 + df)), y, vote, np.array([r["doc_id"] for r in rows], np.int64), np.full(isotonic.BINS, 0.5), plain)
-    vectors = [index.vector(r["terms"], r["times"]) for r in rows if r["terms"]]
+    index = Index(scale, y, vote, np.array([r["doc_id"] for r in rows], np.int64), np.full(isotonic.BINS, 0.5), plain)
+    vectors = [index.vector(r["terms"], r["times"]) for r in rows if len(r["terms"])]
     index.build(vectors)
     total, positive = np.zeros(isotonic.BINS), np.zeros(isotonic.BINS)
     for i, (t, w) in enumerate(vectors):
@@ -241,7 +265,8 @@ def scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict = {}
             for batch in batches:
-                got = [index.score(t, n, known) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                lists = [[x.values.to_numpy() for x in batch.column(k)] for k in (1, 2)]
+                got = [index.score(t, n, known) for t, n in zip(*lists, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got]), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
         out = every.mapInArrow(run, "doc_id long, score double, evidence array<long>")

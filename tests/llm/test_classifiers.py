@@ -55,6 +55,20 @@ def test_toxicity_scores(spark):
     assert {r.score for r in toxicity.scores(docs.limit(5), labels.where("false")).collect()} == {0.5}
 
 
+def test_toxicity_covers_texts_without_the_leading_terms(spark):
+    # Each of 300 words goes with the label too seldom to be among few leading terms.
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1200):
+        side = "bad" if i % 2 else "good"
+        rows.append((i, " ".join(f"{rng.randrange(300)}{side}" for _ in range(12))))
+        labels.append((i, 1, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, index, every = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert every.where("size(terms) = 0").count() == 0
+    assert abs(index.labels[: len(index.labels) // 2].mean() - 0.5) < 0.25
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(5)
     index = toxicity.Index(rng.uniform(0.5, 3, 30), np.zeros(300), np.ones(300), np.arange(300), np.zeros(isotonic.BINS), 0.0)
