@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 
 import numpy as np
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile(r"([A-Za-z]+)([.,]?)")
-_made: dict[tuple[str, int], "WordEncoder"] = {}
+#: Words that normalising only lower-cases: printable ASCII and the letters of Latin-1.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: How the vocabulary file cuts a word, for such words.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_made: dict[tuple[str, int], WordEncoder] = {}
+
+
+class _Words(dict):
+    """The ids of words in two generations: when the younger is full it becomes the older one,
+    so frequent words stay and memory is bounded by ``most`` words."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.half, self.older = make, max(1, most // 2), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class WordEncoder:
@@ -20,60 +44,59 @@ class WordEncoder:
     the tokenizer as they are.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.remember = remember
-        self.known: dict[str, bytes] = {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        probe = ["Qzxv", "a", "bcd.", "the,"]
+        # Letters as the vocabulary writes their bytes, asked of the tokenizer itself.
+        letters = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
+        self.written = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}) if self.tokenizer.pre_tokenizer else {}
+        probe = ["Qzxv", "a", "bcd.", "the,", "Élève,", "ÀÖØßÿ", "it's", "a1b22", "x$$$", "_-", "l'été"]
         self.plain = all(self._fast(w) == self._whole(w) for w in probe)
+        self.known = _Words(self._one, remember)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _fast(self, word: str) -> bytes | None:
-        """Plain Latin words with at most one mark after them: no normalisation but lower case."""
-        m = _PLAIN.fullmatch(word)
-        if not m:
+        if not _PLAIN.fullmatch(word):
             return None
-        ids = [t.id for t in self.model.tokenize(m[1].lower())]
-        if m[2]:
-            ids += [t.id for t in self.model.tokenize(m[2])]
-        return np.array(ids, "<u4").tobytes()
+        low = word.lower()
+        if not low.isascii():
+            return self._ids([t.id for p in _PIECES.findall(low) for t in self.model.tokenize(p.translate(self.written))])
+        if low.isalpha():
+            return self._ids([t.id for t in self.model.tokenize(low)])
+        return self._ids([t.id for p in _PIECES.findall(low) for t in self.model.tokenize(p)])
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def _one(self, word: str) -> bytes:
+        if not self.plain:
+            return self._whole(word)
+        # A capital or a mark at the end of a known word costs no tokenizing.
+        low = word.lower()
+        if (ids := self.known.get(low)) is not None and word.isascii():
+            return ids
+        if word[-1] in ".," and word[-2:-1].isalpha() and (ids := self.known.get(low[:-1])) is not None and word.isascii():
+            return ids + self.known[word[-1]]
+        ids = self._fast(word)
+        return self._whole(word) if ids is None else ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if (self.added and self.added.search(text)) or _ODD_SPACE.search(text):
             return self._whole(text)
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.remember:
-            known.clear()
-        slow = []
-        for w in set(words):
-            if w not in known:
-                ids = self._fast(w) if self.plain else None
-                if ids is None:
-                    slow.append(w)
-                else:
-                    known[w] = ids
-        if slow:
-            for w, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
-
-
-def encoder(path: str, remember: int = 600_000) -> WordEncoder:
-    """One encoder a worker process; later tasks of the process go on with it."""
-    import os
+        known = self.known
+        return b"".join([known[w] for w in text.split()])
+
 
+def encoder(path: str, remember: int = 800_000) -> WordEncoder:
+    """One encoder a worker process; later tasks of the process go on with it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = (path, remember)
     if key not in _made:
