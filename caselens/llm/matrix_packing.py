@@ -6,11 +6,14 @@ pieces by falling length, each into the bin with the least free space that
 holds it, found in a segment tree over free space. A block becomes rows of a
 packed id matrix, each with its segments' cumulative lengths and the positions
 where counting restarts. Documents over the capacity are split at multiples of
-it, and (doc_id, start) of each segment restores them without loss. Blocks are
+it, and (row_id, start) of each segment restores them without loss: row_id is a
+number of the row in its run, so rows that share a doc_id stay apart. Blocks are
 bounded by tokens, so memory is bounded, and no row is shuffled.
 
-Defined results: a null or empty text is the separator alone; repeated rows are
-packed once each; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text is the separator alone; repeated rows and
+rows with a null doc_id are packed once each; a text of any length is encoded
+whole and may span many sequences; pieces of one length are placed in the order
+read; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from . import storage, tokens
 CAPACITY = 2048
 BLOCK_TOKENS = 4_000_000
 
-PACKED = "sequence_id long, n_tokens int, n_segments int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
+PACKED = "sequence_id long, n_tokens int, n_segments int, id_bytes int, doc_ids array<long>, row_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
 
 
 class FreeSpaceTree:
@@ -97,23 +100,24 @@ def packed_matrix(docs: DataFrame, *, vocabulary: str | None = None, capacity: i
 
         enc = tokens.encoder(path)
         wide = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        next_id = TaskContext.get().partitionId() << 40
+        next_id = next_row = TaskContext.get().partitionId() << 40
+        width = int(wide[-1])
 
         def flush(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal next_id
-            bins = best_fit_decreasing([len(p[2]) for p in pieces], capacity)
+            bins = best_fit_decreasing([len(p[3]) for p in pieces], capacity)
             for a in range(0, len(bins), 1024):
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(10)]
                 for members in bins[a : a + 1024]:
                     parts = [pieces[i] for i in members]
-                    cu = [0, *np.cumsum([len(p[2]) for p in parts]).tolist()]
-                    ids = np.concatenate([p[2] for p in parts])
+                    cu = [0, *np.cumsum([len(p[3]) for p in parts]).tolist()]
+                    ids = np.concatenate([p[3] for p in parts])
                     if pad is not None:
                         ids = np.concatenate([ids, np.full(capacity - len(ids), pad, wide)])
-                    for out, v in zip(cols, (next_id, cu[-1], len(parts), [p[0] for p in parts], [p[1] for p in parts], cu, cu[:-1], ids.astype(wide).tobytes()), strict=True):
+                    for out, v in zip(cols, (next_id, cu[-1], len(parts), width, *([p[i] for p in parts] for i in range(3)), cu, cu[:-1], ids.astype(wide).tobytes()), strict=True):
                         out.append(v)
                     next_id += 1
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
 
         held, n = [], 0
@@ -121,7 +125,8 @@ def packed_matrix(docs: DataFrame, *, vocabulary: str | None = None, capacity: i
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(np.frombuffer(enc.encode(text or ""), "<u4"), separator).astype(wide)
                 for start in range(0, len(ids), capacity):
-                    held.append((doc, start, ids[start : start + capacity]))
+                    held.append((doc, next_row, start, ids[start : start + capacity]))
+                next_row += 1
                 n += len(ids)
                 if n >= block_tokens:
                     yield from flush(held)
@@ -138,9 +143,10 @@ def write_matrix(packed: DataFrame, path: str) -> None:
     packed.write.mode("errorifexists").parquet(path)
 
 
-def unpack(packed: DataFrame, width: int = 2) -> DataFrame:
-    """doc_id, start and ids (hex) of every segment: the inverse of packing."""
+def unpack(packed: DataFrame) -> DataFrame:
+    """doc_id, row_id, start and ids (hex) of every segment: the inverse of packing."""
     at = F.posexplode("doc_ids").alias("k", "doc_id")
-    rows = packed.select("starts", "cu_seqlens", "input_ids", at)
+    rows = packed.select("starts", "row_ids", "cu_seqlens", "input_ids", "id_bytes", at)
     begin, stop = F.get("cu_seqlens", F.col("k")), F.get("cu_seqlens", F.col("k") + 1)
-    return rows.select("doc_id", F.get("starts", F.col("k")).alias("start"), F.hex(F.substring("input_ids", begin * width + 1, (stop - begin) * width)).alias("ids_hex"))
+    ids = F.substring("input_ids", begin * F.col("id_bytes") + 1, (stop - begin) * F.col("id_bytes"))
+    return rows.select("doc_id", F.get("row_ids", F.col("k")).alias("row_id"), F.get("starts", F.col("k")).alias("start"), F.hex(ids).alias("ids_hex"))

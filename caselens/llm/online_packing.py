@@ -5,21 +5,24 @@ Documents longer than the capacity are cut into full pieces and a shorter last
 one; nothing else is cut. Pieces then stream through a fixed number of open
 bins, kept in a bitset keyed by free space: a piece goes into the bin with the
 least free space that holds it, and where none does and all bins are open, the
-fullest closes first.
+fullest closes first. Of equally full bins the one opened first is taken, both
+to fill and to close.
 
 Every Spark task packs the pieces it reads, in the order of the pieces table,
 with memory for its open bins alone; no rows are shuffled or gathered, so
 neither a hot source nor many copies of a document matter.
 
 Defined results: a null or empty text is the separator alone; repeated rows
-(and rows with a null doc_id) are packed once per row; an empty table gives no
-rows; other columns are ignored whatever their names.
+(and rows with a null doc_id) are packed once per row; a text of any length is
+encoded whole and cut only into pieces; an empty table gives no rows; other
+columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -42,7 +45,7 @@ class OpenBins:
         self.n_open = 0
 
     def _take(self, free: int) -> int:
-        at = self.bins[free].pop()
+        at = heappop(self.bins[free])
         if not self.bins[free]:
             self.mask ^= 1 << free
         self.n_open -= 1
@@ -63,7 +66,7 @@ class OpenBins:
         if left:
             if not self.bins[left]:
                 self.mask |= 1 << left
-            self.bins[left].append(at)
+            heappush(self.bins[left], at)
             self.n_open += 1
         return at, self.capacity - free
 

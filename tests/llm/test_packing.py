@@ -66,12 +66,11 @@ def test_open_bins_take_the_fullest_that_fits(lengths, most):
         if not fits and len(plain) == most:
             plain.remove(max(plain, key=lambda b: b[1]))
         assert offset == best
-        for b in fits:
-            if b[0] == at:
-                b[1] += n
-                break
+        if fits:
+            taken = min(b for b in fits if b[1] == best)  # the one opened first
+            assert at == taken[0]
+            taken[1] += n
         else:
-            assert not fits
             plain.append([at, n])
         plain = [b for b in plain if b[1] < 50]
 
