@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _BASE = 0x100000001B3
+#: Of a second hash, to check the first by.
+OTHER_BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -59,17 +61,17 @@ def row_blocks(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int
         first = min(last, n)
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
+def prefix_hash(codes: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Prefix sums of (byte + 1) * base ** i, whose differences hash any substring."""
     out = np.zeros(len(codes) + 1, U64)
-    np.cumsum((codes.astype(U64) + U64(1)) * powers(_BASE, len(codes))[: len(codes)], out=out[1:])
+    np.cumsum((codes.astype(U64) + U64(1)) * powers(base, len(codes))[: len(codes)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Position-independent hashes of [start, stop)."""
     n = len(prefix)
-    return (prefix[stops] - prefix[starts]) * powers(_INVERSE, n)[starts]
+    return (prefix[stops] - prefix[starts]) * powers(_INVERSE if base == _BASE else pow(base, -1, 1 << 64), n)[starts]
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,14 +9,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where unset (tests), a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
+    """``spark.checkpoint.dir`` of the session, a folder that all executors reach.
+
+    Where it is unset, a run in one process (``local[n]``) gets a folder of its own; a cluster fails.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -34,7 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`materialize` once all that was made of them is itself written."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

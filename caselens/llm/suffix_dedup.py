@@ -5,21 +5,28 @@ else in the corpus. Every window of LENGTH bytes is led by the lowest-ranked of
 its GRAM-byte substrings, which its content alone decides, so equal windows
 have equal leaders at equal offsets. Consecutive windows under one leader form
 a run; a text of n bytes has about 2 n / (LENGTH - GRAM) of them, and only they
-are shuffled.
+are shuffled. The same pass measures a second, shorter length (SHORT), which
+counts only strings that another document holds too and removes nothing.
 
 Runs meet by their leader's hash. A leader seen once repeats nothing; runs that
 are equal as a whole (64 bits of hash of the leader and 64 of a cryptographic
 digest of the run) repeat whole; what is left are runs at the edges of repeated
-passages, one of each content. Their texts are fetched and their windows sorted
-as suffixes: prefix polynomial hashes and binary search give two suffixes'
-common extension in logarithmic time, a bottom-up mergesort of all groups at
-once compares by it, and neighbours that agree over LENGTH are verified byte by
+passages, one of each content. Their texts are fetched and cut into slices of a
+few dozen windows by the distance to their leader. All windows of a slice share
+its core, so slices are dealt by leader, distance and core: a leader that many
+texts have in common, such as a licence line, spreads over as many tasks as it
+has surroundings. In each deal the windows are sorted as suffixes: prefix
+polynomial hashes and binary search give two suffixes' common extension in
+logarithmic time, and a bottom-up mergesort of all groups at once compares by
+it. The order is checked by a second hash and, should the hashes disagree, made
+again by the bytes; neighbours that agree over the length are verified byte by
 byte.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing;
 of equal texts (repeated rows included) every one loses all that LENGTH covers;
-null doc_ids are allowed; an empty table gives no rows; other columns are
-ignored by :func:`removals` and kept by :func:`drop_repeats`.
+rows with one doc_id (or without one) are one document where SHORT asks for
+another; texts of any length are treated whole; an empty table gives no rows;
+other columns are ignored by :func:`removals` and kept by :func:`drop_repeats`.
 """
 
 from __future__ import annotations
@@ -36,7 +43,17 @@ from . import bytesops, storage
 
 LENGTH = 400
 GRAM = 128
+#: The shortest passages that ``n_shared`` counts: some fifty words.
+SHORT = 300
+SHORT_GRAM = 64
+#: Distances to the leader in a slice; of leaders with more than MANY contents, fewer, for longer cores.
+STEP = 64
+FINE_STEP = 16
+MANY = 1024
+#: Places in a stretch of text that is ranked at once.
+PLACE_BITS = 24
 U64 = np.uint64
+_NO_ID = -(2**63)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,15 +69,31 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(part: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, windows, leader, leader's hash) of each run; places are in ``part``."""
-    n = len(part)
+def runs_of(part: np.ndarray, offs: np.ndarray, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, windows, leader, leader's hash) of each run; places are in ``part``, whose
+    prefix hashes are ``prefix``.
+
+    Grams are ranked by the upper bits of their hashes, always as many, and then from the left,
+    so a window's content alone decides. Longer parts are ranked in overlapping stretches.
+    """
+    n, most = len(part), 1 << PLACE_BITS
+    if n > most:
+        step = most - length
+        pieces = []
+        for a in range(0, n - length + 1, step):
+            z = min(n, a + most - 1)
+            row, begin, count, lead, key = runs_of(part[a:z], np.clip(offs - a, 0, z - a), bytesops.prefix_hash(part[a:z]), length, gram)
+            # The next stretch begins with the windows that start there.
+            count = np.minimum(count, step - begin) if z < n else count
+            good = count > 0
+            pieces.append((row[good], begin[good] + a, count[good], lead[good] + a, key[good]))
+        return tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64))
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64))
-    prefix = bytesops.prefix_hash(part)
+        return none
     at = np.arange(n - gram + 1)
     hashed = bytesops.mix(bytesops.span_hash(prefix, at, at + gram))
-    bits = U64(int(n).bit_length())
+    bits = U64(PLACE_BITS)
     ranked = (hashed >> bits << bits) | at.astype(U64)
     lead = (_sliding_min(ranked, length - gram + 1) & ((U64(1) << bits) - U64(1))).astype(np.int64)
     inside = np.zeros(n + 1, np.int64)
@@ -70,7 +103,7 @@ def runs_of(part: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     np.add.at(inside, offs[1:][long] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(inside)[: n - length + 1] > 0)
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64))
+        return none
     lead = lead[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (np.diff(starts) != 1) | (np.diff(lead) != 0)
@@ -84,12 +117,12 @@ def _text_name(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-_RUN = "doc_id long, name long, n_bytes long, key long, content long, begin int, windows int, lead int"
+_RUN = "length int, doc_id long, name long, n_bytes long, key long, content long, begin int, windows int, lead int"
 
 
-def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _runs(docs: DataFrame, kinds: dict[int, int]) -> DataFrame:
     names = [x.split()[0] for x in _RUN.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 3
+    types = [pa.int32(), *[pa.int64()] * 5, *[pa.int32()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,18 +130,18 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             ids = batch.column(0)
             for first, last in bytesops.row_blocks(offs):
                 part, rel = buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
-                row, begin, count, lead, key = runs_of(part, rel, length, gram)
-                if not len(row):
-                    continue
-                raw = part.tobytes()
-                digest = b"".join([hashlib.blake2b(raw[a : a + c + length - 1], digest_size=8).digest() for a, c in zip(begin.tolist(), count.tolist(), strict=True)])
-                rows = np.unique(row)
-                name = np.zeros(last - first, np.int64)
-                for r in rows.tolist():
-                    name[r] = _text_name(raw[rel[r] : rel[r + 1]])
-                at = rel[row]
-                columns = [ids.take(pa.array(row + first)), name[row], np.diff(rel)[row], key.view(np.int64), np.frombuffer(digest, "<i8"), begin - at, count, lead - at]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                prefix, raw = bytesops.prefix_hash(part), part.tobytes()
+                name, named = np.zeros(last - first, np.int64), np.zeros(last - first, bool)
+                for length, gram in kinds.items():
+                    row, begin, count, lead, key = runs_of(part, rel, prefix, length, gram)
+                    if not len(row):
+                        continue
+                    digest = b"".join([hashlib.blake2b(raw[a : a + c + length - 1], digest_size=8).digest() for a, c in zip(begin.tolist(), count.tolist(), strict=True)])
+                    for r in np.unique(row[~named[row]]).tolist():
+                        name[r], named[r] = _text_name(raw[rel[r] : rel[r + 1]]), True
+                    at = rel[row]
+                    columns = [np.full(len(row), length), ids.take(pa.array(row + first)), name[row], np.diff(rel)[row], bytesops.mix(key, length).view(np.int64), np.frombuffer(digest, "<i8"), begin - at, count, lead - at]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
 
     storage.small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, _RUN)
@@ -170,8 +203,23 @@ def suffix_sort(text: np.ndarray, prefix: np.ndarray, starts: np.ndarray, group:
     return order
 
 
-def repeated_windows(slices: list[bytes], leads: list[int], windows: list[int], groups: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each slice, which of its windows also occurs in another slice of its group."""
+def _in_order(text: np.ndarray, starts: np.ndarray, group: np.ndarray, order: np.ndarray, same: np.ndarray, length: int) -> bool:
+    """Whether neighbours in the order agree as far as the hashes say, by a second hash, and then rise."""
+    a, b = order[:-1], order[1:]
+    live = group[a] == group[b]
+    a, b, same = starts[a[live]], starts[b[live]], same[live]
+    second = bytesops.prefix_hash(text, bytesops.OTHER_BASE)
+    agree = bytesops.span_hash(second, a, a + same, bytesops.OTHER_BASE) == bytesops.span_hash(second, b, b + same, bytesops.OTHER_BASE)
+    open_ = same < length
+    return bool(agree.all() and (text[(a + same)[open_]] < text[(b + same)[open_]]).all())
+
+
+def repeated_windows(slices: list[bytes], aheads: list[int], windows: list[int], groups: np.ndarray, length: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each slice, which of its windows also occurs in another slice of its group.
+
+    ``aheads``: from the first window's start to the leader. Given the least and the greatest
+    document that holds each slice, an occurrence in another document is asked for.
+    """
     text = np.frombuffer(b"".join(slices), np.uint8)
     prefix = bytesops.prefix_hash(text)
     count = np.array(windows, np.int64)
@@ -179,100 +227,140 @@ def repeated_windows(slices: list[bytes], leads: list[int], windows: list[int],
     owner = np.repeat(np.arange(len(slices)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     starts = base[owner] + offset
-    ahead = np.array(leads, np.int64)[owner] - offset  # from a window's start to its leader
+    ahead = np.array(aheads, np.int64)[owner] - offset
     group = groups[owner] * (length + 1) + ahead
     order = suffix_sort(text, prefix, starts, group, length)
-    a, b = order[:-1], order[1:]
-    near = group[a] == group[b]
-    a, b = a[near], b[near]
-    equal = common_extension(prefix, starts[a], starts[b], length) >= length
-    a, b = a[equal], b[equal]
-    found = np.zeros(len(owner), bool)
+    same = common_extension(prefix, starts[order[:-1]], starts[order[1:]], length)
+    if not _in_order(text, starts, group, order, same, length):
+        raw = text.tobytes()
+        order = np.array(sorted(range(len(owner)), key=lambda i: (group[i], raw[starts[i] : starts[i] + length])), np.int64)
+        same = common_extension(prefix, starts[order[:-1]], starts[order[1:]], length)
+    equal = (same >= length) & (group[order[:-1]] == group[order[1:]])
+    near = np.flatnonzero(equal)
     span = np.arange(length)
-    for k in range(0, len(a), 4096):  # equal hashes are verified byte by byte
-        x, y = a[k : k + 4096], b[k : k + 4096]
-        same = (text[starts[x][:, None] + span] == text[starts[y][:, None] + span]).all(axis=1)
-        found[x[same]] = True
-        found[y[same]] = True
+    for k in range(0, len(near), 4096):  # equal hashes are verified byte by byte
+        x, y = order[near[k : k + 4096]], order[near[k : k + 4096] + 1]
+        equal[near[k : k + 4096]] = (text[starts[x][:, None] + span] == text[starts[y][:, None] + span]).all(axis=1)
+    found = np.zeros(len(owner), bool)
+    if len(order):
+        chain = np.concatenate([[0], np.cumsum(~equal)])
+        heads = np.flatnonzero(np.concatenate([[True], ~equal]))
+        if low is None:
+            met = np.diff(np.append(heads, len(order))) > 1
+        else:
+            met = np.minimum.reduceat(low[owner[order]], heads) < np.maximum.reduceat(high[owner[order]], heads)
+        found[order] = met[chain]
     return np.split(found, np.cumsum(count)[:-1])
 
 
-_SLICE = "key long, content long, name long, n_bytes long, begin int, windows int, lead int, alone boolean, bytes binary"
-_FOUND = "name long, n_bytes long, first int, last int"
+_SLICE = "deal long, length int, key long, content long, low long, high long, alone boolean, ahead int, off int, windows int, bytes binary"
+_FOUND = "key long, content long, first int, last int"
 
 
-def _edges(docs: DataFrame, mixed: DataFrame, length: int, hold: int = 200_000) -> DataFrame:
-    """Spans (first byte, byte after the last) that repeated windows cover in runs at passages' edges."""
-    at = F.struct("key", "content", "begin", "windows", "lead", "alone")
+def _edges(docs: DataFrame, mixed: DataFrame, elsewhere: int | None, hold: int = 200_000) -> DataFrame:
+    """(key, content, first, last): what repeated windows cover in runs at passages' edges, from the run's begin."""
+    at = F.struct("length", "key", "content", "low", "high", "alone", "step", "begin", "windows", "lead")
     wanted = mixed.groupBy("doc_id", "name", "n_bytes").agg(F.collect_list(at).alias("runs"))
 
+    def slices_of(raw: bytes, r: dict) -> Iterator[tuple]:
+        length, farthest = r["length"], r["lead"] - r["begin"]
+        step = min(r["step"], length // 4)
+        nearest = farthest - r["windows"] + 1
+        for q in range(nearest // step, farthest // step + 1):
+            a, z = min(farthest, q * step + step - 1), max(nearest, q * step)
+            core = raw[r["lead"] - q * step : r["lead"] - q * step - step + 1 + length]
+            deal = hashlib.blake2b(core + f"{r['key']},{q}".encode(), digest_size=8).digest()
+            begin = r["lead"] - a
+            yield (int.from_bytes(deal, "little", signed=True), length, *(r[k] for k in ("key", "content", "low", "high", "alone")), a, begin - r["begin"], a - z + 1, raw[begin : begin + a - z + length])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _SLICE.split(", ")]
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()]
+        types = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.bool_(), *[pa.int32()] * 3, pa.binary()]
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for text, name, n_bytes, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            rows: list[tuple] = []
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names)  # noqa: B023
+
+            for text, name, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode()
-                if _text_name(raw) != name:
-                    continue
-                for r in runs:
-                    values = (r["key"], r["content"], name, n_bytes, r["begin"], r["windows"], r["lead"], r["alone"], raw[r["begin"] : r["begin"] + r["windows"] + length - 1])
-                    for out, v in zip(cols, values, strict=True):
-                        out.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                if _text_name(raw) == name:
+                    for r in runs:
+                        rows += slices_of(raw, r)
+                        if len(rows) >= 4096:
+                            yield done()
+                            rows = []
+            yield done()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, group, seen, now = [], 0, -1, set(), None
 
-        def done() -> pa.RecordBatch:
-            out: list[list] = [[], [], [], []]
-            flags = repeated_windows([h[8] for h in held], [h[6] - h[4] for h in held], [h[5] for h in held], np.array([h[9] for h in held]), length)
-            for h, f in zip(held, flags, strict=True):
-                if h[7] and f.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-                    for a, b in edge.reshape(-1, 2).tolist():
-                        for o, v in zip(out, (h[2], h[3], h[4] + a, h[4] + b - 1 + length), strict=True):
-                            o.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["name", "n_bytes", "first", "last"])
+        def done() -> Iterator[pa.RecordBatch]:
+            for length in {h[1] for h in held}:
+                some = [h for h in held if h[1] == length]
+                out: list[list] = [[], [], [], []]
+                reach = (np.array([h[i] for h in some], np.int64) for i in (4, 5)) if length == elsewhere else (None, None)
+                flags = repeated_windows([h[10] for h in some], [h[7] for h in some], [h[9] for h in some], np.array([h[11] for h in some]), length, *reach)
+                for h, f in zip(some, flags, strict=True):
+                    if h[6] and f.any():
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
+                        for a, b in edge.reshape(-1, 2).tolist():
+                            for o, v in zip(out, (h[2], h[3], h[8] + a, h[8] + b - 1 + length), strict=True):
+                                o.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "content", "first", "last"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                 if row[0] != now:
+                    if held and held[-1][11] == group and len(seen) == 1:
+                        n -= held.pop()[9]  # alone in its deal, so it repeats nothing
                     if n >= hold:
-                        yield done()
+                        yield from done()
                         held, n = [], 0
                     now, seen, group = row[0], set(), group + 1
-                if row[1] in seen:
+                if row[2:4] in seen:
                     continue
-                seen.add(row[1])
+                seen.add(row[2:4])
                 held.append((*row, group))
-                n += row[5]
+                n += row[9]
         if held:
-            yield done()
+            yield from done()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_n"))
     joined = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"]) & (texts["_n"] == wanted["n_bytes"]))
-    slices = joined.select("text", "name", "n_bytes", "runs").mapInArrow(cut, _SLICE)
-    return slices.repartition("key").sortWithinPartitions("key").mapInArrow(sort, _FOUND)
-
-
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(name, n_bytes, spans) of texts with repeats: a text's name is a digest of it; spans are in bytes, unmerged."""
-    runs = storage.materialize(_runs(docs, length, gram), "runs")
-    keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y")).where("n > 1")
+    slices = joined.select("text", "name", "runs").mapInArrow(cut, _SLICE)
+    return slices.repartition("deal").sortWithinPartitions("deal").mapInArrow(sort, _FOUND)
+
+
+def repeated_spans(docs: DataFrame, kinds: dict[int, int], elsewhere: int | None = None) -> DataFrame:
+    """(name, n_bytes, spans) of texts with repeats: a text's name is a digest of it; spans (length, first, last)
+    are in bytes, unmerged. ``kinds``: lengths and the grams that lead them; ``elsewhere``: the length
+    whose strings must repeat in another document."""
+    runs = storage.materialize(_runs(docs, kinds), "runs")
+    id_ = F.coalesce("doc_id", F.lit(_NO_ID))
+    across = F.lit(False) if elsewhere is None else F.col("length") == elsewhere
+    keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y"), F.first("length").alias("length"), F.min(id_).alias("low"), F.max(id_).alias("high")).where("n > 1").where(~across | (F.col("low") < F.col("high")))
     # As a table of its own, so that Spark can split a leader that many runs share when it joins them.
     keys = storage.materialize(keys.select("key", (F.col("x") != F.col("y")).alias("mixed")), "keys")
     met = storage.materialize(runs.join(keys, "key"), "met")
-    covered = [(F.col("begin")).alias("first"), (F.col("begin") + F.col("windows") - 1 + length).alias("last")]
-    whole = met.where("NOT mixed").select("name", "n_bytes", *covered)
-    one = F.min(F.struct("doc_id", "name", "n_bytes", "begin", "windows", "lead")).alias("r")
-    mixed = met.where("mixed").groupBy("key", "content").agg(F.count("*").alias("n"), one)
-    mixed = storage.materialize(mixed.select("key", "content", "n", "r.*"), "mixed")
-    several = mixed.where("n > 1").select("key", "content")
-    equal = met.where("mixed").join(several, ["key", "content"]).select("name", "n_bytes", *covered)
-    edges = _edges(docs, mixed.withColumn("alone", F.col("n") == 1), length)
-    spans = whole.unionAll(equal).unionAll(edges)
-    return spans.groupBy("name", "n_bytes").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    storage.release(runs, keys)
+    covered = [F.col("begin").alias("first"), (F.col("begin") + F.col("windows") - 1 + F.col("length")).alias("last")]
+    whole = met.where("NOT mixed").select("name", "n_bytes", "length", *covered)
+    one = F.min(F.struct("doc_id", "name", "n_bytes", "begin", "windows", "lead", "length")).alias("r")
+    mixed = met.where("mixed").groupBy("key", "content").agg(F.count("*").alias("n"), F.min(id_).alias("low"), F.max(id_).alias("high"), one)
+    mixed = mixed.select("key", "content", "low", "high", "r.*", "n").withColumn("alone", F.when(across, F.col("low") == F.col("high")).otherwise(F.col("n") == 1))
+    mixed = storage.materialize(mixed, "mixed")
+    contents = mixed.groupBy("key").agg(F.count("*").alias("contents")).where(f"contents > {MANY}")
+    stepped = mixed.join(contents, "key", "left").withColumn("step", F.when(F.col("contents").isNull(), STEP).otherwise(FINE_STEP))
+    part = F.struct(F.lit(0).alias("first"), (F.col("windows") - 1 + F.col("length")).alias("last"))
+    edges = _edges(docs, stepped, elsewhere).groupBy("key", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts"))
+    parts = storage.materialize(mixed.where("NOT alone").select("key", "content", F.array(part).alias("parts")).unionAll(edges), "parts")
+    inner = met.where("mixed").join(parts, ["key", "content"]).select("name", "n_bytes", "length", "begin", F.explode("parts").alias("p"))
+    inner = inner.select("name", "n_bytes", "length", (F.col("begin") + F.col("p.first")).alias("first"), (F.col("begin") + F.col("p.last")).alias("last"))
+    spans = whole.unionAll(inner)
+    spans = storage.materialize(spans.groupBy("name", "n_bytes").agg(F.collect_set(F.struct("length", "first", "last")).alias("spans")), "spans")
+    storage.release(met, mixed, parts)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -285,9 +373,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, **how) -> DataFrame:
+def _with_spans(docs: DataFrame, kinds: dict[int, int], elsewhere: int | None = None) -> DataFrame:
     """The rows of ``docs`` as a struct ``row``, with their ``spans``; null where nothing repeats."""
-    spans = storage.materialize(repeated_spans(docs, **how), "spans")
+    spans = repeated_spans(docs.select("doc_id", "text"), kinds, elsewhere)
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     names = [F.col("row"), F.col("text")]
 
@@ -300,30 +388,33 @@ def _with_spans(docs: DataFrame, **how) -> DataFrame:
     return named.select(*names).mapInArrow(name, f"row {kind}, name long, n_bytes long").join(spans, ["name", "n_bytes"], "left").select("row", "spans")
 
 
-def removals(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+def removals(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, short: int = SHORT, short_gram: int = SHORT_GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; and n_shared: its bytes
+    that strings of ``short`` bytes cover which another document holds too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"]
         for batch in batches:
             row = batch.column(0)
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in names[1:]]
             for text, spans in zip(row.field("text").to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                cuts = merged([(s["first"], s["last"]) for s in spans or ()])
+                cuts, shared = (merged([(s["first"], s["last"]) for s in spans or () if s["length"] == n]) for n in (length, short))
                 kept, at = [], 0
                 for a, b in cuts:
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                for o, v in zip(out, (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()), strict=True):
+                for o, v in zip(out, (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in shared)), strict=True):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([row.field("doc_id"), *(pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([row.field("doc_id"), *(pa.array(o, k) for o, k in zip(out, types, strict=True))], names)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(slim, **how).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(slim, {length: gram, short: short_gram}, short).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
 
 
-def drop_repeats(docs: DataFrame, **how) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The rows and columns of ``docs`` with repeated bytes taken out of ``text``;
     a character that loses a byte goes whole."""
 
@@ -343,4 +434,4 @@ def drop_repeats(docs: DataFrame, **how) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _with_spans(docs, **how).mapInArrow(run, docs.schema)
+    return _with_spans(docs, {length: gram}).mapInArrow(run, docs.schema)
