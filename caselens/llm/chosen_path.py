@@ -2,35 +2,46 @@
 
 A document is the set of its word shingles; documents with equal sets form a
 class, and one document stands for a class. In each of TREES independent trees
-a set walks down from the root: a node's own hash function picks the lowest
-token of the set, and that token leads to the child, so two sets stay together
-at a step with a chance of their Jaccard similarity. After DEPTH steps, sets on
-one path form a node. A node of at most LIMIT sets is compared exhaustively in
-one task. A larger one is first thinned: it branches again by the path of the
-next tree, and what is still larger is dealt into parts of about LIMIT / 2 sets
-that all hold the node's smallest document, differently in every tree. What
-these links leave in different components is then compared whole, part against
-part of about 2 * LIMIT sets each, so every two sets of a node are compared or
-already linked. Only parts of one component, and parts whose sizes rule a link
-out, skip each other. A pair at the threshold is missed with a chance of
-(1 - 0.8 ** DEPTH) ** TREES, about 0.001, whatever the size of its nodes; the
-work in a node grows with the square of the sets left in different components.
-
-Comparisons use the full sets. Only a spanning forest of a node's links leaves
-its task, and nodes with the same members in several trees are compared once.
-Components come from the links by rounds of Spark jobs.
+a random order of all tokens is drawn, and a set walks down from the root along
+its lowest tokens: its lowest one leads to its node at the first level, and in
+a node of more than LIMIT sets it branches on to one child for each of its next
+two tokens. Two sets stay together at a step with a chance of their Jaccard
+similarity or more. Branching goes on for as long as a node is large and its
+children are much smaller, so the depth follows the data: a line that a third
+of all documents share only makes its nodes deeper.
+
+A node of at most LIMIT sets is compared exhaustively in one task. A node that
+keeps half of its sets or more in one child is a group of near-copies that no
+branching parts (as is what is still large KEEP tokens down). It is first
+thinned: dealt into parts of about LIMIT / 2 sets that all hold the node's
+smallest document, differently in every tree. What these links leave in
+different components is then compared whole, part against part of about
+2 * LIMIT sets each, so every two sets of such a node are compared or already
+linked. Only parts of one component, and parts whose sizes rule a link out,
+skip each other. LIMIT thus decides cost alone. A pair at the threshold that
+shares no small node in one tree does so in another: it is missed with a chance
+of (1 - 0.8) ** TREES, about 0.0001, where nodes are small, and of about 0.001
+where they branch twice; the work in a group of near-copies grows with the
+square of the sets that its first links leave in different components.
+
+Comparisons use the full sets, written once for all nodes. Only a spanning
+forest of a node's links leaves its task, and nodes with the same members in
+several trees are compared once. Components come from the links by rounds of
+Spark jobs.
 
 Defined results: null and wordless texts have an empty set and are linked with
-nothing; with fewer words than a shingle the whole sequence is one; rows with
-one doc_id are one document; rows with a null doc_id are linked with nothing,
-have a null component and are kept; an empty table gives no rows; other columns
-are ignored by :func:`groups` and kept by :func:`drop_near_copies`.
+nothing; with fewer words than a shingle the whole sequence is one; texts of any
+length are compared whole; rows with one doc_id are one document; rows with a
+null doc_id are linked with nothing, have a null component and are kept; an
+empty table gives no rows; other columns are ignored by :func:`groups` and kept
+by :func:`drop_near_copies`.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +52,25 @@ from . import bytesops, components, storage
 
 WORDS = 5
 PERCENT = 80
-TREES = 10
-DEPTH = 3
+TREES = 6
+KEEP = 6
+BRANCH = 2
 LIMIT = 256
 PART = 1 << 21
 
 
-def _paths(tokens: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The node that each tree leads the set of tokens to."""
-    path = bytesops.mix(np.arange(trees, dtype=np.uint64), 5)
-    for _ in range(depth):
-        ranked = (tokens[None, :] ^ path[:, None]) * np.uint64(0xD6E8FEB86659FD93)
-        ranked ^= ranked >> np.uint64(32)
-        ranked *= np.uint64(0xA0761D6478BD642F)
-        path = bytesops.mix(path ^ tokens[ranked.argmin(axis=1)], 77)
-    return path.view(np.int64)
+def _lowest(tokens: np.ndarray, trees: int, keep: int) -> np.ndarray:
+    """In each tree, the set's lowest tokens in the tree's order, as 31 bits of each; -1 where there are fewer."""
+    seeds = bytesops.mix(np.arange(trees, dtype=np.uint64), 5)
+    ranked = (tokens[None, :] ^ seeds[:, None]) * np.uint64(0xD6E8FEB86659FD93)
+    ranked ^= ranked >> np.uint64(32)
+    ranked *= np.uint64(0xA0761D6478BD642F)
+    ranked ^= ranked >> np.uint64(29)
+    if len(tokens) > keep:
+        ranked = np.partition(ranked, keep - 1, axis=1)[:, :keep]
+    out = np.full((trees, keep), -1, np.int32)
+    out[:, : ranked.shape[1]] = (np.sort(ranked, axis=1) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+    return out.ravel()
 
 
 def _class_name(tokens: np.ndarray) -> list[int]:
@@ -68,8 +83,8 @@ def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from bytesops.shingle_sets(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first], words)
 
 
-def _sketches(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, n_shingles, class (two longs) and paths of every row; null without shingles."""
+def _sketches(docs: DataFrame, words: int, trees: int, keep: int) -> DataFrame:
+    """doc_id, n_shingles, class (two longs) and lowest tokens of every row; null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,36 +92,57 @@ def _sketches(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
             for tokens in _sets(batch.column(1), words):
                 size.append(len(tokens))
                 names.append(_class_name(tokens) if len(tokens) else [None, None])
-                paths.append(_paths(tokens, trees, depth) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *(pa.array([n[i] for n in names], pa.int64()) for i in (0, 1)), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "c1", "c2", "paths"])
+                paths.append(_lowest(tokens, trees, keep) if len(tokens) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *(pa.array([n[i] for n in names], pa.int64()) for i in (0, 1)), pa.array(paths, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "c1", "c2", "paths"])
 
     storage.small_batches(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, paths array<long>")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, paths array<int>")
 
 
-def _nodes(classes: DataFrame, trees: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(node, rep) of nodes with two members or more and about ``limit`` at most, and of whole larger ones."""
-    at = classes.select("rep", "paths", F.posexplode("paths").alias("tree", "node"))
-    at = storage.materialize(at.select("rep", "node", F.xxhash64("node", F.get("paths", (F.col("tree") + 1) % trees)).alias("deeper")), "paths")
+def _nodes(classes: DataFrame, trees: int, keep: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, rep) of the nodes of two sets to ``limit``, and of the larger ones that don't part."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    at = classes.select("rep", "paths", tree).select("rep", "tree", F.xxhash64("tree", F.get("paths", F.col("tree") * keep)).alias("node"))
+    at = storage.materialize(at, "paths")
     sizes = at.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     met = storage.materialize(at.join(sizes, "node"), "met")
-    small = met.where(F.col("n") <= limit).select("node", "rep")
-    whole = met.where(F.col("n") > limit)
-    large = whole.select(F.col("deeper").alias("node"), "rep")
-    sizes = large.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
-    large = large.join(sizes, "node")
-    split = large.where(F.col("n") <= limit).select("node", "rep")
-    parts = F.ceil(F.col("n") / (limit // 2))
-    huge = large.where(F.col("n") > limit).select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), parts)).alias("node"), "rep", "first")
-    # The first document of a node joins each of its parts.
-    joined = huge.select("node", F.col("first").alias("rep")).distinct()
-    return small.unionAll(split).unionAll(huge.select("node", "rep")).unionAll(joined), whole.select("node", "rep")
-
-
-def _open_pairs(whole: DataFrame, classes: DataFrame, component: DataFrame, *, percent: int, limit: int) -> DataFrame:
+    leaves, dense = [met.where(F.col("n") <= limit).select("node", "rep")], []
+    big = met.where(F.col("n") > limit).join(classes.select("rep", "paths"), "rep")
+    big = big.select("node", "rep", "n", F.slice("paths", F.col("tree") * keep + 1, F.lit(keep)).alias("low"), F.lit(0).alias("pos"))
+    while True:
+        big = storage.materialize(big, "big")
+        if big.isEmpty():
+            break
+        # The paths that have come to their last token can't branch.
+        on = F.explode(F.sequence(F.col("pos") + 1, F.least(F.col("pos") + BRANCH, F.lit(keep - 1)))).alias("pos")
+        kids = big.where(F.col("pos") < keep - 1).select(F.col("node").alias("parent"), F.col("n").alias("whole"), "rep", "low", on)
+        kids = kids.withColumn("node", F.xxhash64("parent", F.get("low", "pos"))).dropDuplicates(["node", "rep"])
+        kids = storage.materialize(kids, "kids")
+        sizes = kids.groupBy("parent", "node").agg(F.count("*").alias("n"), F.first("whole").alias("whole"))
+        parted = sizes.groupBy("parent").agg(F.max("n").alias("most"), F.first("whole").alias("whole")).where("2 * most < whole").select("parent")
+        parted = storage.materialize(parted, "parted")
+        dense.append(big.join(parted, big["node"] == parted["parent"], "left_anti").select("node", "rep"))
+        sizes = sizes.where("n > 1").join(parted, "parent", "left_semi").select("node", "n")
+        met = storage.materialize(kids.join(sizes, "node").select("node", "rep", "n", "low", "pos"), "met")
+        leaves.append(met.where(F.col("n") <= limit).select("node", "rep"))
+        big = met.where(F.col("n") > limit)
+    return reduce(DataFrame.unionAll, leaves), reduce(DataFrame.unionAll, dense) if dense else None
+
+
+def _thinned(dense: DataFrame, limit: int) -> DataFrame:
+    """(part, rep): every node dealt into parts of about ``limit / 2`` sets, each with the node's smallest document."""
+    sizes = dense.groupBy("node").agg(F.ceil(F.count("*") / (limit // 2)).alias("parts"), F.min("rep").alias("first"))
+    part = F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.col("parts"))).alias("node")
+    dealt = dense.join(sizes, "node").select(part, "rep")
+    number = F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")
+    first = sizes.select("node", "first", number).select(F.xxhash64("node", "part").alias("node"), F.col("first").alias("rep"))
+    return dealt.unionAll(first)
+
+
+def _open_pairs(dense: DataFrame, classes: DataFrame, component: DataFrame, *, percent: int, limit: int) -> DataFrame:
     """(node, rep) of every two parts of a large node that may still hold an unknown link between components."""
     most = 2 * limit
-    rows = whole.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    rows = dense.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
     rows = rows.join(classes.select("rep", "n_shingles"), "rep").select("node", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     held = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
     # A node within one component has nothing left to find.
@@ -169,64 +205,80 @@ def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(docs: DataFrame, classes: DataFrame, nodes: DataFrame, *, words: int, percent: int) -> DataFrame:
-    """(a, b) pairs of class representatives whose components are those of all links within the nodes."""
-    members = nodes.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members"))
-    alike = storage.materialize(members.groupBy("members").agg(F.min("node").alias("node")), "nodes")
-    wanted = alike.select("node", F.explode("members").alias("rep")).groupBy("rep").agg(F.collect_list("node").alias("nodes"))
-    wanted = classes.select("rep", "c1", "c2").join(wanted, "rep")
+def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(rep, tokens): the whole sets of the given representatives, as bytes of sorted 64-bit tokens."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, rep, tokens = [], [], []
-            rows = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), _sets(batch.column(0), words), strict=True)
-            for r, c1, c2, at, s in rows:
+            rep, tokens, held = [], [], 0
+            rows = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), _sets(batch.column(0), words), strict=True)
+            for r, c1, c2, s in rows:
                 if len(s) and _class_name(s) == [c1, c2]:
-                    raw = s.tobytes()
-                    node += at
-                    rep += [r] * len(at)
-                    tokens += [raw] * len(at)
-            for k in range(0, len(node), 2048):
-                yield pa.RecordBatch.from_arrays([pa.array(node[k : k + 2048], pa.int64()), pa.array(rep[k : k + 2048], pa.int64()), pa.array(tokens[k : k + 2048], pa.binary())], ["node", "rep", "tokens"])
+                    rep.append(r)
+                    tokens.append(s.tobytes())
+                    held += s.nbytes
+                if held > PART:
+                    yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(tokens, pa.binary())], ["rep", "tokens"])
+                    rep, tokens, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(tokens, pa.binary())], ["rep", "tokens"])
+
+    wanted = classes.select("rep", "c1", "c2").join(reps, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    # Repeated rows of a document give its set as often; once is enough.
+    return texts.select("text", "rep", "c1", "c2").mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"])
+
+
+def links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs of representatives whose components are those of all links within the nodes (node, rep)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reps, sets = None, [], []
+        now, reps, held = None, [], []
 
         def done() -> pa.RecordBatch:
-            found = _links(sets, percent) if len(sets) > 1 else []
+            found = _links(held, percent) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in found], pa.int64()), pa.array([reps[j] for _, j in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for node, rep, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if node != now:
-                    if len(sets) > 1:
+                    if len(held) > 1:
                         yield done()
-                    now, reps, sets = node, [], []
+                    now, reps, held = node, [], []
+                elif rep == reps[-1]:
+                    continue
                 reps.append(rep)
-                sets.append(np.frombuffer(raw, np.uint64))
-        if len(sets) > 1:
+                held.append(np.frombuffer(raw, np.uint64))
+        if len(held) > 1:
             yield done()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    rows = texts.select("text", "rep", "c1", "c2", "nodes").mapInArrow(spread, "node long, rep long, tokens binary")
-    rows = rows.repartition("node").sortWithinPartitions("node", "rep")
+    storage.small_batches(sets.sparkSession, 128)
+    rows = nodes.join(sets, "rep").select("node", "rep", "tokens").repartition("node").sortWithinPartitions("node", "rep")
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, limit: int = LIMIT) -> DataFrame:
+def groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, keep: int = KEEP, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows = storage.materialize(_sketches(docs, words, trees, depth), "sketches")
+    rows = storage.materialize(_sketches(docs, words, trees, keep), "sketches")
     whole = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = storage.materialize(whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("paths").alias("paths"), F.first("n_shingles").alias("n_shingles")), "classes")
     # Rows with one doc_id and different texts are one document.
     same_id = whole.groupBy("doc_id").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x <> y").select("doc_id")
     twice = whole.join(same_id, "doc_id").select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    nodes, whole_nodes = _nodes(classes, trees, limit)
-    component = components.smallest_reachable(links(docs, classes, nodes, words=words, percent=percent).unionAll(twice))
-    pairs = storage.materialize(_open_pairs(whole_nodes, classes, component, percent=percent, limit=limit), "pairs")
-    if not pairs.isEmpty():
-        more = links(docs, classes, pairs, words=words, percent=percent)
-        component = components.smallest_reachable(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+    nodes, dense = _nodes(classes, trees, keep, limit)
+    if dense is not None:
+        dense = storage.materialize(dense, "dense")
+        nodes = nodes.unionAll(_thinned(dense, limit))
+    # Nodes of several trees with the same members are compared once.
+    members = nodes.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members"))
+    alike = members.groupBy("members").agg(F.min("node").alias("node")).where("size(members) > 1")
+    nodes = storage.materialize(alike.select("node", F.explode("members").alias("rep")), "nodes")
+    sets = storage.materialize(_full_sets(docs, classes, nodes.select("rep").distinct(), words), "sets")
+    component = components.smallest_reachable(links(sets, nodes, percent).unionAll(twice))
+    if dense is not None:
+        pairs = storage.materialize(_open_pairs(dense, classes, component, percent=percent, limit=limit), "pairs")
+        if not pairs.isEmpty():
+            more = links(sets, pairs, percent)
+            component = components.smallest_reachable(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     named = classes.join(component, classes["rep"] == component["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     out = rows.drop("paths").join(named, ["c1", "c2"], "left")
     ids = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
