@@ -95,19 +95,6 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(span_hash(prefix, begin, end) + (end - begin).astype(U64) * U64(_ODD)), first
 
 
-def term_hashes(buf: np.ndarray, offs: np.ndarray, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word, A-Z lower-cased, and of the first bytes of longer ones; and each hash's row."""
-    begin, end, first = word_spans(buf, offs)
-    prefix = prefix_hash(LOWER[buf])
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    hashes, rows = [mix(span_hash(prefix, begin, end) + (end - begin).astype(U64) * U64(_ODD))], [row]
-    for n in stems:
-        at = np.flatnonzero(end - begin > n)
-        hashes.append(mix(span_hash(prefix, begin[at], begin[at] + n), n))
-        rows.append(row[at])
-    return np.concatenate(hashes), np.concatenate(rows)
-
-
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]:
     """Each row's sorted distinct hashes of ``width`` words in a row; the whole
     sequence as one where there are fewer; empty without words."""

@@ -1,19 +1,20 @@
 """Toxicity by nearest labelled examples (operator 9).
 
 A bounded sample of labelled rows gives the examples (at most EXAMPLES of each
-label, by a hash of doc_id) and the terms: all words and longer words' first STEMS
-bytes, A-Z lower-cased, of at least FLOOR examples. Document frequencies of the
-terms are counted over all documents. Every document becomes a TF-IDF vector
-over the terms, each weighed by 1 plus the log-likelihood ratio of its presence
-and the label, and its NEIGHBOURS nearest examples by cosine
-are found exactly in an inverted index whose postings are cut into blocks of
-examples: a block's largest weights bound what any example in it can score, and
-blocks are visited by falling bound until no bound reaches the kth score.
+label, by a hash of doc_id) and the terms: all words, A-Z lower-cased, of at
+least FLOOR examples. Document frequencies of the terms are counted over all
+documents. Every document becomes a TF-IDF vector over the terms, each weighed
+by 1 plus the log-likelihood ratio of its presence and the label, and its
+NEIGHBOURS nearest examples by cosine are found exactly in an inverted index
+whose postings are cut into blocks of examples: a block's largest weights bound
+what any example in it can score. The blocks of the highest bounds are scored
+first, and of the others those whose bound reaches the kth score so far.
 Votes are weighted by cosine and by how far the sample thinned each label;
 isotonic regression over the examples' own leave-one-out votes calibrates them.
 The nearest examples are returned as evidence.
 
-Defined results: a null text is an empty one; texts without a term get the rate
+Defined results: a null text is an empty one; texts of any length are weighed
+whole; texts without a term get the rate
 of labelled examples without one; ties in cosine go to the smaller example
 number, which doesn't depend on the label; repeated rows get a row each, and repeated labels of a doc_id count
 once, by the largest label; without labelled rows every score is 0.5; an empty
@@ -34,27 +35,36 @@ from pyspark.sql import functions as F
 from . import bytesops, isotonic, storage
 from .quality import is_held_out
 
-EXAMPLES = 4096
-STEMS = (5,)
+EXAMPLES = 2048
 FLOOR = 2
 NEIGHBOURS = 24
 THRESHOLD = 0.5
-BLOCK = 64
+BLOCK = 32
+#: Blocks that are scored before any is left out.
+FIRST = 8
+_SIEVE_BITS = 22
+
+
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and its row."""
+    hashes, first = bytesops.word_hashes(buf, offs)
+    return hashes, np.repeat(np.arange(len(offs) - 1), np.diff(first))
 
 
 def _terms_of(docs: DataFrame, known: np.ndarray) -> DataFrame:
     """doc_id, and the numbers and frequencies of the sorted hashes ``known`` in each whole text."""
-    # Most words are none of the terms; one look-up by 16 bits rules them out.
-    maybe = np.zeros(1 << 16, bool)
-    maybe[(known >> np.uint64(48)).astype(np.int64)] = True
+    # Most words are none of the terms; one look-up by a few bits rules them out.
+    shift = np.uint64(64 - _SIEVE_BITS)
+    maybe = np.zeros(1 << _SIEVE_BITS, bool)
+    maybe[(known >> shift).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = bytesops.text_bytes(batch.column(1))
             numbers, times, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.zeros(batch.num_rows + 1, np.int32)
             for first, last in bytesops.row_blocks(offs):
-                words, rows = bytesops.term_hashes(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first], STEMS)
-                here = np.flatnonzero(maybe[(words >> np.uint64(48)).astype(np.int64)])
+                words, rows = _words(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first])
+                here = np.flatnonzero(maybe[(words >> shift).astype(np.int64)])
                 slot = np.searchsorted(known, words[here])
                 slot[slot == len(known)] = 0
                 hit = known[slot] == words[here] if len(known) else np.zeros(len(here), bool)
@@ -91,7 +101,7 @@ def _distinct_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             buf, offs = bytesops.text_bytes(batch.column(1))
             for first, last in bytesops.row_blocks(offs):
-                words, rows = bytesops.term_hashes(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first], STEMS)
+                words, rows = _words(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first])
                 order = np.lexsort((words, rows))
                 words, rows = words[order], rows[order]
                 new = np.ones(len(words), bool)
@@ -151,23 +161,19 @@ class Index:
         cell, owner = _ranges(self.cells[terms], self.cells[terms + 1])
         block, share = self.block[cell], w[owner]
         bound = np.bincount(block, weights=share * self.most[cell], minlength=1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 8
-        while at < len(order):
+        first = np.zeros(len(bound), bool)
+        first[np.argpartition(-bound, FIRST - 1)[:FIRST] if len(bound) > FIRST else slice(None)] = True
+        for some in (first, ~first):
             if len(best_s) == k:
-                order = order[bound[order] >= best_s[-1] - 1e-9]
-            some = np.zeros(len(bound), bool)
-            some[order[at : at + step]] = True
-            at, step = at + step, 2 * step
+                some &= bound >= best_s[-1] - 1e-9
             here = np.flatnonzero(some[block])
+            if not len(here):
+                continue
             posting, mine = _ranges(self.starts[cell[here]], self.starts[cell[here] + 1])
             got = np.bincount(self.posted[posting], weights=share[here][mine] * self.weight[posting], minlength=1)
-            hits = np.flatnonzero(got > 0)
+            hits = np.flatnonzero(got > (max(best_s[-1] - 1e-9, 0) if len(best_s) == k else 0))
             hits = hits[hits != without]
-            if len(best_s) == k:
-                hits = hits[got[hits] >= best_s[-1] - 1e-9]
             i, s = np.concatenate([best_i, hits]), np.concatenate([best_s, got[hits]])
             keep = np.lexsort((i, -np.round(s, 12)))[:k]
             best_i, best_s = i[keep], s[keep]

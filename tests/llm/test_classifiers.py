@@ -1,4 +1,6 @@
+import collections
 import random
+import re
 import zlib
 
 import numpy as np
@@ -69,6 +71,70 @@ def test_toxicity_covers_texts_without_the_leading_terms(spark):
     assert abs(index.labels[: len(index.labels) // 2].mean() - 0.5) < 0.25
 
 
+def test_toxicity_equals_a_plain_version(spark):
+    # TF-IDF, likelihood ratios, cosines, votes and calibration anew, over the whole vocabulary.
+    docs, labels, n = corpus(spark, 200)
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    known = {}
+    for r in labels.collect():
+        if r.toxic in (0, 1) and not held(r.doc_id):
+            known[r.doc_id] = max(r.toxic, known.get(r.doc_id, 0))
+    words = lambda t: collections.Counter(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+    sample = {}
+    for i, t in rows:
+        if i in known:
+            sample[i] = max(sample.get(i, ""), t)
+    bags = {i: words(t) for i, t in sample.items()}
+    n1, n0 = sum(known[i] for i in sample), sum(1 - known[i] for i in sample)
+
+    def ratio(a, b):
+        part = lambda k, m, p: (k * np.log(k / (m * p)) if k else 0.0) + ((m - k) * np.log((m - k) / (m * (1 - p))) if m > k else 0.0)
+        p = (a + b) / (n1 + n0)
+        return 2 * (part(a, n1, p) + part(b, n0, p)) if p < 1 else 0.0
+
+    weigh = {}
+    for w in {w for b in bags.values() for w in b}:
+        a, b = sum(w in bags[i] and known[i] for i in bags), sum(w in bags[i] and not known[i] for i in bags)
+        if a + b >= 2:
+            weigh[w] = np.log(1 + len(rows) / (1 + sum(w in words(t) for _, t in rows))) * (1 + max(ratio(a, b), 0.0))
+
+    def vector(bag):
+        v = {w: (1 + np.log(k)) * weigh[w] for w, k in bag.items() if w in weigh}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    _, index, _ = toxicity.fit(docs, labels)
+    order = index.ids.tolist()
+    vectors = {i: vector(bags[i]) for i in order}
+    rates = {1: sum(known.values()) / n1, 0: sum(1 - y for y in known.values()) / n0}
+
+    def near(v, without=None):
+        s = [(-round(sum(x * vectors[i].get(w, 0.0) for w, x in v.items()), 12), k, i) for k, i in enumerate(order) if i != without]
+        return [(i, -c) for c, _, i in sorted(s)[: toxicity.NEIGHBOURS] if c < 0]
+
+    def vote(found):
+        total = sum(rates[known[i]] * c for i, c in found)
+        return sum(rates[known[i]] * c * known[i] for i, c in found) / total if total else -1.0
+
+    total, positive = np.zeros(isotonic.BINS), np.zeros(isotonic.BINS)
+    for i in order:
+        if (raw := vote(near(vectors[i], i))) >= 0:
+            b = min(int(raw * isotonic.BINS), isotonic.BINS - 1)
+            total[b] += rates[known[i]]
+            positive[b] += rates[known[i]] * known[i]
+    levels = isotonic.pool(total, positive)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    for r in toxicity.scores(docs, labels).collect():
+        want = []
+        for t in texts[r.doc_id]:
+            found = near(vector(words(t)))
+            raw = vote(found)
+            want.append((levels[min(int(raw * isotonic.BINS), isotonic.BINS - 1)] if raw >= 0 else index.plain, [i for i, _ in found[:5]]))
+        assert any(abs(r.score - s) < 1e-9 and r.evidence == e for s, e in want)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(5)
     index = toxicity.Index(rng.uniform(0.5, 3, 30), np.zeros(300), np.ones(300), np.arange(300), np.zeros(isotonic.BINS), 0.0)
