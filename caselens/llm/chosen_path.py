@@ -24,10 +24,9 @@ of (1 - 0.8) ** TREES, about 0.0001, where nodes are small, and of about 0.001
 where they branch twice; the work in a group of near-copies grows with the
 square of the sets that its first links leave in different components.
 
-Comparisons use the full sets, written once for all nodes. Only a spanning
-forest of a node's links leaves its task, and nodes with the same members in
-several trees are compared once. Components come from the links by rounds of
-Spark jobs.
+Comparisons use the full sets. Only a spanning forest of a node's links leaves
+its task, and nodes with the same members in several trees are compared once.
+Components come from the links by rounds of Spark jobs.
 
 Defined results: null and wordless texts have an empty set and are linked with
 nothing; with fewer words than a shingle the whole sequence is one; texts of any
@@ -57,6 +56,10 @@ KEEP = 6
 BRANCH = 2
 LIMIT = 256
 PART = 1 << 21
+#: Nodes of one set in a row; bytes of sets in a batch; ids of sets that are broadcast at most.
+MANY = 256
+BATCH = 1 << 24
+FEW = 100_000
 
 
 def _lowest(tokens: np.ndarray, trees: int, keep: int) -> np.ndarray:
@@ -109,10 +112,8 @@ def _nodes(classes: DataFrame, trees: int, keep: int, limit: int) -> tuple[DataF
     leaves, dense = [met.where(F.col("n") <= limit).select("node", "rep")], []
     big = met.where(F.col("n") > limit).join(classes.select("rep", "paths"), "rep")
     big = big.select("node", "rep", "n", F.slice("paths", F.col("tree") * keep + 1, F.lit(keep)).alias("low"), F.lit(0).alias("pos"))
-    while True:
-        big = storage.materialize(big, "big")
-        if big.isEmpty():
-            break
+    big = storage.materialize(big, "big")
+    while not big.isEmpty():
         # The paths that have come to their last token can't branch.
         on = F.explode(F.sequence(F.col("pos") + 1, F.least(F.col("pos") + BRANCH, F.lit(keep - 1)))).alias("pos")
         kids = big.where(F.col("pos") < keep - 1).select(F.col("node").alias("parent"), F.col("n").alias("whole"), "rep", "low", on)
@@ -120,7 +121,6 @@ def _nodes(classes: DataFrame, trees: int, keep: int, limit: int) -> tuple[DataF
         kids = storage.materialize(kids, "kids")
         sizes = kids.groupBy("parent", "node").agg(F.count("*").alias("n"), F.first("whole").alias("whole"))
         parted = sizes.groupBy("parent").agg(F.max("n").alias("most"), F.first("whole").alias("whole")).where("2 * most < whole").select("parent")
-        parted = storage.materialize(parted, "parted")
         dense.append(big.join(parted, big["node"] == parted["parent"], "left_anti").select("node", "rep"))
         sizes = sizes.where("n > 1").join(parted, "parent", "left_semi").select("node", "n")
         met = storage.materialize(kids.join(sizes, "node").select("node", "rep", "n", "low", "pos"), "met")
@@ -205,31 +205,37 @@ def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(rep, tokens): the whole sets of the given representatives, as bytes of sorted 64-bit tokens."""
+def links(docs: DataFrame, classes: DataFrame, nodes: DataFrame, *, words: int, percent: int, few: int = 0) -> DataFrame:
+    """(a, b) pairs of representatives whose components are those of all links within the nodes (node, rep).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rep, tokens, held = [], [], 0
-            rows = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), _sets(batch.column(0), words), strict=True)
-            for r, c1, c2, s in rows:
-                if len(s) and _class_name(s) == [c1, c2]:
-                    rep.append(r)
-                    tokens.append(s.tobytes())
-                    held += s.nbytes
-                if held > PART:
-                    yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(tokens, pa.binary())], ["rep", "tokens"])
-                    rep, tokens, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(tokens, pa.binary())], ["rep", "tokens"])
-
-    wanted = classes.select("rep", "c1", "c2").join(reps, "rep", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    # Repeated rows of a document give its set as often; once is enough.
-    return texts.select("text", "rep", "c1", "c2").mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"])
+    A set goes to its nodes from the task that reads its text. Up to ``few`` representatives are
+    looked for by a broadcast of their ids, more by a join that shuffles the texts.
+    """
+    # One that very many nodes hold reaches them in several rows.
+    many = nodes.groupBy("rep").agg(F.count("*").alias("n")).where(f"n > {MANY}")
+    chunk = F.pmod("node", F.ceil(F.coalesce("n", F.lit(1)) / MANY)).alias("chunk")
+    wanted = nodes.join(many, "rep", "left").select("rep", "node", chunk).groupBy("rep", "chunk").agg(F.collect_set("node").alias("nodes"))
+    wanted = classes.select("rep", "c1", "c2").join(wanted, "rep").drop("chunk")
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rep, pa.int64()), pa.array(tokens, pa.binary())], ["node", "rep", "tokens"])
 
-def links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs of representatives whose components are those of all links within the nodes (node, rep)."""
+        node, rep, tokens, held = [], [], [], 0
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), _sets(batch.column(0), words), strict=True)
+            for r, c1, c2, at, s in rows:
+                if len(s) and _class_name(s) == [c1, c2]:
+                    raw = s.tobytes()
+                    for n in at:
+                        node.append(n)
+                        rep.append(r)
+                        tokens.append(raw)
+                        held += len(raw)
+                        if held > BATCH:
+                            yield done()
+                            node, rep, tokens, held = [], [], [], 0
+        yield done()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, reps, held = None, [], []
@@ -245,15 +251,19 @@ def links(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                         yield done()
                     now, reps, held = node, [], []
                 elif rep == reps[-1]:
-                    continue
+                    continue  # a repeated row
                 reps.append(rep)
                 held.append(np.frombuffer(raw, np.uint64))
         if len(held) > 1:
             yield done()
 
-    storage.small_batches(sets.sparkSession, 128)
-    rows = nodes.join(sets, "rep").select("node", "rep", "tokens").repartition("node").sortWithinPartitions("node", "rep")
-    return rows.mapInArrow(compare, "a long, b long")
+    storage.small_batches(docs.sparkSession, 256)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    ids = nodes.select("rep").distinct()
+    if few and ids.limit(few + 1).count() <= few:
+        texts = texts.join(F.broadcast(ids), "rep", "left_semi")
+    rows = texts.join(wanted, "rep").select("text", "rep", "c1", "c2", "nodes").mapInArrow(spread, "node long, rep long, tokens binary")
+    return rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(compare, "a long, b long")
 
 
 def groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, keep: int = KEEP, limit: int = LIMIT) -> DataFrame:
@@ -272,12 +282,11 @@ def groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, trees
     members = nodes.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members"))
     alike = members.groupBy("members").agg(F.min("node").alias("node")).where("size(members) > 1")
     nodes = storage.materialize(alike.select("node", F.explode("members").alias("rep")), "nodes")
-    sets = storage.materialize(_full_sets(docs, classes, nodes.select("rep").distinct(), words), "sets")
-    component = components.smallest_reachable(links(sets, nodes, percent).unionAll(twice))
+    component = components.smallest_reachable(links(docs, classes, nodes, words=words, percent=percent).unionAll(twice))
     if dense is not None:
         pairs = storage.materialize(_open_pairs(dense, classes, component, percent=percent, limit=limit), "pairs")
         if not pairs.isEmpty():
-            more = links(sets, pairs, percent)
+            more = links(docs, classes, pairs, words=words, percent=percent, few=FEW)
             component = components.smallest_reachable(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     named = classes.join(component, classes["rep"] == component["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     out = rows.drop("paths").join(named, ["c1", "c2"], "left")

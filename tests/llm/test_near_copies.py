@@ -98,3 +98,22 @@ def test_original_with_a_larger_id_meets_all_its_variants(spark):
     assert set(want.values()) == {0} and len(set(variants.values())) == 200
     got = {r.doc_id: r.component_id for r in chosen_path.groups(docs, words=4, limit=16).collect()}
     assert got == want
+
+
+def test_a_star_and_a_chain_of_thousands_are_one_component_each(spark):
+    # 2000 documents near one original only, and 2000 of which each is near its neighbours only.
+    rng = random.Random(1)
+    base = [f"t{i}" for i in range(400)]
+    rows = [(2000, " ".join(base))]
+    for i in range(2000):
+        words = list(base)
+        for k in rng.sample(range(400), 8):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    long = [f"c{rng.random()}" for _ in range(2000 * 40 + 400)]
+    rows += [(10_000 + i, " ".join(long[40 * i : 40 * i + 400])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in chosen_path.groups(docs, words=4).collect()}
+    # The chain's 1,999 links stand at a similarity of 0.817: few may be missed.
+    assert {got[i] for i in range(2001)} == {0}
+    assert len({got[10_000 + i] for i in range(2000)}) <= 1 + 0.01 * 1999
