@@ -5,8 +5,8 @@ else in the corpus. Every window of LENGTH bytes is led by the lowest-ranked of
 its GRAM-byte substrings, which its content alone decides, so equal windows
 have equal leaders at equal offsets. Consecutive windows under one leader form
 a run; a text of n bytes has about 2 n / (LENGTH - GRAM) of them, and only they
-are shuffled. The same pass measures a second, shorter length (SHORT), which
-counts only strings that another document holds too and removes nothing.
+are shuffled. The same pass measures shorter passages that documents share,
+which removes nothing (below).
 
 Runs meet by their leader's hash. A leader seen once repeats nothing; runs that
 are equal as a whole (64 bits of hash of the leader and 64 of a cryptographic
@@ -22,6 +22,11 @@ it. The order is checked by a second hash and, should the hashes disagree, made
 again by the bytes; neighbours that agree over the length are verified byte by
 byte.
 
+``n_shared`` needs no bytes: of runs of SHORT-byte windows, a slice's core is
+shared if its hash comes from another document too. So every string of SHORT
+bytes that two documents share is noticed, and nothing under SHORT less
+SHORT_STEP - 1 bytes is.
+
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing;
 of equal texts (repeated rows included) every one loses all that LENGTH covers;
 rows with one doc_id (or without one) are one document where SHORT asks for
@@ -43,9 +48,10 @@ from . import bytesops, storage
 
 LENGTH = 400
 GRAM = 128
-#: The shortest passages that ``n_shared`` counts: some fifty words.
+#: The passages that ``n_shared`` notices: some fifty words.
 SHORT = 300
 SHORT_GRAM = 64
+SHORT_STEP = 32
 #: Distances to the leader in a slice; of leaders with more than MANY contents, fewer, for longer cores.
 STEP = 64
 FINE_STEP = 16
@@ -117,12 +123,12 @@ def _text_name(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-_RUN = "length int, doc_id long, name long, n_bytes long, key long, content long, begin int, windows int, lead int"
+#: place: 2 * n_bytes, plus 1 for runs of the second kind; span: begin, windows and the leader's distance.
+_RUN = "key long, content long, doc_id long, name long, place long, span long"
 
 
 def _runs(docs: DataFrame, kinds: dict[int, int]) -> DataFrame:
     names = [x.split()[0] for x in _RUN.split(", ")]
-    types = [pa.int32(), *[pa.int64()] * 5, *[pa.int32()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,21 +138,31 @@ def _runs(docs: DataFrame, kinds: dict[int, int]) -> DataFrame:
                 part, rel = buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
                 prefix, raw = bytesops.prefix_hash(part), part.tobytes()
                 name, named = np.zeros(last - first, np.int64), np.zeros(last - first, bool)
-                for length, gram in kinds.items():
+                for kind, (length, gram) in enumerate(kinds.items()):
                     row, begin, count, lead, key = runs_of(part, rel, prefix, length, gram)
                     if not len(row):
                         continue
-                    digest = b"".join([hashlib.blake2b(raw[a : a + c + length - 1], digest_size=8).digest() for a, c in zip(begin.tolist(), count.tolist(), strict=True)])
+                    digest = b"".join([hashlib.blake2b(raw[a:z], digest_size=8).digest() for a, z in zip(begin.tolist(), (begin + count + (length - 1)).tolist(), strict=True)])
                     for r in np.unique(row[~named[row]]).tolist():
                         name[r], named[r] = _text_name(raw[rel[r] : rel[r + 1]]), True
-                    at = rel[row]
-                    columns = [np.full(len(row), length), ids.take(pa.array(row + first)), name[row], np.diff(rel)[row], bytesops.mix(key, length).view(np.int64), np.frombuffer(digest, "<i8"), begin - at, count, lead - at]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
+                    span = (begin - rel[row]) << 24 | count << 12 | (lead - begin)
+                    columns = [bytesops.mix(key, length).view(np.int64), np.frombuffer(digest, "<i8"), ids.take(pa.array(row + first)), name[row], np.diff(rel)[row] << 1 | kind, span]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
 
     storage.small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, _RUN)
 
 
+def _unpacked(runs: DataFrame, kinds: dict[int, int]) -> DataFrame:
+    lengths = F.array(*[F.lit(n) for n in kinds])
+    span = F.col("span")
+    begin, windows, ahead = F.shiftright(span, 24), F.shiftright(span, 12).bitwiseAND(F.lit(4095)), span.bitwiseAND(F.lit(4095))
+    return runs.select(
+        *[c for c in runs.columns if c not in ("place", "span")], F.get(lengths, F.col("place").bitwiseAND(F.lit(1)).cast("int")).alias("length"), F.shiftright("place", 1).alias("n_bytes"),
+        begin.cast("int").alias("begin"), windows.cast("int").alias("windows"), (begin + ahead).cast("int").alias("lead"),
+    )
+
+
 def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """How far the strings at a and b agree, up to ``most``, by binary search over hashes."""
     low, high = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
@@ -214,11 +230,10 @@ def _in_order(text: np.ndarray, starts: np.ndarray, group: np.ndarray, order: np
     return bool(agree.all() and (text[(a + same)[open_]] < text[(b + same)[open_]]).all())
 
 
-def repeated_windows(slices: list[bytes], aheads: list[int], windows: list[int], groups: np.ndarray, length: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[np.ndarray]:
+def repeated_windows(slices: list[bytes], aheads: list[int], windows: list[int], groups: np.ndarray, length: int) -> list[np.ndarray]:
     """For each slice, which of its windows also occurs in another slice of its group.
 
-    ``aheads``: from the first window's start to the leader. Given the least and the greatest
-    document that holds each slice, an occurrence in another document is asked for.
+    ``aheads``: from the first window's start to the leader.
     """
     text = np.frombuffer(b"".join(slices), np.uint8)
     prefix = bytesops.prefix_hash(text)
@@ -242,14 +257,8 @@ def repeated_windows(slices: list[bytes], aheads: list[int], windows: list[int],
         x, y = order[near[k : k + 4096]], order[near[k : k + 4096] + 1]
         equal[near[k : k + 4096]] = (text[starts[x][:, None] + span] == text[starts[y][:, None] + span]).all(axis=1)
     found = np.zeros(len(owner), bool)
-    if len(order):
-        chain = np.concatenate([[0], np.cumsum(~equal)])
-        heads = np.flatnonzero(np.concatenate([[True], ~equal]))
-        if low is None:
-            met = np.diff(np.append(heads, len(order))) > 1
-        else:
-            met = np.minimum.reduceat(low[owner[order]], heads) < np.maximum.reduceat(high[owner[order]], heads)
-        found[order] = met[chain]
+    found[order[:-1][equal]] = True
+    found[order[1:][equal]] = True
     return np.split(found, np.cumsum(count)[:-1])
 
 
@@ -264,14 +273,18 @@ def _edges(docs: DataFrame, mixed: DataFrame, elsewhere: int | None, hold: int =
 
     def slices_of(raw: bytes, r: dict) -> Iterator[tuple]:
         length, farthest = r["length"], r["lead"] - r["begin"]
-        step = min(r["step"], length // 4)
+        step = min(SHORT_STEP if length == elsewhere else r["step"], length // 4)
         nearest = farthest - r["windows"] + 1
         for q in range(nearest // step, farthest // step + 1):
             a, z = min(farthest, q * step + step - 1), max(nearest, q * step)
-            core = raw[r["lead"] - q * step : r["lead"] - q * step - step + 1 + length]
-            deal = hashlib.blake2b(core + f"{r['key']},{q}".encode(), digest_size=8).digest()
-            begin = r["lead"] - a
-            yield (int.from_bytes(deal, "little", signed=True), length, *(r[k] for k in ("key", "content", "low", "high", "alone")), a, begin - r["begin"], a - z + 1, raw[begin : begin + a - z + length])
+            core = r["lead"] - q * step
+            name = hashlib.blake2b(raw[core : core - step + 1 + length] + f"{r['key']},{q}".encode(), digest_size=8).digest()
+            same = (int.from_bytes(name, "little", signed=True), length, *(r[k] for k in ("key", "content", "low", "high", "alone")))
+            if length == elsewhere:
+                yield (*same, 0, core - r["begin"], length - step + 1, b"")
+            else:
+                begin = r["lead"] - a
+                yield (*same, a, begin - r["begin"], a - z + 1, raw[begin : begin + a - z + length])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _SLICE.split(", ")]
@@ -292,22 +305,24 @@ def _edges(docs: DataFrame, mixed: DataFrame, elsewhere: int | None, hold: int =
                             rows = []
             yield done()
 
+    def found_in(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "content", "first", "last"])
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, group, seen, now = [], 0, -1, set(), None
+        shared: list[tuple] = []  # of the deal at hand, until a second document is met
+        low = high = None
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            out = []
             for length in {h[1] for h in held}:
                 some = [h for h in held if h[1] == length]
-                out: list[list] = [[], [], [], []]
-                reach = (np.array([h[i] for h in some], np.int64) for i in (4, 5)) if length == elsewhere else (None, None)
-                flags = repeated_windows([h[10] for h in some], [h[7] for h in some], [h[9] for h in some], np.array([h[11] for h in some]), length, *reach)
+                flags = repeated_windows([h[10] for h in some], [h[7] for h in some], [h[9] for h in some], np.array([h[11] for h in some]), length)
                 for h, f in zip(some, flags, strict=True):
                     if h[6] and f.any():
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-                        for a, b in edge.reshape(-1, 2).tolist():
-                            for o, v in zip(out, (h[2], h[3], h[8] + a, h[8] + b - 1 + length), strict=True):
-                                o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "content", "first", "last"])
+                        out += [(h[2], h[3], h[8] + a, h[8] + b - 1 + length) for a, b in edge.reshape(-1, 2).tolist()]
+            return found_in(out)
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
@@ -315,16 +330,23 @@ def _edges(docs: DataFrame, mixed: DataFrame, elsewhere: int | None, hold: int =
                     if held and held[-1][11] == group and len(seen) == 1:
                         n -= held.pop()[9]  # alone in its deal, so it repeats nothing
                     if n >= hold:
-                        yield from done()
+                        yield done()
                         held, n = [], 0
                     now, seen, group = row[0], set(), group + 1
-                if row[2:4] in seen:
-                    continue
-                seen.add(row[2:4])
-                held.append((*row, group))
-                n += row[9]
+                    shared, low, high = [], row[4], row[5]
+                if row[1] == elsewhere:
+                    low, high = min(low, row[4]), max(high, row[5])
+                    if row[6]:
+                        shared.append((row[2], row[3], row[8], row[8] + row[9]))
+                    if low < high and shared:
+                        yield found_in(shared)
+                        shared = []
+                elif row[2:4] not in seen:
+                    seen.add(row[2:4])
+                    held.append((*row, group))
+                    n += row[9]
         if held:
-            yield from done()
+            yield done()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_n"))
     joined = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"]) & (texts["_n"] == wanted["n_bytes"]))
@@ -339,11 +361,14 @@ def repeated_spans(docs: DataFrame, kinds: dict[int, int], elsewhere: int | None
     runs = storage.materialize(_runs(docs, kinds), "runs")
     id_ = F.coalesce("doc_id", F.lit(_NO_ID))
     across = F.lit(False) if elsewhere is None else F.col("length") == elsewhere
-    keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y"), F.first("length").alias("length"), F.min(id_).alias("low"), F.max(id_).alias("high")).where("n > 1").where(~across | (F.col("low") < F.col("high")))
     # As a table of its own, so that Spark can split a leader that many runs share when it joins them.
-    keys = storage.materialize(keys.select("key", (F.col("x") != F.col("y")).alias("mixed")), "keys")
-    met = storage.materialize(runs.join(keys, "key"), "met")
-    storage.release(runs, keys)
+    twice = storage.materialize(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
+    met = storage.materialize(runs.join(twice, "key"), "met")
+    storage.release(runs, twice)
+    met = _unpacked(met, kinds)
+    keys = met.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y"), F.first("length").alias("length"), F.min(id_).alias("low"), F.max(id_).alias("high"))
+    keys = storage.materialize(keys.where(~across | (F.col("low") < F.col("high"))).select("key", (F.col("x") != F.col("y")).alias("mixed")), "keys")
+    met = met.join(keys, "key")
     covered = [F.col("begin").alias("first"), (F.col("begin") + F.col("windows") - 1 + F.col("length")).alias("last")]
     whole = met.where("NOT mixed").select("name", "n_bytes", "length", *covered)
     one = F.min(F.struct("doc_id", "name", "n_bytes", "begin", "windows", "lead", "length")).alias("r")
@@ -359,7 +384,7 @@ def repeated_spans(docs: DataFrame, kinds: dict[int, int], elsewhere: int | None
     inner = inner.select("name", "n_bytes", "length", (F.col("begin") + F.col("p.first")).alias("first"), (F.col("begin") + F.col("p.last")).alias("last"))
     spans = whole.unionAll(inner)
     spans = storage.materialize(spans.groupBy("name", "n_bytes").agg(F.collect_set(F.struct("length", "first", "last")).alias("spans")), "spans")
-    storage.release(met, mixed, parts)
+    storage.release(mixed, parts)
     return spans
 
 
@@ -389,8 +414,8 @@ def _with_spans(docs: DataFrame, kinds: dict[int, int], elsewhere: int | None =
 
 
 def removals(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, short: int = SHORT, short_gram: int = SHORT_GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; and n_shared: its bytes
-    that strings of ``short`` bytes cover which another document holds too."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; and n_shared: its bytes in
+    passages of about ``short`` bytes or more which another document holds too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"]

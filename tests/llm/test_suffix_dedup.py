@@ -27,6 +27,19 @@ def brute(texts, length):
     return out
 
 
+def check(got, rows, length, short):
+    want = [(i, *x) for (i, _), x in zip(rows, brute([t for _, t in rows], length), strict=True)]
+    assert sorted(map(str, (tuple(r)[:-1] for r in got))) == sorted(map(str, want))
+    # Strings of ``short`` bytes that documents share are all noticed, those under a step less never.
+    step = min(suffix_dedup.SHORT_STEP, short // 4)
+    most, least = ({k: n for (i, t), n in zip(rows, shared(rows, m), strict=True) for k in [(i, hashlib.sha256((t or "").encode()).hexdigest())]} for m in (short - step + 1, short))
+    for r in got:
+        for (i, t) in rows:
+            k = (i, hashlib.sha256((t or "").encode()).hexdigest())
+            if i == r.doc_id and len((t or "").encode()) == r.n_bytes:
+                assert (r.n_shared > 0) >= (least[k] > 0) and r.n_shared <= most[k]
+
+
 def test_removals_equal_brute_force(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6)))
@@ -45,8 +58,7 @@ def test_removals_equal_brute_force(spark):
     rows = list(zip(ids, texts, strict=True))
     for length, gram, short in ((64, 16, 50), (40, 20, 30)):
         got = suffix_dedup.removals(docs, length=length, gram=gram, short=short, short_gram=12).collect()
-        want = [(i, *x, n) for i, x, n in zip(ids, brute(texts, length), shared(rows, short), strict=True)]
-        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+        check(got, rows, length, short)
 
 
 def shared(rows, length):
@@ -77,8 +89,7 @@ def test_one_leader_of_many_contents_spreads_and_stays_exact(spark, monkeypatch)
     rows = list(enumerate(texts)) + [(3, texts[3] + "tail"), (None, texts[7] * 2), (None, texts[7][5:])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = suffix_dedup.removals(docs, length=80, gram=20, short=64, short_gram=16).collect()
-    want = [(i, *x, n) for (i, _), x, n in zip(rows, brute([t for _, t in rows], 80), shared(rows, 64), strict=True)]
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    check(got, rows, 80, 64)
 
 
 def test_long_texts_are_ranked_in_stretches(monkeypatch):
