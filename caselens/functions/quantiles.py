@@ -87,3 +87,12 @@ def expected_above(threshold: Column, q: Column, tail: Column, cap: Column, leve
         return total + F.when(t > s, piece * area).otherwise(0.0)
 
     return F.when(cap <= threshold, 0.0).otherwise(upto(cap) + cap * survival(cap, q, tail, levels))
+
+
+def isotonic(values: Column, n: int) -> Column:
+    """The nearest rising sequence of ``n`` values: the largest, over starts up to a place, of the
+    smallest mean from there to any end at or after it."""
+    x = [F.get(values, F.lit(i)) for i in range(n)]
+    mean = lambda j, k: sum(x[j + 1 : k + 1], x[j]) / float(k - j + 1)
+    low = lambda j, i: F.least(*[mean(j, k) for k in range(i, n)]) if i < n - 1 else mean(j, n - 1)
+    return F.array(*[F.greatest(*[low(j, i) for j in range(i + 1)]) if i else low(0, 0) for i in range(n)])

@@ -39,3 +39,9 @@ def hash_uniform(*keys: Column) -> Column:
     """A uniform from the first 32 bits of SHA-256 over the keys: the same for a unit wherever it is."""
     digest = F.sha2(F.concat_ws("|", *[k.cast("string") for k in keys]), 256)
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def text_seed(text: Column, start: int = 20260820) -> Column:
+    """A 32-bit seed of a name: each character is mixed in and multiplied by a fixed prime."""
+    codes = F.transform(F.split(text, ""), lambda ch: F.ascii(ch).cast("long"))
+    return F.aggregate(codes, F.lit(start).cast("long"), lambda a, x: F.pmod(a.bitwiseXOR(x) * 16777619, F.lit(1 << 32)))

@@ -36,6 +36,25 @@ def draw_sums(sampled: DataFrame, group: str, draws: int, seed: int, sums: list[
     return each.select(group, "draw", total.alias("_t")).select(group, "draw", *[F.col(f"_t.{s}").alias(s) for s in sums])
 
 
+#: The Poisson distribution function of mean 1 at 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
+def poisson_sums(df: DataFrame, groups: list[str], key: str, draws: int, **sums: Column) -> DataFrame:
+    """(groups, draw, sums): a bootstrap at population size.
+
+    Each row enters draw d as often as a Poisson variable of mean 1, made from a hash of (d, key) alone,
+    says: draws are sums with map-side combine, and no task gathers a group.
+    """
+    rows = df.select(*groups, key, *[v.alias(k) for k, v in sums.items()], F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    u = rng.hash_uniform(F.col("draw"), F.col(key))
+    times = F.lit(len(POISSON))
+    for k in range(len(POISSON) - 1, -1, -1):
+        times = F.when(F.col("_u") < POISSON[k], F.lit(k)).otherwise(times)
+    rows = rows.withColumn("_u", u).withColumn("_k", times.cast("double")).where("_k > 0")
+    return rows.groupBy(*groups, "draw").agg(*[F.sum(F.col(k) * F.col("_k")).alias(k) for k in sums])
+
+
 def recentred(draws: DataFrame, points: DataFrame, keys: list[str], official: str) -> DataFrame:
     """Additively: official + (point under the scenario - base point) + (draw - point under the scenario)."""
     moved = F.col(official) + (F.col("point1") - F.col("point0")) + (F.col("rate") - F.col("point1"))

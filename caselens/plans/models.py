@@ -74,7 +74,7 @@ def opt06(spark, d):
 @query("opt07_raking")
 def opt07(spark, d):
     """Weights raked to 10 percent more weight on overpayments and 5 percent fewer dollars."""
-    rows = cases(spark, d).where("period = 1999").withColumn("k", c("base") / 1e5)
+    rows = cases(spark, d).withColumn("k", c("base") / 1e5)
     w = c("weight")
     goal = rows.agg(F.sum(w), F.sum(F.when(c("status") == 2, w)), F.sum(w * c("k"))).first()
     margins = {"all": (F.lit(1.0), goal[0]), "over": ((c("status") == 2).cast("double"), 1.1 * goal[1]), "dollars": (c("k"), 0.95 * goal[2])}
@@ -90,11 +90,11 @@ def opt08(spark, d):
     return priced_shifts(panel(spark, d), [0.0, 1.0, 2.0, 4.0], "rate", [10.0]).select(c("shift").alias("delta"), F.round("share", 8).alias("power"))
 
 
-@query("opt09_step_solver", "SELECT case_id, CAST(ceil(greatest(CAST(0 AS DOUBLE), base / 100 - 600) / 3) AS BIGINT) AS steps, round(base / 100 - 3 * ceil(greatest(CAST(0 AS DOUBLE), base / 100 - 600) / 3), 6) AS reached FROM cases WHERE period = 1998")
+@query("opt09_step_solver", "SELECT case_id, CAST(ceil(greatest(CAST(0 AS DOUBLE), base / 100 - 600) / 3) AS BIGINT) AS steps, round(base / 100 - 3 * ceil(greatest(CAST(0 AS DOUBLE), base / 100 - 600) / 3), 6) AS reached FROM cases")
 def opt09(spark, d):
     # Steps of 3 until the amount is at most 600: a monotone rule, so their number is a quotient.
     steps = F.ceil(F.greatest(F.lit(0.0), c("base") / 100 - 600) / 3)
-    return cases(spark, d).where("period = 1998").select("case_id", steps.alias("steps"), F.round(c("base") / 100 - 3 * steps, 6).alias("reached"))
+    return cases(spark, d).select("case_id", steps.alias("steps"), F.round(c("base") / 100 - 3 * steps, 6).alias("reached"))
 
 
 @query("opt10_roster", "SELECT grp, period, CASE WHEN rate < 10 THEN 'below' ELSE 'above' END AS side, abs(rate - 10) <= 1 AS near FROM panel WHERE abs(rate - 10) <= 2")

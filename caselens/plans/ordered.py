@@ -136,11 +136,11 @@ def win11(spark, d):
     return X.changes(panel(spark, d), ["grp"], "period", "n").select("grp", "period", "before", "n")
 
 
-@query("win13_positional_id", "SELECT case_id, row_number() OVER (PARTITION BY grp ORDER BY case_id) AS pos FROM cases WHERE line = 1")
+@query("win13_positional_id", "SELECT case_id, row_number() OVER (PARTITION BY grp ORDER BY case_id) AS pos FROM cases")
 def win13(spark, d):
     from pyspark.sql import Window as W
 
-    return cases(spark, d).where("line = 1").select("case_id", F.row_number().over(W.partitionBy("grp").orderBy("case_id")).cast("long").alias("pos"))
+    return cases(spark, d).select("case_id", F.row_number().over(W.partitionBy("grp").orderBy("case_id")).cast("long").alias("pos"))
 
 
 @query("win14_priced_shifts", "SELECT shift, bound, round(count(*) FILTER (WHERE rate + shift >= bound) / CAST(count(*) AS DOUBLE), 8) AS share FROM panel, (VALUES (CAST(-2 AS DOUBLE)), (CAST(0 AS DOUBLE)), (CAST(2 AS DOUBLE))) s(shift), (VALUES (CAST(6 AS DOUBLE)), (CAST(8 AS DOUBLE)), (CAST(10 AS DOUBLE))) b(bound) GROUP BY shift, bound")
@@ -151,12 +151,12 @@ def win14(spark, d):
 # Quantile algebra: each case has nine log quantiles, a fixed ladder moved by its size.
 _STEPS = (3.0, 3.4, 4.1, 5.0, 5.8, 6.6, 7.1, 7.6, 8.2)
 _LADDER = "[" + ", ".join(f"CAST({s} AS DOUBLE) + ln(1 + line)" for s in _STEPS) + "]"
-_Q = f"q AS (SELECT case_id, grp, weight, amount, base, score, line, {_LADDER} AS q FROM cases WHERE period = 1997)"
+_Q = f"q AS (SELECT case_id, grp, weight, amount, base, score, line, {_LADDER} AS q FROM cases)"
 
 
 def _quantiles(spark, d):
     ladder = F.array(*[F.lit(s) + F.ln(1 + c("line")) for s in _STEPS])
-    return cases(spark, d).where("period = 1997").withColumn("q", ladder)
+    return cases(spark, d).withColumn("q", ladder)
 
 
 @query("qnt01_monotone", with_tables(_Q, "SELECT case_id, round(list_sort(list_transform([q[3], q[1], q[2]], lambda v: greatest(v, ln(CAST(30 AS DOUBLE)))))[1], 8) AS low, round(list_sort(list_transform([q[3], q[1], q[2]], lambda v: greatest(v, ln(CAST(30 AS DOUBLE)))))[3], 8) AS high FROM q"))

@@ -40,9 +40,9 @@ def src03(spark, d):
     return parsed.join(places, c("name") == c("n_name")).groupBy("r_name").agg(F.count("*").alias("n"), F.round(F.sum("over"), 4).alias("over"))
 
 
-@query("src04_required_columns", "SELECT case_id, grp, period FROM cases WHERE line = 1")
+@query("src04_required_columns", "SELECT case_id, grp, period FROM cases")
 def src04(spark, d):
-    return contracts.require_columns(cases(spark, d), ["case_id", "grp", "period"]).where("line = 1").select("case_id", "grp", "period")
+    return contracts.require_columns(cases(spark, d), ["case_id", "grp", "period"]).select("case_id", "grp", "period")
 
 
 @query("src05_pruned_scan", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderpriority FROM orders")
@@ -97,17 +97,32 @@ def src18(spark, d):
     return readers.last_row_wins(cases(spark, d).select("part", "supp", "case_id"), ["part", "supp"], c("case_id"))
 
 
-@query("snk01_struct_of_arrays", "SELECT grp, list(CAST(weight AS BIGINT) ORDER BY case_id) AS w, list(status ORDER BY case_id) AS status, CAST(sum(CASE WHEN line = 1 THEN 1 ELSE 0 END) AS BIGINT) AS ones FROM cases WHERE period = 1995 GROUP BY grp")
+@query("snk01_struct_of_arrays", "SELECT grp, orderkey % 64 AS chunk, list(CAST(weight AS BIGINT) ORDER BY case_id) AS w, list(status ORDER BY case_id) AS status, CAST(sum(CASE WHEN line = 1 THEN 1 ELSE 0 END) AS BIGINT) AS ones FROM cases GROUP BY grp, chunk")
 def snk01(spark, d):
-    rows = cases(spark, d).where("period = 1995")
-    out = writers.struct_of_arrays(rows, "grp", ["case_id"], w=c("weight").cast("long"), status=c("status"), one=c("line") == 1)
-    return out.select("grp", "w", "status", F.size(F.filter("one", lambda x: x)).cast("long").alias("ones"))
+    # A payload is a group's chunk of keys, so no row gathers a whole group.
+    rows = cases(spark, d).withColumn("cell", F.struct("grp", (c("orderkey") % 64).alias("chunk")))
+    out = writers.struct_of_arrays(rows, "cell", ["case_id"], w=c("weight").cast("long"), status=c("status"), one=c("line") == 1)
+    return out.select("cell.*", "w", "status", F.size(F.filter("one", lambda x: x)).cast("long").alias("ones"))
 
 
-@query("snk02_sized_encoding", "SELECT grp, CASE WHEN strlen(string_agg(case_id, ',' ORDER BY case_id)) <= 4000 THEN string_agg(case_id, ',' ORDER BY case_id) ELSE CAST(count(*) AS VARCHAR) END AS body FROM cases WHERE period = 1996 AND line = 2 GROUP BY grp")
+_SIG = "CAST(round(amount / pow(10, floor(log10(amount)) - 3)) AS BIGINT)"
+
+
+@query(
+    "snk02_sized_encoding",
+    f"""SELECT chunk, CASE WHEN sum(length(fine) + 1) <= 400 THEN string_agg(fine, ',' ORDER BY case_id) WHEN sum(length(coarse) + 1) <= 400 THEN string_agg(coarse, ',' ORDER BY case_id) ELSE CAST(count(*) AS VARCHAR) END AS body
+    FROM (SELECT case_id, orderkey % 2048 AS chunk, {_SIG} || 'e' || CAST(floor(log10(amount)) - 3 AS INTEGER) AS fine, CAST(round(amount) AS BIGINT) || '' AS coarse FROM cases WHERE amount >= 0.01) GROUP BY chunk""",
+)
 def snk02(spark, d):
-    rows = cases(spark, d).where("period = 1996 AND line = 2").groupBy("grp").agg(F.array_join(F.sort_array(F.collect_list("case_id")), ",").alias("fine"), F.count("*").cast("string").alias("coarse"))
-    return rows.select("grp", writers.sized(c("fine"), c("coarse"), 4000).alias("body"))
+    """Four significant digits where a chunk's payload fits its bytes, else whole dollars, else a count."""
+    e = F.floor(F.log10("amount")) - 3
+    fine = F.concat(F.round(c("amount") / F.pow(F.lit(10.0), e)).cast("long").cast("string"), F.lit("e"), e.cast("int").cast("string"))
+    rows = cases(spark, d).where("amount >= 0.01").select("case_id", (c("orderkey") % 2048).alias("chunk"), fine.alias("fine"), F.round("amount").cast("long").cast("string").alias("coarse"))
+    # Sizes come first, so that only what is written is gathered.
+    size = rows.groupBy("chunk").agg(F.sum(F.length("fine") + 1).alias("a"), F.sum(F.length("coarse") + 1).alias("b"), F.count("*").cast("string").alias("n"))
+    part = rows.join(size.where("a <= 400 OR b <= 400"), "chunk").select("chunk", F.struct("case_id", F.when(c("a") <= 400, c("fine")).otherwise(c("coarse")).alias("v")).alias("r"))
+    body = part.groupBy("chunk").agg(F.array_join(F.sort_array(F.collect_list("r"))["v"], ",").alias("body"))
+    return size.join(body, "chunk", "left").select("chunk", F.coalesce("body", "n").alias("body"))
 
 
 @query("snk03_sparse_patch", "SELECT case_id, CAST(CASE WHEN agency1 = 19 THEN 0 ELSE agency1 END AS INTEGER) AS agency1, agency1 = 19 AS patched FROM cases")
@@ -201,9 +216,9 @@ def jn01(spark, d):
     return j.groupBy(F.coalesce("r_name", F.lit("?")).alias("region")).agg(F.count("*").alias("n"))
 
 
-@query("jn02_one_to_one", "SELECT case_id, base, score FROM cases WHERE line = 4")
+@query("jn02_one_to_one", "SELECT case_id, base, score FROM cases")
 def jn02(spark, d):
-    rows = cases(spark, d).where("line = 4")
+    rows = cases(spark, d)
     scores = contracts.require_unique(rows.select("case_id", "score"), ["case_id"])
     return rows.select("case_id", "base").join(scores, "case_id")
 

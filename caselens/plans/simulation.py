@@ -39,15 +39,21 @@ def rng03(spark, d):
 
 
 _SAMPLE = f"""
-smp AS (SELECT grp, weight * err AS we, weight * base AS wb, weight * CASE WHEN line = 3 THEN 0 ELSE err END AS ws, row_number() OVER (PARTITION BY grp ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM cases WHERE period = 1996),
+cells AS (SELECT * REPLACE (grp || '|' || period AS grp) FROM cases),
+smp AS (SELECT grp, weight * err AS we, weight * base AS wb, weight * CASE WHEN line = 3 THEN 0 ELSE err END AS ws, row_number() OVER (PARTITION BY grp ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM cells),
 sz AS (SELECT DISTINCT grp, n FROM smp),
 idx AS (SELECT grp, n, d AS draw, CAST({SEED} AS BIGINT) AS seed, CAST(d * n + j AS BIGINT) AS k FROM sz, range(0, {DRAWS}) t(d), LATERAL (SELECT unnest(range(1, n + 1)) AS j)),{_RNG},
 pick AS (SELECT grp, draw, CAST(floor(u * n) AS BIGINT) AS i FROM uni),
 drawn AS (SELECT p.grp, CAST(draw AS INTEGER) AS draw, sum(we) * 100 / sum(wb) AS rate, sum(ws) * 100 / sum(wb) AS rate_cut FROM pick p JOIN smp s ON p.grp = s.grp AND p.i = s.i GROUP BY p.grp, draw)"""
 
 
+def _cells(spark, d):
+    """A group is a jurisdiction's review sample of one period."""
+    return cases(spark, d).withColumn("grp", F.concat_ws("|", "grp", "period"))
+
+
 def _drawn(spark, d):
-    rows = cases(spark, d).where("period = 1996")
+    rows = _cells(spark, d)
     w = c("weight")
     cut = F.when(c("line") == 3, 0.0).otherwise(c("err"))
     s = B.samples(rows, "grp", ["case_id"], we=w * c("err"), wb=w * c("base"), ws=w * cut)
@@ -68,7 +74,7 @@ def bst01(spark, d):
     ),
 )
 def bst01b(spark, d):
-    rows = cases(spark, d).where("period = 1996")
+    rows = _cells(spark, d)
     cut = F.when(c("line") == 3, 0.0).otherwise(c("err"))
     points = rows.groupBy("grp").agg(R.weighted_ratio("weight", "err", "base").alias("point0"), R.weighted_ratio("weight", cut, "base").alias("point1"), F.lit(9.0).alias("official"))
     moved = B.recentred(_drawn(spark, d).select("grp", c("rate_cut").alias("rate")), points, ["grp"], "official")
@@ -97,7 +103,7 @@ def bst04(spark, d):
 
 
 _MODEL = f"""
-mc AS (SELECT grp, case_id, weight, base, amount, ln(greatest(amount, CAST(1 AS DOUBLE))) AS centre, row_number() OVER (PARTITION BY grp ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM cases WHERE period = 2001),
+mc AS (SELECT grp || '|' || period AS grp, case_id, weight, base, amount, ln(greatest(amount, CAST(1 AS DOUBLE))) AS centre, row_number() OVER (PARTITION BY grp, period ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY grp, period) AS n FROM cases),
 sz AS (SELECT DISTINCT grp, n FROM mc),
 idx AS (SELECT grp, n, d AS draw, j, CAST({SEED} AS BIGINT) AS seed, CAST((d * n + j) * 3 + t + 1 AS BIGINT) AS k, t FROM sz, range(0, 20) x(d), LATERAL (SELECT unnest(range(0, n)) AS j), range(0, 3) y(t)),{_RNG},
 three AS (SELECT grp, n, draw, j, max(u) FILTER (WHERE t = 0) AS u1, max(u) FILTER (WHERE t = 1) AS u2, max(u) FILTER (WHERE t = 2) AS u3 FROM uni GROUP BY grp, n, draw, j)"""
@@ -111,7 +117,7 @@ three AS (SELECT grp, n, draw, j, max(u) FILTER (WHERE t = 0) AS u1, max(u) FILT
     ),
 )
 def bst06(spark, d):
-    rows = cases(spark, d).where("period = 2001")
+    rows = _cells(spark, d)
     centre = F.ln(F.greatest("amount", F.lit(1.0)))
     s = B.samples(rows, "grp", ["case_id"], weight=c("weight"), base=c("base"), centre=centre)
     each = s.select("grp", "n", "items", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("draw"))
