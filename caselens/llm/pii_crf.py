@@ -13,8 +13,9 @@ Potentials are smoothed counts over all documents: shapes by label, labels by
 preceding label, agreement along skip edges. Their table is bounded (SHAPES by
 labels), so it alone visits the driver.
 
-Defined results: a null or empty text has no spans; repeated rows give a row
-each; an empty table gives no rows; other columns are ignored by
+Defined results: a null or empty text has no spans; texts of any length are
+searched whole, in linear time; of labels equally likely the first listed
+counts; repeated rows (and rows without a doc_id) give a row each; an empty table gives no rows; other columns are ignored by
 :func:`find` and kept by :func:`mask`.
 """
 
@@ -321,23 +322,24 @@ def fit(found: DataFrame) -> Potentials:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Every row's base and added spans: doc_id, n_*, base_sha256, spans, n_added."""
+    """Every row's base and added spans: doc_id, n_*, base_sha256, spans, n_added and n_spans (both together)."""
     found = storage.materialize(recognise(docs), "nodes")
     model = fit(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, added = [], []
+            spans, added, all_ = [], [], []
             for base, field in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 new = added_spans([(x["start"], x["label"], x["stop"], x["shape"], x["keys"]) for x in field], model) if field else []
                 old = [(int(a), LABELS.index(k), int(b)) for k, a, b in (x.split(":") for x in base.split(","))] if base else []
                 spans.append(written([*old, *new]))
                 added.append(len(new))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3, 8)), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in batch.column(1).to_pylist()], pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                all_.append(len(old) + len(new))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3, 8)), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in batch.column(1).to_pylist()], pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(all_, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
     names = [f"n_{k}" for k in KINDS]
     ordered = found.select(F.lit(0).alias("_"), "base", "nodes", "doc_id", *names)
-    return ordered.mapInArrow(run, f"doc_id long, {', '.join(f'{k} long' for k in names)}, base_sha256 string, spans string, n_added long")
+    return ordered.mapInArrow(run, f"doc_id long, {', '.join(f'{k} long' for k in names)}, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def masked_text(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -9,7 +9,9 @@ makes the result a probability. Statistics' means and spreads come from all
 documents.
 
 Defined results: a null text is scored as an empty one; a null doc_id counts as
-the text '' when folds are dealt; repeated rows get a row each; without
+the text '' when folds are dealt; texts of any length are described whole;
+repeated rows get a row each and train as often, repeated labels of a doc_id
+count once, by the largest label; scores that tie share a level; without
 labelled rows every score is 0.5; an empty table gives no rows; labels, lang,
 source and doc_id are never inputs of a score.
 """
@@ -165,7 +167,7 @@ def fit(described: DataFrame, labels: DataFrame, *, label: str = "quality", feat
     mean, spread = _moments(described)
     rng = np.random.default_rng(seed)
     model = Model(mean, spread, rng.normal(size=(N_STATS, features)) / np.sqrt(N_STATS), rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), np.full(isotonic.BINS, 0.5))
-    known = labels.where(F.col(label).isin(0, 1) & ~is_held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
+    known = labels.where(F.col(label).isin(0, 1) & ~is_held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("y"))
     train = storage.materialize(described.join(known, "doc_id").select("stats", "y"), "train")
     d = features + 1
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 from caselens.llm import digest as D
 
@@ -34,3 +35,28 @@ def test_digests_round_trip_and_rank():
     assert (D.decode(D.encode(a)) == a).all() and D.likeness(a, a) == 1
     near, far = D.codes((TEXTS[4] + "!").encode()), D.codes(TEXTS[7].encode())
     assert D.likeness(a, near) > 0.9 > D.likeness(a, far)
+
+
+def plain_digest(text):
+    """The digest anew, triplet by triplet."""
+    data = text.encode()
+    if not data:
+        return "00" + "00" * (D.BUCKETS // 4)
+    data += bytes(2)
+    count = [0] * D.BUCKETS
+    for i in range(len(data) - 2):
+        v = data[i] | data[i + 1] << 8 | data[i + 2] << 16
+        count[(v * 2654435761 & 0xFFFFFFFF) >> (33 - D.BUCKETS.bit_length())] += 1
+    cuts = [sorted(count)[D.BUCKETS * q // 4 - 1] for q in (1, 2, 3)]
+    quartile = [sum(n > c for c in cuts) for n in count]
+    size = len(text.encode())
+    step = min(255, 1 + int(8 * math.log2(size)))
+    return bytes([step, *(sum(quartile[i + j] << 2 * j for j in range(4)) for i in range(0, D.BUCKETS, 4))]).hex()
+
+
+def test_digests_equal_a_plain_version():
+    for t in TEXTS:
+        assert D.encode(D.codes((t or "").encode())) == plain_digest(t or "")
+    a, b = (D.codes(TEXTS[i].encode()) for i in (4, 7))
+    apart = sum((0, 1, 2, 6)[abs(int(x) - int(y))] for x, y in zip(a[:-1], b[:-1], strict=True)) + max(0, abs(int(a[-1]) - int(b[-1])) - 4)
+    assert abs(D.likeness(a, b) - max(0.0, 1 - apart / (0.8 * D.BUCKETS))) < 1e-12

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,3 +65,43 @@ def test_skip_edges_carry_labels():
     assert [(text[a:b], k) for a, k, b in added] == [("499 555-6503", 4)]
     cut = P.Potentials(model.shape, model.chain, model.skip * 0)
     assert P.added_spans(field, cut) == []
+
+
+def test_messages_give_exact_marginals_on_a_chain_and_near_ones_on_a_loop():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    k = len(P.LABELS)
+    model = P.Potentials(np.log(rng.dirichlet(np.ones(k), P.SHAPES)), rng.normal(size=(k, k)) * 0.5, 1.0 * np.eye(k))
+    for keys in ([[], [], [], []], [["a"], [], ["a"], []]):  # no skips: a tree; one skip: a loop of three
+        field = [(10 * i, 3 if i == 3 else -1, 10 * i + 5, 7 * i + 1, keys[i]) for i in range(4)]
+        left, right, skip = P._edges(field)
+        want, total = np.zeros((4, k)), 0.0
+        for y in itertools.product(range(k), repeat=4):
+            if y[3] != 3:
+                continue
+            e = sum(model.shape[f[3], v] for f, v in zip(field[:3], y, strict=False))
+            e += sum((model.skip if s else model.chain)[y[i], y[j]] for i, j, s in zip(left, right, skip, strict=True))
+            total += np.exp(e)
+            for i, v in enumerate(y):
+                want[i, v] += np.exp(e)
+        got = P.infer(field, model, rounds=200)
+        assert np.abs(got - want / total).max() < (1e-3 if not any(keys) else 0.1)
+
+
+def test_skips_carry_a_label_to_a_distant_like_token():
+    chain = np.zeros((5, 5))
+    shape = np.full((P.SHAPES, 5), np.log(0.05))
+    shape[:, 0] = np.log(0.8)
+    model = P.Potentials(shape, chain, 6.0 * np.eye(5))
+    field = [(0, 4, 10, 1, ["d1234567"]), *((20 * i, -1, 20 * i + 5, 2, []) for i in range(1, 6)), (200, -1, 210, 3, ["d1234567"])]
+    assert P.added_spans(field, model) == [(200, 4, 210)]
+
+
+def test_edge_rows(spark):
+    long = "x " * 200_000 + "a@b.cc " + "9" * 100_000
+    rows = [(1, None), (1, None), (None, "mail a@b.cc"), (2, ""), (3, long)]
+    docs = spark.createDataFrame([(i, t, "k", 0) for i, t in rows], "doc_id long, text string, spans string, n_email int")
+    got = sorted(map(tuple, P.find(docs).select("doc_id", "n_email", "n_spans").collect()), key=str)
+    assert got == sorted([(1, 0, 0), (1, 0, 0), (None, 1, 1), (2, 0, 0), (3, 1, 1)], key=str)
+    assert P.find(docs.where("false")).count() == 0 and P.mask(docs).columns == docs.columns
