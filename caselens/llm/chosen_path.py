@@ -13,7 +13,7 @@ of all documents share only makes its nodes deeper.
 A node of at most LIMIT sets is compared exhaustively in one task. A node that
 keeps half of its sets or more in one child is a group of near-copies that no
 branching parts (as is what is still large KEEP tokens down). It is first
-thinned: dealt into parts of about LIMIT / 2 sets that all hold the node's
+thinned: dealt into parts of about LIMIT / 2 sets, HUB of which share their
 smallest document, differently in every tree. What these links leave in
 different components is then compared whole, part against part of about
 2 * LIMIT sets each, so every two sets of such a node are compared or already
@@ -56,8 +56,8 @@ KEEP = 6
 BRANCH = 2
 LIMIT = 256
 PART = 1 << 21
-#: Nodes of one set in a row; bytes of sets in a batch; ids of sets that are broadcast at most.
-MANY = 256
+#: Parts that share a document; bytes of sets in a batch; ids of sets that are broadcast at most.
+HUB = 256
 BATCH = 1 << 24
 FEW = 100_000
 
@@ -117,7 +117,7 @@ def _nodes(classes: DataFrame, trees: int, keep: int, limit: int) -> tuple[DataF
         # The paths that have come to their last token can't branch.
         on = F.explode(F.sequence(F.col("pos") + 1, F.least(F.col("pos") + BRANCH, F.lit(keep - 1)))).alias("pos")
         kids = big.where(F.col("pos") < keep - 1).select(F.col("node").alias("parent"), F.col("n").alias("whole"), "rep", "low", on)
-        kids = kids.withColumn("node", F.xxhash64("parent", F.get("low", "pos"))).dropDuplicates(["node", "rep"])
+        kids = kids.withColumn("node", F.xxhash64("parent", F.get("low", "pos")))
         kids = storage.materialize(kids, "kids")
         sizes = kids.groupBy("parent", "node").agg(F.count("*").alias("n"), F.first("whole").alias("whole"))
         parted = sizes.groupBy("parent").agg(F.max("n").alias("most"), F.first("whole").alias("whole")).where("2 * most < whole").select("parent")
@@ -130,23 +130,28 @@ def _nodes(classes: DataFrame, trees: int, keep: int, limit: int) -> tuple[DataF
 
 
 def _thinned(dense: DataFrame, limit: int) -> DataFrame:
-    """(part, rep): every node dealt into parts of about ``limit / 2`` sets, each with the node's smallest document."""
-    sizes = dense.groupBy("node").agg(F.ceil(F.count("*") / (limit // 2)).alias("parts"), F.min("rep").alias("first"))
-    part = F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.col("parts"))).alias("node")
-    dealt = dense.join(sizes, "node").select(part, "rep")
-    number = F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")
-    first = sizes.select("node", "first", number).select(F.xxhash64("node", "part").alias("node"), F.col("first").alias("rep"))
-    return dealt.unionAll(first)
-
-
-def _open_pairs(dense: DataFrame, classes: DataFrame, component: DataFrame, *, percent: int, limit: int) -> DataFrame:
-    """(node, rep) of every two parts of a large node that may still hold an unknown link between components."""
+    """(part, rep): every node dealt into parts of about ``limit / 2`` sets; HUB parts share their smallest document."""
+    sizes = dense.groupBy("node").agg(F.ceil(F.count("*") / (limit // 2)).alias("parts"))
+    dealt = dense.join(sizes, "node").select("node", "rep", F.pmod(F.xxhash64("rep", "node"), F.col("parts")).alias("part"))
+    named = lambda rep: [F.xxhash64("node", "part").alias("node"), rep.alias("rep")]
+    hubs = dealt.groupBy("node", F.floor(F.col("part") / HUB).alias("hub")).agg(F.min("rep").alias("first"), F.max("part").alias("last"))
+    hubs = hubs.select("node", "first", F.explode(F.sequence(F.col("hub") * HUB, F.col("last"))).alias("part"))
+    return dealt.select(*named(F.col("rep"))).unionAll(hubs.select(*named(F.col("first"))))
+
+
+def _open_pairs(dense: DataFrame, classes: DataFrame, component: DataFrame, *, percent: int, limit: int) -> DataFrame | None:
+    """(node, rep) of every two parts of a large node that may still hold an unknown link between
+    components; None where no node has two components."""
     most = 2 * limit
     rows = dense.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
     rows = rows.join(classes.select("rep", "n_shingles"), "rep").select("node", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    rows = storage.materialize(rows, "dense")
+    open_ = storage.materialize(rows.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node"), "open")
+    if open_.isEmpty():
+        return None
+    rows = rows.join(open_, "node", "left_semi")
     held = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
-    # A node within one component has nothing left to find.
-    still = held.groupBy("node").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") <= most, F.col("n"))).alias("rest")).where("k > 1").select("node", "rest")
+    still = held.groupBy("node").agg(F.sum(F.when(F.col("n") <= most, F.col("n"))).alias("rest"))
     rows = rows.join(held, ["node", "component"]).join(still, "node")
     # A component of more than a part has parts of its own; the others share some, with alike sizes together.
     own = F.col("n") > most
@@ -211,11 +216,8 @@ def links(docs: DataFrame, classes: DataFrame, nodes: DataFrame, *, words: int,
     A set goes to its nodes from the task that reads its text. Up to ``few`` representatives are
     looked for by a broadcast of their ids, more by a join that shuffles the texts.
     """
-    # One that very many nodes hold reaches them in several rows.
-    many = nodes.groupBy("rep").agg(F.count("*").alias("n")).where(f"n > {MANY}")
-    chunk = F.pmod("node", F.ceil(F.coalesce("n", F.lit(1)) / MANY)).alias("chunk")
-    wanted = nodes.join(many, "rep", "left").select("rep", "node", chunk).groupBy("rep", "chunk").agg(F.collect_set("node").alias("nodes"))
-    wanted = classes.select("rep", "c1", "c2").join(wanted, "rep").drop("chunk")
+    wanted = nodes.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
+    wanted = classes.select("rep", "c1", "c2").join(wanted, "rep")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
@@ -284,9 +286,11 @@ def groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, trees
     nodes = storage.materialize(alike.select("node", F.explode("members").alias("rep")), "nodes")
     component = components.smallest_reachable(links(docs, classes, nodes, words=words, percent=percent).unionAll(twice))
     if dense is not None:
-        pairs = storage.materialize(_open_pairs(dense, classes, component, percent=percent, limit=limit), "pairs")
-        if not pairs.isEmpty():
-            more = links(docs, classes, pairs, words=words, percent=percent, few=FEW)
+        pairs = _open_pairs(dense, classes, component, percent=percent, limit=limit)
+        if pairs is not None:
+            pairs = storage.materialize(pairs, "pairs")
+            more = storage.materialize(links(docs, classes, pairs, words=words, percent=percent, few=FEW), "links")
+        if pairs is not None and not more.isEmpty():
             component = components.smallest_reachable(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     named = classes.join(component, classes["rep"] == component["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     out = rows.drop("paths").join(named, ["c1", "c2"], "left")
