@@ -11,12 +11,16 @@ from pyspark.sql import Window as W
 from ..functions import rng
 
 
+SLICES = 64
+
+
 def hot_deck(recipients: DataFrame, donors: DataFrame, key: str, levels: list[list[str]], weight: str, value: str, seed: str) -> DataFrame:
     """Each recipient takes the value of a donor of its cell, drawn by weight with a uniform of its key.
 
     Levels go from fine to coarse; a recipient uses the finest level whose cell
     has donors. The draw is an interval join within the cell: donors' cumulative
-    weights cut (0, 1], so one donor holds the uniform.
+    weights cut (0, 1], so one donor holds the uniform. Both sides are keyed by
+    a SLICES-th of the unit interval, so a recipient meets the donors of its slice alone.
     """
     found = recipients.withColumn("_u", rng.hash_uniform(F.lit(seed), F.col(key)))
     pools = []
@@ -26,6 +30,7 @@ def hot_deck(recipients: DataFrame, donors: DataFrame, key: str, levels: list[li
         sums = pool.groupBy("_cell").agg(F.sum("_w").alias("_all"))
         upto = F.sum("_w").over(W.partitionBy("_cell").orderBy("_donor").rowsBetween(W.unboundedPreceding, 0))
         pool = pool.withColumn("_upto", upto).join(sums, "_cell").select("_cell", "_donor", "_value", ((F.col("_upto") - F.col("_w")) / F.col("_all")).alias("_lo"), (F.col("_upto") / F.col("_all")).alias("_hi"))
+        pool = pool.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_lo") * SLICES), F.floor(F.col("_hi") * SLICES))))
         pools.append((i, cell, sums.select("_cell"), pool))
     for i, cell, cells, _ in pools:
         has = cells.withColumn(f"_has{i}", F.lit(True))
@@ -34,8 +39,8 @@ def hot_deck(recipients: DataFrame, donors: DataFrame, key: str, levels: list[li
     found = found.withColumn("level", level).drop(*[f"_has{i}" for i, *_ in pools])
     out = []
     for i, cell, _, pool in pools:
-        mine = found.where(F.col("level") == i).withColumn("_cell", cell)
-        out.append(mine.join(pool, "_cell").where("_u >= _lo AND _u < _hi").select(key, "level", F.col("_donor").alias("donor"), F.col("_value").alias("imputed")))
+        mine = found.where(F.col("level") == i).withColumn("_cell", cell).withColumn("_slice", F.floor(F.col("_u") * SLICES))
+        out.append(mine.join(pool, ["_cell", "_slice"]).where("_u >= _lo AND _u < _hi").select(key, "level", F.col("_donor").alias("donor"), F.col("_value").alias("imputed")))
     return reduce(lambda a, b: a.unionAll(b), out)
 
 

@@ -288,8 +288,9 @@ def jn13(spark, d):
 @query("jn14_constrained_nearest", "SELECT a.grp, a.period, min(b.rate) AS above FROM panel a LEFT JOIN panel b ON a.period = b.period AND b.rate > a.rate GROUP BY a.grp, a.period")
 def jn14(spark, d):
     # The next larger rate of the period is the row after, in rate order: no pairs are formed.
-    w = W.partitionBy("period").orderBy("rate").rangeBetween(W.currentRow, W.unboundedFollowing)
-    return panel(spark, d).withColumn("rates", F.sort_array(F.collect_set("rate").over(w))).select("grp", "period", F.get("rates", F.lit(1)).alias("above"))
+    p = panel(spark, d)
+    steps = p.select("period", "rate").distinct().withColumn("above", F.lead("rate").over(W.partitionBy("period").orderBy("rate")))
+    return p.join(steps, ["period", "rate"]).select("grp", "period", "above")
 
 
 @query("jn15_grid", "SELECT n_name AS grp, CAST(p AS INTEGER) AS period, count(case_id) AS n FROM nation CROSS JOIN range(1995, 2002) t(p) LEFT JOIN cases ON cases.grp = n_name AND cases.period = p GROUP BY 1, 2")
