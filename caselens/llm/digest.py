@@ -7,12 +7,14 @@ digests are compared bucket by bucket with a bounded difference score.
 For the neighbour query the rows meet in doc_id order without a global sort:
 quantiles of doc_id cut the order into as many ranges as there are shuffle
 partitions, every range gets a copy of the first row after it, and each task
-walks its ranges in order. A range never holds more than its share of rows, as
-doc_id rather than source or content decides it.
+walks its ranges in order. A range never holds more than its share of distinct
+doc_ids, as doc_id rather than source or content decides it; rows that share a
+doc_id (or have none) are walked in one task, one after the other.
 
 Defined results: a null text is empty; an empty text has the digest of no
 triplets and is like another empty text (1.0); a null doc_id sorts first;
-repeated rows are walked in order of their text; an empty table gives no rows;
+repeated rows are walked in order of their text; texts of any length are
+digested whole; an empty table gives no rows;
 a table of one row is its own next document; other columns are ignored.
 """
 
@@ -31,7 +33,7 @@ from . import storage
 BUCKETS = 1024
 #: Code differences of 0 to 3 quartiles, the largest counted double.
 _STEP = np.array([0, 1, 2, 6], np.int64)
-#: About what digests of unrelated texts of one language differ by; at and beyond it likeness is 0.
+#: About what digests of unrelated long texts of one language differ by; at and beyond it likeness is 0.
 _FAR = 0.8 * BUCKETS
 
 
@@ -64,9 +66,14 @@ def decode(text: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """1 for equal digests, 0 for those as different as unrelated ones."""
+    """1 for equal digests, 0 for those as different as unrelated ones.
+
+    Short texts fill few buckets, so their difference is measured by what two
+    digests that share no bucket would differ by.
+    """
     apart = int(_STEP[np.abs(a[:-1].astype(np.int64) - b[:-1])].sum()) + max(0, abs(int(a[-1]) - int(b[-1])) - 4)
-    return max(0.0, 1.0 - apart / _FAR)
+    far = min(_FAR, float(_STEP[a[:-1]].sum() + _STEP[b[:-1]].sum()))
+    return max(0.0, 1.0 - apart / far) if far else float(not apart)
 
 
 def edited(text: str, following: str) -> str:

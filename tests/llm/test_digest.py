@@ -59,4 +59,10 @@ def test_digests_equal_a_plain_version():
         assert D.encode(D.codes((t or "").encode())) == plain_digest(t or "")
     a, b = (D.codes(TEXTS[i].encode()) for i in (4, 7))
     apart = sum((0, 1, 2, 6)[abs(int(x) - int(y))] for x, y in zip(a[:-1], b[:-1], strict=True)) + max(0, abs(int(a[-1]) - int(b[-1])) - 4)
-    assert abs(D.likeness(a, b) - max(0.0, 1 - apart / (0.8 * D.BUCKETS))) < 1e-12
+    far = min(0.8 * D.BUCKETS, sum((0, 1, 2, 6)[x] for x in [*a[:-1].tolist(), *b[:-1].tolist()]))
+    assert abs(D.likeness(a, b) - max(0.0, 1 - apart / far)) < 1e-12
+
+
+def test_short_unrelated_texts_are_not_alike():
+    a, b, again = (D.codes(x) for x in (b"quick brown", b"lazy dogs!?", b"quick brawn"))
+    assert D.likeness(a, b) < 0.1 and D.likeness(a, again) > D.likeness(a, b) and D.likeness(D.codes(b""), a) == 0
