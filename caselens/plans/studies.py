@@ -395,3 +395,94 @@ def x13b(spark, d):
 def ml10b(spark, d):
     rows = cases(spark, d).withColumn("y", (c("err") > 0).cast("double"))
     return X.ranking_metrics(rows, ["grp"], "score", "y", "weight").select("grp", F.round("auc", 8).alias("auc"), F.round("average_precision", 8).alias("average_precision"))
+
+
+_BASICS = """f0 AS (SELECT *, CASE WHEN agency1 * 5 - 20 >= 0 THEN agency1 * 5 - 20 END AS medical, coalesce(agency2, line) AS size, part % 4 = 0 OR supp % 5 = 0 AS frail, grp_no % 3 = 0 AS standard, grp_no % 2 = 0 AS broad, score > 0 AS earns, line % 3 = 0 AS children, part % 14 AS months FROM cases)"""
+
+
+@query(
+    "prj16b_feature_build",
+    with_tables(
+        _BASICS,
+        """SELECT case_id, CAST(err > 0 AS INTEGER) AS official_error, round(deviation, 6) + 0.0 AS signed_deviation, weight AS w, size, CAST(agency2 IS NULL AS INTEGER) AS size_missing, CAST(frail AS INTEGER) AS frail, CAST(earns AS INTEGER) AS has_earnings, CAST(children AS INTEGER) AS children, CAST(line < 3 AS INTEGER) AS expedited,
+        CAST(coalesce(medical > 0, FALSE) AS INTEGER) AS claims_medical, CAST(medical IS NULL AS INTEGER) AS medical_missing, CAST(coalesce(medical > 35, FALSE) AS INTEGER) AS above_floor, CAST(coalesce(medical > 35, FALSE) AND frail AND NOT standard AS INTEGER) AS documents,
+        CAST(months BETWEEN 1 AND 12 AS INTEGER) AS period_valid, CASE WHEN months BETWEEN 1 AND 12 THEN CAST(months <= 6 AS INTEGER) END AS short_period, CASE WHEN months BETWEEN 1 AND 12 THEN CAST(months - month BETWEEN 0 AND 1 AS INTEGER) END AS near_end, CASE WHEN months BETWEEN 1 AND 12 THEN CAST(months <= 6 AND frail AS INTEGER) END AS short_frail,
+        CAST(broad AS INTEGER) AS broad, CAST(broad AND frail AS INTEGER) AS broad_frail, CAST(broad AND earns AS INTEGER) AS broad_earns, CAST(broad AND children AS INTEGER) AS broad_children,
+        CAST(CASE WHEN agency1 > 10 THEN 1 ELSE 0 END + CASE WHEN agency2 > 10 THEN 1 ELSE 0 END AS INTEGER) AS records, CAST((agency1 > 10 OR coalesce(agency2 > 10, FALSE)) <> (discount > 0.05) AS INTEGER) AS mismatch,
+        CAST(agency2 IS NULL OR medical IS NULL AS INTEGER) AS parts_missing, CAST(CASE WHEN discount > 0 THEN 1 ELSE 0 END + CASE WHEN score > 0 THEN 1 ELSE 0 END + CASE WHEN medical > 0 THEN 1 ELSE 0 END + CASE WHEN agency2 > 0 THEN 1 ELSE 0 END AS INTEGER) AS parts,
+        CAST(base >= 0.999 * 60000 AS INTEGER) AS at_max, CAST(base <= 1000.5 AS INTEGER) AS at_min, round(greatest(CAST(0 AS DOUBLE), least(base / 60000, CAST(1.5 AS DOUBLE))), 8) AS relative, CAST(amount <= 0 AS INTEGER) AS share_undefined, CASE WHEN amount <> 0 THEN round(least(CAST(2 AS DOUBLE), base * 0.05 / amount), 8) END AS net_share,
+        round((discount * 1000 + score * 1000 + coalesce(medical, 0) + coalesce(agency2, 0)) / greatest(size, 1), 8) AS per_member FROM f0""",
+    ),
+)
+def prj16b(spark, d):
+    """The feature build: targets, covariates with flags for what is missing, interactions, clipped ratios."""
+    i = lambda b: b.cast("int")
+    no = F.lit(False)
+    medical = F.when(c("agency1") * 5 - 20 >= 0, c("agency1") * 5 - 20)
+    x = cases(spark, d).withColumns({"medical": medical, "size": F.coalesce("agency2", "line"), "frail": (c("part") % 4 == 0) | (c("supp") % 5 == 0), "standard": c("grp_no") % 3 == 0, "broad": c("grp_no") % 2 == 0, "earns": c("score") > 0, "kids": c("line") % 3 == 0, "months": c("part") % 14})
+    valid, short, floor = c("months").between(1, 12), c("months") <= 6, F.coalesce(c("medical") > 35, no)
+    second = F.coalesce(c("agency2") > 10, no)
+    positive = lambda *cs: sum((F.when(k > 0, 1).otherwise(0) for k in cs), F.lit(0)).cast("int")
+    out = {
+        "official_error": i(c("err") > 0), "signed_deviation": F.round("deviation", 6) + 0.0, "w": c("weight"), "size": c("size"), "size_missing": i(c("agency2").isNull()), "frail": i(c("frail")), "has_earnings": i(c("earns")), "children": i(c("kids")), "expedited": i(c("line") < 3),
+        "claims_medical": i(F.coalesce(c("medical") > 0, no)), "medical_missing": i(c("medical").isNull()), "above_floor": i(floor), "documents": i(floor & c("frail") & ~c("standard")),
+        "period_valid": i(valid), "short_period": F.when(valid, i(short)), "near_end": F.when(valid, i((c("months") - c("month")).between(0, 1))), "short_frail": F.when(valid, i(short & c("frail"))),
+        "broad": i(c("broad")), "broad_frail": i(c("broad") & c("frail")), "broad_earns": i(c("broad") & c("earns")), "broad_children": i(c("broad") & c("kids")),
+        "records": positive(c("agency1") - 10, c("agency2") - 10), "mismatch": i(((c("agency1") > 10) | second) != (c("discount") > 0.05)),
+        "parts_missing": i(c("agency2").isNull() | c("medical").isNull()), "parts": positive(c("discount"), c("score"), c("medical"), c("agency2")),
+        "at_max": i(c("base") >= 0.999 * 60000), "at_min": i(c("base") <= 1000.5), "relative": F.round(F.greatest(F.lit(0.0), F.least(c("base") / 60000, F.lit(1.5))), 8), "share_undefined": i(c("amount") <= 0), "net_share": F.when(c("amount") != 0, F.round(F.least(F.lit(2.0), c("base") * 0.05 / c("amount")), 8)),
+        "per_member": F.round((c("discount") * 1000 + c("score") * 1000 + F.coalesce(c("medical"), F.lit(0)) + F.coalesce(c("agency2"), F.lit(0))) / F.greatest(c("size"), F.lit(1)), 8),
+    }
+    return x.select("case_id", *[v.alias(k) for k, v in out.items()])
+
+
+_KINDS = {"rounding": "abs(amount - base * 0.1) < 1", "settled": "abs(amount - base * 0.1) >= 1 AND status = 1", "above": "abs(amount - base * 0.1) >= 1 AND status <> 1 AND amount > base * 0.1", "below": "abs(amount - base * 0.1) >= 1 AND status <> 1 AND amount <= base * 0.1"}
+
+
+@query("agg22b_checked_partition", "SELECT grp, " + ", ".join(f"count(*) FILTER (WHERE {k}) AS {n}" for n, k in _KINDS.items()) + ", " + " + ".join(f"count(*) FILTER (WHERE {k})" for k in _KINDS.values()) + " = count(*) AS disjoint, round(sum(weight) FILTER (WHERE abs(amount - base * 0.1) <= 5) / sum(weight), 8) AS concordance FROM cases GROUP BY grp")
+def agg22b(spark, d):
+    """A catalog whose parts are counted apart and checked to add up; and the weight within five dollars."""
+    parts = {n: F.expr(k) for n, k in _KINDS.items()}
+    near = F.abs(c("amount") - c("base") * 0.1) <= 5
+    whole = sum((F.count_if(k) for k in parts.values()), F.lit(0)) == F.count("*")
+    return cases(spark, d).groupBy("grp").agg(*[F.count_if(k).alias(n) for n, k in parts.items()], whole.alias("disjoint"), F.round(F.sum(F.when(near, c("weight"))) / F.sum("weight"), 8).alias("concordance"))
+
+
+@query(
+    "agg26b_contrast_by_adopter",
+    with_tables(
+        "y AS (SELECT grp, grp_no, period, weight, score, 1997 + grp_no % 3 AS adopted, line <= 2 AS exposed FROM cases), cell AS (SELECT grp, adopted, exposed, period >= adopted AS post, sum(weight * score) / sum(weight) AS x, count(*) AS n FROM y WHERE grp_no % 2 = 0 GROUP BY 1, 2, 3, 4)",
+        "SELECT grp, adopted, CAST(sum(n) AS BIGINT) AS n, round(max(x) FILTER (WHERE exposed AND post) - max(x) FILTER (WHERE exposed AND NOT post) - max(x) FILTER (WHERE NOT exposed AND post) + max(x) FILTER (WHERE NOT exposed AND NOT post), 8) + 0.0 AS effect FROM cell GROUP BY grp, adopted",
+    ),
+)
+def agg26b(spark, d):
+    """Four weighted cells per adopter, before and after its own year, exposed and not; one pass for all."""
+    rows = cases(spark, d).where("grp_no % 2 = 0").withColumn("adopted", 1997 + c("grp_no") % 3)
+    mean = lambda e, p: R.weighted_mean(F.when(((c("line") <= 2) == e) & ((c("period") >= c("adopted")) == p), c("score")), "weight")
+    effect = mean(True, True) - mean(True, False) - mean(False, True) + mean(False, False)
+    return rows.groupBy("grp", "adopted").agg(F.count("*").alias("n"), (F.round(effect, 8) + 0.0).alias("effect"))
+
+
+@query(
+    "agg23b_divergence_histogram",
+    "SELECT bin, count(*) AS n, min(case_id) AS exemplar FROM (SELECT case_id, CAST(greatest(-10, least(10, floor((amount - base * 0.05) / 500))) AS INTEGER) AS bin FROM cases) GROUP BY bin",
+)
+def agg23b(spark, d):
+    """How far two computations diverge, in bands, with the first case of each."""
+    band = F.greatest(F.lit(-10), F.least(F.lit(10), F.floor((c("amount") - c("base") * 0.05) / 500))).cast("int")
+    return cases(spark, d).groupBy(band.alias("bin")).agg(F.count("*").alias("n"), F.min("case_id").alias("exemplar"))
+
+
+@query(
+    "agg18b_nature_by_slot",
+    "SELECT nature, count(*) AS n, round(sum(weight * err), 2) AS dollars, round(count(*) / CAST((SELECT count(*) FROM cases) AS DOUBLE), 8) AS share FROM (SELECT weight, err, CASE WHEN k = 0 THEN 'none' WHEN h = k THEN 'all' WHEN h > 0 THEN 'some' ELSE 'clear' END AS nature FROM (SELECT weight, err, CASE WHEN agency1 IN (0, 5, 6, 9, 11, 13) THEN 0 ELSE 1 END + CASE WHEN agency2 IS NULL OR agency2 IN (0, 5, 6, 9, 11, 13) THEN 0 ELSE 1 END AS k, CASE WHEN agency1 IN (17, 19, 20) THEN 1 ELSE 0 END + CASE WHEN coalesce(agency2 IN (17, 19, 20), FALSE) THEN 1 ELSE 0 END AS h FROM cases)) GROUP BY nature",
+)
+def agg18b(spark, d):
+    """Cases by whether none, all, some or no documented finding is of the strict kind; shares add up to one."""
+    known = lambda s: s.isNotNull() & ~s.isin(0, 5, 6, 9, 11, 13)
+    slots = F.filter(F.array("agency1", "agency2"), known)
+    k, h = F.size(slots), F.size(F.filter(slots, lambda s: s.isin(*S.CODE_SETS["strict"])))
+    nature = F.when(k == 0, "none").when(h == k, "all").when(h > 0, "some").otherwise("clear")
+    g = cases(spark, d).groupBy(nature.alias("nature")).agg(F.count("*").alias("n"), F.round(F.sum(c("weight") * c("err")), 2).alias("dollars"))
+    whole = g.agg(F.sum("n").alias("all"))
+    return g.crossJoin(F.broadcast(whole)).select("nature", "n", "dollars", F.round(c("n") / c("all"), 8).alias("share"))
