@@ -90,6 +90,30 @@ def intercept_shift(df: DataFrame, logit: str, weight: str, goal: float, rounds:
     return shift
 
 
+def intercept_shifts(df: DataFrame, group: str, logit: str, weight: str, goal: float, rounds: int = 40, tolerance: float = 1e-10) -> DataFrame:
+    """(group, shift) for every group at once: a Newton step of all groups is one aggregate.
+
+    Groups are jurisdictions: a row of two sums for each visits the driver, never a case.
+    """
+    spark, w = df.sparkSession, F.col(weight)
+    state = {r[0]: (-30.0, 30.0, 0.0) for r in df.select(group).distinct().collect()}
+    table = lambda: spark.createDataFrame([(g, s[2]) for g, s in state.items()], f"{group} string, shift double")
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-(F.col(logit) + F.col("shift"))))
+        sums = df.join(table(), group).groupBy(group).agg((F.sum(w * p) / F.sum(w)).alias("m"), (F.sum(w * p * (1 - p)) / F.sum(w)).alias("s"))
+        done = True
+        for g, mean, slope in sums.collect():
+            lo, hi, at = state[g]
+            if abs(mean - goal) > tolerance:
+                done = False
+                lo, hi = (at, hi) if mean < goal else (lo, at)
+                step = at + (goal - mean) / max(slope, 1e-12)
+                state[g] = lo, hi, step if lo < step < hi else (lo + hi) / 2
+        if done:
+            break
+    return table()
+
+
 def fold_of(key: Column, folds: int) -> Column:
     """A stable fold by a hash of the key, independent of row order."""
     return F.pmod(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")

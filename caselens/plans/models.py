@@ -194,10 +194,11 @@ def ml08(spark, d):
 
 @query("ml09_intercept_shift")
 def ml09(spark, d):
-    rows = cases(spark, d).select("grp", (c("base") / 1e4 - 5).alias("logit"), "weight").where("grp = 'NATION_1'")
-    shift = I.intercept_shift(rows, "logit", "weight", 0.3, 40)
-    p = 1 / (1 + F.exp(-(c("logit") + shift)))
-    return rows.groupBy("grp").agg(F.round(R.weighted_mean(p, "weight"), 5).alias("mean"), F.round(F.lit(shift), 5).alias("shift"))
+    """Every group's probabilities moved to a given mean by one shift of its logits."""
+    rows = cases(spark, d).select("grp", (c("base") / 1e4 - 5).alias("logit"), "weight")
+    shifts = I.intercept_shifts(rows, "grp", "logit", "weight", 0.3)
+    p = 1 / (1 + F.exp(-(c("logit") + c("shift"))))
+    return rows.join(shifts, "grp").groupBy("grp").agg(F.round(R.weighted_mean(p, "weight"), 5).alias("mean"), F.round(F.first("shift"), 5).alias("shift"))
 
 
 @query("ml10_probability_metrics", "SELECT grp, round(sum(weight * pow(score * 10 - CASE WHEN err > 0 THEN 1 ELSE 0 END, 2)) / sum(weight), 6) AS brier, round(sum(weight * score * 10) / sum(weight), 6) AS mean FROM cases GROUP BY grp")

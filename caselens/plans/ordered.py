@@ -196,7 +196,16 @@ def qnt05(spark, d):
     return cases(spark, d).select("case_id", F.round(F.when(F.abs("deviation") > 56, F.abs("deviation")).otherwise(0.0), 8).alias("err"))
 
 
-@query("qnt06_expected_error")
+def _expected_sql() -> str:
+    lo, hi, top = "ln(CAST(500 AS DOUBLE))", "ln(base * 0.5)", len(Q.LEVELS)
+    between = [f"CASE WHEN least(q[{i + 2}], {hi}) > greatest(q[{i + 1}], {lo}) THEN {Q.LEVELS[i + 1] - Q.LEVELS[i]:.17g} * (exp(least(q[{i + 2}], {hi})) - exp(greatest(q[{i + 1}], {lo}))) / (q[{i + 2}] - q[{i + 1}]) ELSE 0 END" for i in range(top - 1)]
+    first = f"CASE WHEN q[1] > {lo} AND q[1] <= {hi} THEN {Q.LEVELS[0]} * exp(q[1]) ELSE 0 END"
+    s, t = f"greatest(q[{top}], {lo})", f"greatest(q[{top}], {hi})"
+    tail = f"CASE WHEN {t} > {s} THEN {1 - Q.LEVELS[-1]:.17g} / CAST(0.4 AS DOUBLE) * exp(q[{top}] / CAST(0.4 AS DOUBLE)) * (exp(CAST(-1.5 AS DOUBLE) * {t}) - exp(CAST(-1.5 AS DOUBLE) * {s})) / CAST(-1.5 AS DOUBLE) ELSE 0 END"
+    return f"CASE WHEN base * 0.5 <= 500 THEN 0 ELSE {' + '.join([first, *between, tail])} + base * 0.5 * ({_survival_sql(hi)}) END"
+
+
+@query("qnt06_expected_error", with_tables(_Q, f"SELECT case_id, round({_expected_sql()}, 6) AS expected FROM q"))
 def qnt06(spark, d):
     e = Q.expected_above(F.lit(500.0), c("q"), F.lit(0.4), c("base") * 0.5)
     return _quantiles(spark, d).select("case_id", F.round(e, 6).alias("expected"))

@@ -11,6 +11,7 @@ from ..operators import bootstrap as B
 from ..operators import rates as R
 from ..operators import windows as X
 from ..sources.cases import cases
+from .ordered import _LADDER, _inverse_sql
 from .projections import TIER_SQL
 from .registry import query, with_tables
 
@@ -179,11 +180,15 @@ def bst11(spark, d):
     return sums.select("grp", F.inline(out))
 
 
-@query("qnt04_signed_draws")
+_DRAWN_SIZE = f"""u AS (SELECT *, {_LADDER} AS q, CASE WHEN status IN (2, 3) THEN amount ELSE 0 END AS size0, {", ".join(f"CAST('0x' || substr(sha256('{i}|' || case_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u{i}" for i in range(3))} FROM cases),
+z AS (SELECT case_id, u0, u1, least(exp({_inverse_sql("u2")}), greatest(base * 0.1, abs(size0))) AS size FROM u)"""
+
+
+@query("qnt04_signed_draws", with_tables(_DRAWN_SIZE, "SELECT case_id, round(CASE WHEN u0 < 0.4 THEN CASE WHEN u1 < 0.6 THEN size ELSE -size END ELSE 0 END, 6) + 0.0 AS drawn FROM z"))
 def qnt04(spark, d):
     """Signed, capped deviations drawn from each case's quantile function."""
     steps = (3.0, 3.4, 4.1, 5.0, 5.8, 6.6, 7.1, 7.6, 8.2)
     u = [rng.hash_uniform(F.lit(i), c("case_id")) for i in range(3)]
     size = F.least(F.exp(Q.inverse(u[2], F.array(*[F.lit(s) + F.ln(1 + c("line")) for s in steps]), F.lit(0.4))), F.greatest(c("base") * 0.1, F.abs("deviation")))
     x = F.when(u[0] < 0.4, F.when(u[1] < 0.6, size).otherwise(-size)).otherwise(0.0)
-    return cases(spark, d).select("case_id", F.round(x, 6).alias("drawn"))
+    return cases(spark, d).select("case_id", (F.round(x, 6) + 0.0).alias("drawn"))
