@@ -35,6 +35,18 @@ def uniform(seed: Column, k: Column) -> Column:
     return F.get(stages, F.lit(0))
 
 
+def uniforms(seed: int, k):
+    """:func:`uniform` for an array of indices, in tasks that hold numbers as arrays."""
+    import numpy as np
+
+    mask = np.uint64(_MASK)
+    shift = lambda x, n: x >> np.uint64(n)
+    a = (np.uint64(seed) + np.asarray(k).astype(np.uint64) * np.uint64(_STEP)) & mask
+    x = (a ^ shift(a, 15)) * (a | np.uint64(1)) & mask
+    mixed = x ^ ((x + ((x ^ shift(x, 7)) * (x | np.uint64(61)) & mask)) & mask)
+    return (mixed ^ shift(mixed, 14)) / 4294967296.0
+
+
 def hash_uniform(*keys: Column) -> Column:
     """A uniform from the first 32 bits of SHA-256 over the keys: the same for a unit wherever it is."""
     digest = F.sha2(F.concat_ws("|", *[k.cast("string") for k in keys]), 256)

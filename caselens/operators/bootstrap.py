@@ -1,12 +1,16 @@
 """Resampling with counter-based draws: any draw of any group is computed alone.
 
-A group's cases are gathered in one array so that a draw can pick them by
-position: groups are review samples of a bounded size (some thousands of rows),
-not the population; sums over the population stay in ordinary aggregates.
+Draws of a fixed size pick cases by position, so a group's cases meet in one
+task, as numbers in Arrow batches: groups are review samples of a bounded size
+(a jurisdiction's period, some thousands of rows), not the population.
+:func:`poisson_sums` resamples groups of any size, and sums over the population
+stay in ordinary aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +18,23 @@ from ..functions import rng
 
 
 def samples(df: DataFrame, group: str, order: list[str], **values: Column) -> DataFrame:
-    """(group, n, items): a group's rows as structs in a fixed order."""
-    item = F.struct(*order, *[v.alias(k) for k, v in values.items()])
-    keep = list(values)
-    rows = df.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    return rows.select(group, F.size("_items").alias("n"), F.transform("_items", lambda r: F.struct(*[r[k].alias(k) for k in keep])).alias("items"))
+    """A group's rows with what puts them in a fixed order (``_o0`` ...) and the values that draws use."""
+    return df.select(group, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[v.alias(k) for k, v in values.items()])
+
+
+def per_draw(sampled: DataFrame, group: str, draws: int, sums: list[str], one: Callable) -> DataFrame:
+    """(group, draw, sums): ``one(rows, draw)`` gives a draw's sums from a group's ordered rows."""
+    order = [c for c in sampled.columns if c.startswith("_o")]
+    kind = sampled.schema[group].dataType.simpleString()
+
+    def run(frame):
+        import pandas as pd
+
+        rows = frame.sort_values(order, kind="stable")
+        out = [(rows[group].iloc[0], d, *one(rows, d)) for d in range(draws)]
+        return pd.DataFrame(out, columns=[group, "draw", *sums])
+
+    return sampled.groupBy(group).applyInPandas(run, f"{group} {kind}, draw int, {', '.join(f'{s} double' for s in sums)}")
 
 
 def draw_sums(sampled: DataFrame, group: str, draws: int, seed: int, sums: list[str], *, extra: int = 0) -> DataFrame:
@@ -27,13 +43,15 @@ def draw_sums(sampled: DataFrame, group: str, draws: int, seed: int, sums: list[
     Every group uses the same stream, read from its own position on: draw d's
     j-th pick is the uniform of index d * m + j + 1, whatever task computes it.
     """
-    m = F.col("n") + extra
-    each = sampled.select(group, "n", "items", m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    first = F.col("draw").cast("long") * F.col("m")
-    picks = F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.get(F.col("items"), F.floor(rng.uniform(F.lit(seed).cast("long"), first + j) * F.col("n")).cast("int")))
-    zero = F.struct(*[F.lit(0.0).alias(s) for s in sums])
-    total = F.aggregate(picks, zero, lambda a, x: F.struct(*[(a[s] + x[s]).alias(s) for s in sums]))
-    return each.select(group, "draw", total.alias("_t")).select(group, "draw", *[F.col(f"_t.{s}").alias(s) for s in sums])
+
+    def one(rows, d: int) -> list[float]:
+        import numpy as np
+
+        n, m = len(rows), len(rows) + extra
+        at = (rng.uniforms(seed, d * m + np.arange(1, m + 1)) * n).astype(np.int64)
+        return [float(rows[s].to_numpy()[at].sum()) for s in sums]
+
+    return per_draw(sampled, group, draws, sums, one)
 
 
 #: The Poisson distribution function of mean 1 at 0, 1, 2, ...

@@ -121,19 +121,20 @@ def bst06(spark, d):
     rows = _cells(spark, d)
     centre = F.ln(F.greatest("amount", F.lit(1.0)))
     s = B.samples(rows, "grp", ["case_id"], weight=c("weight"), base=c("base"), centre=centre)
-    each = s.select("grp", "n", "items", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("draw"))
-    # Three uniforms an occurrence, always: which row, whether it deviates, and by how much.
-    u = lambda j, t: rng.uniform(F.lit(SEED).cast("long"), (c("draw").cast("long") * c("n") + j) * 3 + t + 1)
-
-    def one(j):
-        item = F.get("items", F.floor(u(j, 0) * c("n")).cast("int"))
-        size = F.least(F.exp(item["centre"] + (u(j, 2) - 0.5)), item["base"] * 0.1)
-        err = F.when((u(j, 1) < 0.4) & (size > 200), size).otherwise(0.0)
-        return F.struct((item["weight"] * err).alias("e"), (item["weight"] * item["base"]).alias("b"))
-
-    picks = F.transform(F.sequence(F.lit(0), c("n") - 1), one)
-    total = F.aggregate(picks, F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("b")), lambda a, x: F.struct((a["e"] + x["e"]).alias("e"), (a["b"] + x["b"]).alias("b")))
-    return each.select("grp", "draw", total.alias("t")).select("grp", "draw", F.round(c("t.e") * 100 / c("t.b"), 6).alias("rate"))
+
+    def one(r, draw: int) -> list[float]:
+        import numpy as np
+
+        # Three uniforms an occurrence, always: which row, whether it deviates, and by how much.
+        n = len(r)
+        u = [rng.uniforms(SEED, (draw * n + np.arange(n)) * 3 + t + 1) for t in range(3)]
+        at = (u[0] * n).astype(np.int64)
+        w, base, mid = (r[k].to_numpy()[at] for k in ("weight", "base", "centre"))
+        size = np.minimum(np.exp(mid + (u[2] - 0.5)), base * 0.1)
+        return [float((w * np.where((u[1] < 0.4) & (size > 200), size, 0.0)).sum()), float((w * base).sum())]
+
+    t = B.per_draw(s, "grp", 20, ["e", "b"], one)
+    return t.select("grp", "draw", F.round(c("e") * 100 / c("b"), 6).alias("rate"))
 
 
 @query("bst07_over_seeds", with_tables(_SAMPLE, "SELECT grp, round(avg(m), 6) AS mean, round(stddev_samp(m) / sqrt(count(*)), 6) AS mc_se FROM (SELECT grp, draw % 8 AS seed, avg(rate) AS m FROM drawn GROUP BY 1, 2) GROUP BY grp"))
