@@ -363,28 +363,27 @@ def repeated_spans(docs: DataFrame, kinds: dict[int, int], elsewhere: int | None
     across = F.lit(False) if elsewhere is None else F.col("length") == elsewhere
     # As a table of its own, so that Spark can split a leader that many runs share when it joins them.
     twice = storage.materialize(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
-    met = storage.materialize(runs.join(twice, "key"), "met")
+    packed = storage.materialize(runs.join(twice, "key"), "met")
     storage.release(runs, twice)
-    met = _unpacked(met, kinds)
-    keys = met.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y"), F.first("length").alias("length"), F.min(id_).alias("low"), F.max(id_).alias("high"))
-    keys = storage.materialize(keys.where(~across | (F.col("low") < F.col("high"))).select("key", (F.col("x") != F.col("y")).alias("mixed")), "keys")
-    met = met.join(keys, "key")
-    covered = [F.col("begin").alias("first"), (F.col("begin") + F.col("windows") - 1 + F.col("length")).alias("last")]
-    whole = met.where("NOT mixed").select("name", "n_bytes", "length", *covered)
+    met = _unpacked(packed, kinds)
+    # Contents first: equal runs fold in tasks, and no leader's runs meet in one.
     one = F.min(F.struct("doc_id", "name", "n_bytes", "begin", "windows", "lead", "length")).alias("r")
-    mixed = met.where("mixed").groupBy("key", "content").agg(F.count("*").alias("n"), F.min(id_).alias("low"), F.max(id_).alias("high"), one)
-    mixed = mixed.select("key", "content", "low", "high", "r.*", "n").withColumn("alone", F.when(across, F.col("low") == F.col("high")).otherwise(F.col("n") == 1))
-    mixed = storage.materialize(mixed, "mixed")
-    contents = mixed.groupBy("key").agg(F.count("*").alias("contents")).where(f"contents > {MANY}")
-    stepped = mixed.join(contents, "key", "left").withColumn("step", F.when(F.col("contents").isNull(), STEP).otherwise(FINE_STEP))
+    contents = met.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(id_).alias("low"), F.max(id_).alias("high"), one)
+    contents = storage.materialize(contents.select("key", "content", "n", "low", "high", "r.*"), "contents")
+    keys = contents.groupBy("key").agg(F.count("*").alias("contents"), F.first("length").alias("length"), F.min("low").alias("low"), F.max("high").alias("high"))
+    keys = storage.materialize(keys.where(~across | (F.col("low") < F.col("high"))).select("key", "contents"), "keys")
+    covered = [F.col("begin").alias("first"), (F.col("begin") + F.col("windows") - 1 + F.col("length")).alias("last")]
+    whole = met.join(keys.where("contents = 1").select("key"), "key").select("name", "n_bytes", "length", *covered)
+    mixed = contents.join(keys.where("contents > 1"), "key").withColumn("alone", F.when(across, F.col("low") == F.col("high")).otherwise(F.col("n") == 1))
+    mixed = storage.materialize(mixed.withColumn("step", F.when(F.col("contents") > MANY, FINE_STEP).otherwise(STEP)), "mixed")
     part = F.struct(F.lit(0).alias("first"), (F.col("windows") - 1 + F.col("length")).alias("last"))
-    edges = _edges(docs, stepped, elsewhere).groupBy("key", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts"))
+    edges = _edges(docs, mixed, elsewhere).groupBy("key", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts"))
     parts = storage.materialize(mixed.where("NOT alone").select("key", "content", F.array(part).alias("parts")).unionAll(edges), "parts")
-    inner = met.where("mixed").join(parts, ["key", "content"]).select("name", "n_bytes", "length", "begin", F.explode("parts").alias("p"))
+    inner = met.join(parts, ["key", "content"]).select("name", "n_bytes", "length", "begin", F.explode("parts").alias("p"))
     inner = inner.select("name", "n_bytes", "length", (F.col("begin") + F.col("p.first")).alias("first"), (F.col("begin") + F.col("p.last")).alias("last"))
     spans = whole.unionAll(inner)
     spans = storage.materialize(spans.groupBy("name", "n_bytes").agg(F.collect_set(F.struct("length", "first", "last")).alias("spans")), "spans")
-    storage.release(mixed, parts)
+    storage.release(packed, contents, keys, mixed, parts)
     return spans
 
 
