@@ -55,5 +55,5 @@ def hash_uniform(*keys: Column) -> Column:
 
 def text_seed(text: Column, start: int = 20260820) -> Column:
     """A 32-bit seed of a name: each character is mixed in and multiplied by a fixed prime."""
-    codes = F.transform(F.split(text, ""), lambda ch: F.ascii(ch).cast("long"))
+    codes = F.transform(F.filter(F.split(text, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("long"))
     return F.aggregate(codes, F.lit(start).cast("long"), lambda a, x: F.pmod(a.bitwiseXOR(x) * 16777619, F.lit(1 << 32)))

@@ -166,3 +166,67 @@ def test_streamed_rates(spark, tmp_path):
     q.stop()
     assert [(r.n, r.rate, r.tier) for r in spark.table("rates").collect()] == [(2, 6.0, 5)]
     assert math.isfinite(S.TIER_TOP)
+
+
+def test_poisson_sums_stay_near_the_total_and_ignore_row_order(spark):
+    rows = [(f"k{i}", i % 2, float(i % 7)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, g int, x double")
+    got = {(r.g, r.draw): r.x for r in B.poisson_sums(df, ["g"], "k", 20, x=F.col("x")).collect()}
+    again = {(r.g, r.draw): r.x for r in B.poisson_sums(df.repartition(7), ["g"], "k", 20, x=F.col("x")).collect()}
+    assert got == again and len(got) == 40
+    for g in (0, 1):
+        total = sum(x for _, h, x in rows if h == g)
+        draws = [got[g, d] for d in range(20)]
+        # A Poisson sum has a variance of the sum of squares.
+        sd = sum(x * x for _, h, x in rows if h == g) ** 0.5
+        assert abs(np.mean(draws) - total) < 4 * sd / 20**0.5 and 0.4 * sd < np.std(draws) < 1.8 * sd
+
+
+def test_array_uniforms_equal_the_column_expression(spark):
+    from caselens.functions import rng
+
+    got = [r[0] for r in spark.range(1, 500).select(rng.uniform(F.lit(11).cast("long"), F.col("id"))).collect()]
+    assert np.array_equal(got, rng.uniforms(11, np.arange(1, 500)))
+
+
+def test_text_seed_mixes_every_character(spark):
+    from caselens.functions import rng
+
+    def plain(text):
+        seed = 20260820
+        for ch in text:
+            seed = (seed ^ ord(ch)) * 16777619 % 2**32
+        return seed
+
+    names = ["CA", "AC", "", "NATION_7"]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(rng.text_seed(F.col("n"))).collect()]
+    assert got == [plain(n) for n in names]
+
+
+def test_row_wise_isotonic_projection_pools_violators(spark):
+    from caselens.functions import quantiles as Q
+
+    def plain(v):
+        blocks = []
+        for x in v:
+            blocks.append([x, 1])
+            while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+                x2, n2 = blocks.pop()
+                x1, n1 = blocks.pop()
+                blocks.append([(x1 * n1 + x2 * n2) / (n1 + n2), n1 + n2])
+        return [x for x, n in blocks for _ in range(n)]
+
+    r = np.random.default_rng(3)
+    rows = [r.normal(size=5).tolist() for _ in range(60)] + [[1.0] * 5, [5.0, 4.0, 3.0, 2.0, 1.0]]
+    got = [x[0] for x in spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v array<double>").orderBy("i").select(Q.isotonic(F.col("v"), 5)).collect()]
+    assert np.allclose(got, [plain(v) for v in rows])
+
+
+def test_shifts_of_all_groups_meet_the_goal(spark):
+
+    rows = [(g, (i % 11) / 3 - k, 1.0 + i % 3) for k, g in enumerate("abc") for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, z double, w double")
+    shifts = {r.g: r.shift for r in I.intercept_shifts(df, "g", "z", "w", 0.4).collect()}
+    for g in "abc":
+        p = [(w / (1 + math.exp(-(z + shifts[g]))), w) for h, z, w in rows if h == g]
+        assert abs(sum(a for a, _ in p) / sum(w for _, w in p) - 0.4) < 1e-8
