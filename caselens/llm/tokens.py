@@ -44,7 +44,7 @@ class WordEncoder:
     the tokenizer as they are.
     """
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,7 +95,7 @@ class WordEncoder:
         return b"".join([known[w] for w in text.split()])
 
 
-def encoder(path: str, remember: int = 800_000) -> WordEncoder:
+def encoder(path: str, remember: int = 400_000) -> WordEncoder:
     """One encoder a worker process; later tasks of the process go on with it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = (path, remember)
