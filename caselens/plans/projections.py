@@ -265,11 +265,11 @@ def prj31(spark, d):
     return cases(spark, d).select("part").distinct().select("part", (F.round(z, 6) + 0.0).alias("z"))
 
 
-@query("prj32_reanchor", "SELECT a.grp, a.period, round(grp_no % 7 + a.rate - b.rate, 8) + 0.0 AS rate FROM panel a JOIN (SELECT grp, rate FROM panel WHERE period = 1995) b USING (grp)")
+@query("prj32_reanchor", "SELECT a.grp, a.period, round(grp_no % 7 + a.rate - b.rate, 5) + 0.0 AS rate FROM panel a JOIN (SELECT grp, rate FROM panel WHERE period = 1995) b USING (grp)")
 def prj32(spark, d):
     p = panel(spark, d)
     start = p.where("period = 1995").select("grp", c("rate").alias("start"))
-    return p.join(start, "grp").select("grp", "period", (F.round(c("grp_no") % 7 + c("rate") - c("start"), 8) + 0.0).alias("rate"))
+    return p.join(start, "grp").select("grp", "period", (F.round(c("grp_no") % 7 + c("rate") - c("start"), 5) + 0.0).alias("rate"))
 
 
 @query("prj33_direction", "SELECT grp, period, CASE WHEN grp_no % 2 = 0 THEN rate ELSE -rate END + 0.0 AS effect, CASE WHEN grp_no % 2 = 0 THEN rate - 1 ELSE -(rate + 1) END + 0.0 AS low, CASE WHEN grp_no % 2 = 0 THEN rate + 1 ELSE -(rate - 1) END + 0.0 AS high FROM panel")

@@ -14,7 +14,7 @@ from ..sources.cases import CASES_SQL, cases
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
-PANEL_SQL = "panel AS (SELECT grp, grp_no, period, count(*) AS n, sum(weight) AS w, round(sum(weight * err) * 100 / sum(weight * base), 9) AS rate FROM cases GROUP BY grp, grp_no, period)"
+PANEL_SQL = "panel AS (SELECT grp, grp_no, period, count(*) AS n, sum(weight) AS w, round(sum(weight * err) * 100 / sum(weight * base), 10) AS rate FROM cases GROUP BY grp, grp_no, period)"
 
 
 def query(name: str, sql: str | None = None):
@@ -35,7 +35,7 @@ def with_tables(ctes: str, body: str) -> str:
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """Case count, weight and error rate of every group and period."""
-    rate = F.round(weighted_ratio("weight", "err", "base"), 9)
+    rate = F.round(weighted_ratio("weight", "err", "base"), 10)
     return cases(spark, d).groupBy("grp", "grp_no", "period").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), rate.alias("rate"))
 
 

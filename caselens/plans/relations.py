@@ -199,7 +199,7 @@ def flt11(spark, d):
 
 @query(
     "flt12_thin_cells",
-    "SELECT p.grp, p.period, CASE WHEN p.n < 8 OR e.n_eff < 6 THEN a.rate ELSE p.rate END AS rate FROM panel p JOIN (SELECT grp, period, sum(weight) * sum(weight) / sum(weight * weight) AS n_eff FROM cases GROUP BY grp, period) e USING (grp, period) JOIN (SELECT period, round(sum(weight * err) * 100 / sum(weight * base), 6) AS rate FROM cases GROUP BY period) a ON a.period = p.period",
+    "SELECT p.grp, p.period, CASE WHEN p.n < 8 OR e.n_eff < 6 THEN a.rate ELSE round(p.rate, 6) END AS rate FROM panel p JOIN (SELECT grp, period, sum(weight) * sum(weight) / sum(weight * weight) AS n_eff FROM cases GROUP BY grp, period) e USING (grp, period) JOIN (SELECT period, round(sum(weight * err) * 100 / sum(weight * base), 6) AS rate FROM cases GROUP BY period) a ON a.period = p.period",
 )
 def flt12(spark, d):
     from ..operators.rates import effective_n
