@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, cover_tree, digest, equal_average, fm_index, matrix_packing, mixing, online_packing, pii_crf, quality, suffix_dedup, toxicity
+from . import block_labeller, chosen_path, cover_tree, digest, equal_average, fm_index, matrix_packing, mixing, online_packing, pii_crf, quality, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op12_fm_index_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_labeller.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
