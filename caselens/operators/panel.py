@@ -122,11 +122,16 @@ def persistence_fit(products: DataFrame, noise: DataFrame, grid: int = 99) -> Da
 
     ``products``: (lag, n, product), lag 0 net of sampling noise ``noise``: (noise).
     """
-    p = products.crossJoin(F.broadcast(noise)).withColumn("y", F.when(F.col("lag") == 0, F.col("product") - F.col("noise")).otherwise(F.col("product")))
+    return components_by(products.crossJoin(F.broadcast(noise)), [], grid)
+
+
+def components_by(products: DataFrame, by: list[str], grid: int = 99) -> DataFrame:
+    """:func:`persistence_fit` for every key of ``by`` at once, from (by, lag, n, product, noise): replicates are groups of one plan."""
+    p = products.withColumn("y", F.when(F.col("lag") == 0, F.col("product") - F.col("noise")).otherwise(F.col("product")))
     rho = F.explode(F.transform(F.sequence(F.lit(1), F.lit(grid)), lambda i: i / float(grid + 1))).alias("rho")
-    x = p.select("lag", "n", "y", rho).withColumn("x", F.pow("rho", F.col("lag")))
+    x = p.select(*by, "lag", "n", "y", rho).withColumn("x", F.pow("rho", F.col("lag")))
     w = F.col("n").cast("double")
-    s = x.groupBy("rho").agg(*[F.sum(c).alias(k) for k, c in {"w": w, "wx": w * F.col("x"), "wy": w * F.col("y"), "wxx": w * F.col("x") * F.col("x"), "wxy": w * F.col("x") * F.col("y"), "wyy": w * F.col("y") * F.col("y")}.items()])
+    s = x.groupBy(*by, "rho").agg(*[F.sum(c).alias(k) for k, c in {"w": w, "wx": w * F.col("x"), "wy": w * F.col("y"), "wxx": w * F.col("x") * F.col("x"), "wxy": w * F.col("x") * F.col("y"), "wyy": w * F.col("y") * F.col("y")}.items()])
     c = F.col
     det = c("w") * c("wxx") - c("wx") * c("wx")
     s = s.withColumn("b", F.try_divide(c("w") * c("wxy") - c("wx") * c("wy"), det)).withColumn("a", (c("wy") - c("b") * c("wx")) / c("w"))
@@ -135,7 +140,8 @@ def persistence_fit(products: DataFrame, noise: DataFrame, grid: int = 99) -> Da
     s = s.withColumn("fixed", F.when((c("a") >= 0) & (c("b") >= 0), c("a")).when(c("a") < 0, 0.0).otherwise(only_a))
     s = s.withColumn("drifting", F.when((c("a") >= 0) & (c("b") >= 0), c("b")).when(c("a") < 0, only_b).otherwise(0.0))
     sse = c("wyy") - 2 * c("fixed") * c("wy") - 2 * c("drifting") * c("wxy") + c("fixed") * c("fixed") * c("w") + 2 * c("fixed") * c("drifting") * c("wx") + c("drifting") * c("drifting") * c("wxx")
-    return s.withColumn("sse", F.round(sse, 9)).agg(F.min(F.struct("sse", "rho", "fixed", "drifting")).alias("m")).select("m.rho", "m.fixed", "m.drifting", "m.sse")
+    best = s.withColumn("sse", F.round(sse, 9)).groupBy(*by).agg(F.min(F.struct("sse", "rho", "fixed", "drifting")).alias("m"))
+    return best.select(*by, "m.rho", "m.fixed", "m.drifting", "m.sse")
 
 
 def conditional_path(df: DataFrame, group: str, period: str, value: str, ahead: int) -> DataFrame:
