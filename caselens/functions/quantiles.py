@@ -19,14 +19,18 @@ def monotone(q: Column, floor: float) -> Column:
 def survival(threshold: Column, q: Column, tail: Column, levels: tuple = LEVELS) -> Column:
     """P(amount > threshold): 1 under the support, linear between quantiles (the
     right one at ties), exponential in the log beyond the last."""
-    x = F.ln(threshold)
+    return F.when(threshold <= 0, 1.0).otherwise(_beyond(F.ln(threshold), q, tail, levels))
+
+
+def _beyond(x: Column, q: Column, tail: Column, levels: tuple) -> Column:
+    """P(log amount > x)."""
     n = len(levels)
     nodes = [F.get(q, F.lit(i)) for i in range(n)]
     out = F.when(x >= nodes[-1], (1 - levels[-1]) * F.exp(-(x - nodes[-1]) / tail))
     for i in range(n - 2, -1, -1):
         part = (x - nodes[i]) / (nodes[i + 1] - nodes[i])
         out = out.when((x >= nodes[i]) & (x < nodes[i + 1]), 1 - (levels[i] + part * (levels[i + 1] - levels[i])))
-    return F.when(threshold <= 0, 1.0).otherwise(out.otherwise(1.0))
+    return out.otherwise(1.0)
 
 
 def inverse(u: Column, q: Column, tail: Column, levels: tuple = LEVELS) -> Column:
@@ -66,27 +70,29 @@ def expected_above(threshold: Column, q: Column, tail: Column, cap: Column, leve
     Mass below the first level sits on the first quantile; between quantiles the
     log amount is uniform, so a stretch of it adds its mass times the mean of
     exp over it; the exponential tail adds an integral that ends at the cap.
+    The nodes, the bounds and their exponentials are bound once a row, so that
+    the stretches only look them up: exp rises, hence exp(least(b, hi)) is the
+    lesser of two known exponentials.
     """
+    low, high = F.ln(F.greatest(threshold, F.lit(1e-300))), F.ln(cap)
+    known = F.struct(q.alias("q"), F.transform(q, lambda v: F.exp(v)).alias("e"), low.alias("lo"), high.alias("hi"), F.exp(low).alias("elo"), F.exp(high).alias("ehi"), cap.cast("double").alias("cap"), tail.cast("double").alias("tail"))
 
-    def upto(limit: Column) -> Column:
-        """E[M; threshold < M <= limit]."""
-        lo, hi = F.ln(F.greatest(threshold, F.lit(1e-300))), F.ln(limit)
-        first = F.get(q, F.lit(0))
-        total = F.when((first > lo) & (first <= hi), levels[0] * F.exp(first)).otherwise(0.0)
+    def total(s: Column) -> Column:
+        node, power = (lambda i: F.get(s["q"], F.lit(i))), (lambda i: F.get(s["e"], F.lit(i)))
+        inside = lambda i: (node(i) > s["lo"]) & (node(i) <= s["hi"])
+        out = F.when(inside(0), levels[0] * power(0)).otherwise(0.0)
         for i in range(len(levels) - 1):
-            a, b = F.get(q, F.lit(i)), F.get(q, F.lit(i + 1))
-            s, t = F.greatest(a, lo), F.least(b, hi)
-            mass = levels[i + 1] - levels[i]
-            flat = F.when((a > lo) & (a <= hi), mass * F.exp(a)).otherwise(0.0)
-            total = total + F.when(b > a, F.when(t > s, mass * (F.exp(t) - F.exp(s)) / (b - a)).otherwise(0.0)).otherwise(flat)
-        last = F.get(q, F.lit(len(levels) - 1))
-        s, t = F.greatest(last, lo), F.greatest(last, hi)
-        rate = 1 - 1 / tail
-        piece = (1 - levels[-1]) / tail * F.exp(last / tail)
-        area = F.when(F.abs(rate) < 1e-9, t - s).otherwise((F.exp(rate * t) - F.exp(rate * s)) / rate)
-        return total + F.when(t > s, piece * area).otherwise(0.0)
-
-    return F.when(cap <= threshold, 0.0).otherwise(upto(cap) + cap * survival(cap, q, tail, levels))
+            a, b, mass = node(i), node(i + 1), levels[i + 1] - levels[i]
+            stretch = F.when(F.least(b, s["hi"]) > F.greatest(a, s["lo"]), mass * (F.least(power(i + 1), s["ehi"]) - F.greatest(power(i), s["elo"])) / (b - a)).otherwise(0.0)
+            out = out + F.when(b > a, stretch).otherwise(F.when(inside(i), mass * power(i)).otherwise(0.0))
+        last = node(len(levels) - 1)
+        rate = 1 - 1 / s["tail"]
+        start, stop = F.greatest(last, s["lo"]), F.greatest(last, s["hi"])
+        area = F.when(F.abs(rate) < 1e-9, stop - start).otherwise((F.exp(rate * stop) - F.exp(rate * start)) / rate)
+        beyond = F.when(stop > start, (1 - levels[-1]) / s["tail"] * F.exp(last / s["tail"]) * area).otherwise(0.0)
+        return out + beyond + s["cap"] * _beyond(s["hi"], s["q"], s["tail"], levels)
+
+    return F.when(cap <= threshold, 0.0).otherwise(F.get(F.transform(F.array(known), total), F.lit(0)))
 
 
 def isotonic(values: Column, n: int) -> Column:

@@ -130,6 +130,16 @@ def benefit(gross: Column, earned: Column, size: Column, shelter: Column, *, mos
     return {"adjusted": adjusted, "excess_shelter": excess, "net": net, "reduction": reduction, "benefit": paid}
 
 
+def benefits(gross, earned, size, shelter, most, least: float, standard: float = 193.0, cap: float = 672.0):
+    """The last stage of :func:`benefit` for arrays, in tasks that walk many cases together."""
+    import numpy as np
+
+    adjusted = np.maximum(0.0, gross - np.floor(0.2 * earned + 0.5) - standard)
+    excess = np.minimum(cap, np.maximum(0.0, shelter - np.floor(adjusted / 2 + 0.5)))
+    net = np.maximum(0.0, np.floor(adjusted - excess + 0.5))
+    return np.maximum(np.where(size <= 2, least, 0.0), np.maximum(0.0, most - np.ceil(0.3 * net)))
+
+
 def first_difference(stages: list[tuple[str, Column, Column]]) -> Column:
     """The first stage, in order, whose two values differ; null where none does."""
     return F.coalesce(*[F.when(~a.eqNullSafe(b), F.lit(name)) for name, a, b in stages])

@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import rng
+from .windows import running_before
 
-
-SLICES = 64
+#: Donors that a slice of a cell holds on average.
+A_SLICE = 256
 
 
 def hot_deck(recipients: DataFrame, donors: DataFrame, key: str, levels: list[list[str]], weight: str, value: str, seed: str) -> DataFrame:
@@ -19,27 +19,30 @@ def hot_deck(recipients: DataFrame, donors: DataFrame, key: str, levels: list[li
 
     Levels go from fine to coarse; a recipient uses the finest level whose cell
     has donors. The draw is an interval join within the cell: donors' cumulative
-    weights cut (0, 1], so one donor holds the uniform. Both sides are keyed by
-    a SLICES-th of the unit interval, so a recipient meets the donors of its slice alone.
+    weights cut (0, 1], so one donor holds the uniform. A cell's unit interval is
+    cut into as many slices as it has A_SLICE donors, and both sides are keyed by
+    cell and slice: a recipient meets some A_SLICE donors, however many the cell
+    has, and a large cell spreads over many tasks.
     """
     found = recipients.withColumn("_u", rng.hash_uniform(F.lit(seed), F.col(key)))
     pools = []
     for i, names in enumerate(levels):
         cell = F.concat_ws("|", *[F.col(n).cast("string") for n in names]) if names else F.lit("all")
         pool = donors.select(cell.alias("_cell"), F.col(weight).alias("_w"), F.col(value).alias("_value"), F.col(key).alias("_donor"))
-        sums = pool.groupBy("_cell").agg(F.sum("_w").alias("_all"))
-        upto = F.sum("_w").over(W.partitionBy("_cell").orderBy("_donor").rowsBetween(W.unboundedPreceding, 0))
-        pool = pool.withColumn("_upto", upto).join(sums, "_cell").select("_cell", "_donor", "_value", ((F.col("_upto") - F.col("_w")) / F.col("_all")).alias("_lo"), (F.col("_upto") / F.col("_all")).alias("_hi"))
-        pool = pool.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_lo") * SLICES), F.floor(F.col("_hi") * SLICES))))
-        pools.append((i, cell, sums.select("_cell"), pool))
+        pool = running_before(pool, ["_cell"], [F.asc("_donor")], "_w", "_before")
+        sums = pool.groupBy("_cell").agg(F.sum("_w").alias("_all"), F.ceil(F.count("*") / A_SLICE).alias("_slices"))
+        upto = F.col("_before") + F.col("_w")
+        pool = pool.join(sums, "_cell").select("_cell", "_donor", "_value", "_slices", ((upto - F.col("_w")) / F.col("_all")).alias("_lo"), (upto / F.col("_all")).alias("_hi"))
+        pool = pool.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_lo") * F.col("_slices")), F.floor(F.col("_hi") * F.col("_slices"))))).drop("_slices")
+        pools.append((i, cell, sums.select("_cell", "_slices"), pool))
     for i, cell, cells, _ in pools:
-        has = cells.withColumn(f"_has{i}", F.lit(True))
+        has = cells.withColumnRenamed("_slices", f"_has{i}")
         found = found.withColumn("_cell", cell).join(has, "_cell", "left").drop("_cell")
-    level = F.coalesce(*[F.when(F.col(f"_has{i}"), F.lit(i)) for i, *_ in pools])
-    found = found.withColumn("level", level).drop(*[f"_has{i}" for i, *_ in pools])
+    level = F.coalesce(*[F.when(F.col(f"_has{i}").isNotNull(), F.lit(i)) for i, *_ in pools])
+    found = found.withColumn("level", level)
     out = []
     for i, cell, _, pool in pools:
-        mine = found.where(F.col("level") == i).withColumn("_cell", cell).withColumn("_slice", F.floor(F.col("_u") * SLICES))
+        mine = found.where(F.col("level") == i).withColumn("_cell", cell).withColumn("_slice", F.floor(F.col("_u") * F.col(f"_has{i}")))
         out.append(mine.join(pool, ["_cell", "_slice"]).where("_u >= _lo AND _u < _hi").select(key, "level", F.col("_donor").alias("donor"), F.col("_value").alias("imputed")))
     return reduce(lambda a, b: a.unionAll(b), out)
 

@@ -1,7 +1,7 @@
 """Ordered operators: budgets, weighted quantiles, ranking metrics.
 
-National curves order all rows. Where a group may be the whole table, the order
-is cut into ranges first: sums per range give every range its start, and the
+A group may hold any share of the rows, so no group is ordered by one window: the
+order is cut into ranges first, sums per range give every range its start, and the
 window runs within ranges (:func:`running_before`).
 """
 
@@ -11,18 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import store
+
 
 def running_before(df: DataFrame, groups: list[str], order: list[Column], value: str, out: str, *, coarse: Column | None = None) -> DataFrame:
     """The sum of ``value`` over the rows of the group before each row.
 
-    ``coarse`` is a number that rises with the order (a bin of the leading sort
-    key); with it no group is sorted in one task: bins' sums are accumulated,
-    and the window runs within a bin.
+    No group is sorted in one task: bins' sums are accumulated, and the window
+    runs within a bin. ``coarse`` is a number that rises with the order, such as
+    a bin of the leading sort key. Without it the rows are dealt by ranges of
+    group and whole order, at cut points that Spark samples, so that groups of
+    any size and equal leading keys are cut as well. They are stored before, as
+    sampling reads them too, and after, for the sums and the window to see the
+    same ranges: pass no more columns than are needed.
     """
     if coarse is None:
-        w = W.partitionBy(*groups).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0.0)))
-    binned = df.withColumn("_bin", coarse)
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = store(df, "ordered").repartitionByRange(ranges, *[F.asc(g) for g in groups], *order)
+        binned = store(dealt.withColumn("_bin", F.spark_partition_id()), "ranges")
+    else:
+        binned = df.withColumn("_bin", coarse)
     sums = binned.groupBy(*groups, "_bin").agg(F.sum(value).alias("_sum"))
     upto = W.partitionBy(*groups).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(*groups, "_bin", F.coalesce(F.sum("_sum").over(upto), F.lit(0.0)).alias("_start"))
@@ -31,6 +39,11 @@ def running_before(df: DataFrame, groups: list[str], order: list[Column], value:
     return rows.withColumn(out, F.col("_start") + F.col(out)).drop("_bin", "_start")
 
 
+def places(df: DataFrame, groups: list[str], order: list[Column], out: str) -> DataFrame:
+    """``df`` with each row's place in its group's order, from 1."""
+    return running_before(df.withColumn("_one", F.lit(1.0)), groups, order, "_one", out).withColumn(out, F.col(out).cast("long") + 1).drop("_one")
+
+
 def budget_membership(df: DataFrame, groups: list[str], score: str, tie: list[str], weight: str, coverage: float) -> DataFrame:
     """The fraction of each row inside a budget of ``coverage`` of the weight, best scores first;
     only the row at the boundary is split."""

@@ -8,6 +8,7 @@ from ..operators import impute as I
 from ..operators import panel as P
 from ..operators import rates as R
 from ..sources.cases import cases, table
+from ..sources.shared import store
 from .registry import panel, query, with_tables
 
 c = F.col
@@ -74,7 +75,8 @@ def opt06(spark, d):
 @query("opt07_raking")
 def opt07(spark, d):
     """Weights raked to 10 percent more weight on overpayments and 5 percent fewer dollars."""
-    rows = cases(spark, d).withColumn("k", c("base") / 1e5)
+    # Every step reads the three columns that it needs, from files.
+    rows = store(cases(spark, d).select("status", "weight", (c("base") / 1e5).alias("k")), "raked")
     w = c("weight")
     goal = rows.agg(F.sum(w), F.sum(F.when(c("status") == 2, w)), F.sum(w * c("k"))).first()
     margins = {"all": (F.lit(1.0), goal[0]), "over": ((c("status") == 2).cast("double"), 1.1 * goal[1]), "dollars": (c("k"), 0.95 * goal[2])}
@@ -195,7 +197,7 @@ def ml08(spark, d):
 @query("ml09_intercept_shift")
 def ml09(spark, d):
     """Every group's probabilities moved to a given mean by one shift of its logits."""
-    rows = cases(spark, d).select("grp", (c("base") / 1e4 - 5).alias("logit"), "weight")
+    rows = store(cases(spark, d).select("grp", (c("base") / 1e4 - 5).alias("logit"), "weight"), "logits")
     shifts = I.intercept_shifts(rows, "grp", "logit", "weight", 0.3)
     p = 1 / (1 + F.exp(-(c("logit") + c("shift"))))
     return rows.join(shifts, "grp").groupBy("grp").agg(F.round(R.weighted_mean(p, "weight"), 5).alias("mean"), F.round(F.first("shift"), 5).alias("shift"))

@@ -16,7 +16,7 @@ member AS (SELECT *, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (total
 
 
 def _members(spark, d):
-    return X.budget_membership(cases(spark, d), ["grp"], "score", ["case_id"], "weight", 0.1)
+    return X.budget_membership(cases(spark, d).select("case_id", "grp", "score", "weight", "err"), ["grp"], "score", ["case_id"], "weight", 0.1)
 
 
 @query("win01_budget_membership", with_tables(_BUDGET, "SELECT case_id, round(membership, 8) AS membership FROM member WHERE membership > 0"))
@@ -62,7 +62,7 @@ def _labelled(spark, d):
     ),
 )
 def win04(spark, d):
-    p = X.precision_at(_labelled(spark, d), ["grp"], "score", ["case_id"], "y", "weight", 0.05)
+    p = X.precision_at(_labelled(spark, d).select("case_id", "grp", "score", "weight", "y"), ["grp"], "score", ["case_id"], "y", "weight", 0.05)
     return p.select("grp", F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"))
 
 
@@ -138,9 +138,7 @@ def win11(spark, d):
 
 @query("win13_positional_id", "SELECT case_id, row_number() OVER (PARTITION BY grp ORDER BY case_id) AS pos FROM cases")
 def win13(spark, d):
-    from pyspark.sql import Window as W
-
-    return cases(spark, d).select("case_id", F.row_number().over(W.partitionBy("grp").orderBy("case_id")).cast("long").alias("pos"))
+    return X.places(cases(spark, d).select("grp", "case_id"), ["grp"], [F.asc("case_id")], "pos").select("case_id", "pos")
 
 
 @query("win14_priced_shifts", "SELECT shift, bound, round(count(*) FILTER (WHERE rate + shift >= bound) / CAST(count(*) AS DOUBLE), 8) AS share FROM panel, (VALUES (CAST(-2 AS DOUBLE)), (CAST(0 AS DOUBLE)), (CAST(2 AS DOUBLE))) s(shift), (VALUES (CAST(6 AS DOUBLE)), (CAST(8 AS DOUBLE)), (CAST(10 AS DOUBLE))) b(bound) GROUP BY shift, bound")

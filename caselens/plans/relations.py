@@ -11,6 +11,7 @@ from ..operators import windows as X
 from ..operators.impute import hot_deck
 from ..operators.rates import weighted_ratio
 from ..sources import contracts, readers, writers
+from ..sources.shared import store
 from ..sources.cases import cases, table, threshold
 from .registry import panel, query, with_tables
 
@@ -97,10 +98,10 @@ def src18(spark, d):
     return readers.last_row_wins(cases(spark, d).select("part", "supp", "case_id"), ["part", "supp"], c("case_id"))
 
 
-@query("snk01_struct_of_arrays", "SELECT grp, orderkey % 64 AS chunk, list(CAST(weight AS BIGINT) ORDER BY case_id) AS w, list(status ORDER BY case_id) AS status, CAST(sum(CASE WHEN line = 1 THEN 1 ELSE 0 END) AS BIGINT) AS ones FROM cases GROUP BY grp, chunk")
+@query("snk01_struct_of_arrays", "SELECT grp, orderkey // 64 AS chunk, list(CAST(weight AS BIGINT) ORDER BY case_id) AS w, list(status ORDER BY case_id) AS status, CAST(sum(CASE WHEN line = 1 THEN 1 ELSE 0 END) AS BIGINT) AS ones FROM cases GROUP BY grp, chunk")
 def snk01(spark, d):
-    # A payload is a group's chunk of keys, so no row gathers a whole group.
-    rows = cases(spark, d).withColumn("cell", F.struct("grp", (c("orderkey") % 64).alias("chunk")))
+    # A payload is a group's part of 64 keys in a row: arrays keep their size, and tables of any size have more of them.
+    rows = cases(spark, d).withColumn("cell", F.struct("grp", F.expr("orderkey div 64").alias("chunk")))
     out = writers.struct_of_arrays(rows, "cell", ["case_id"], w=c("weight").cast("long"), status=c("status"), one=c("line") == 1)
     return out.select("cell.*", "w", "status", F.size(F.filter("one", lambda x: x)).cast("long").alias("ones"))
 
@@ -111,13 +112,13 @@ _SIG = "CAST(round(amount / pow(10, floor(log10(amount)) - 3)) AS BIGINT)"
 @query(
     "snk02_sized_encoding",
     f"""SELECT chunk, CASE WHEN sum(length(fine) + 1) <= 400 THEN string_agg(fine, ',' ORDER BY case_id) WHEN sum(length(coarse) + 1) <= 400 THEN string_agg(coarse, ',' ORDER BY case_id) ELSE CAST(count(*) AS VARCHAR) END AS body
-    FROM (SELECT case_id, orderkey % 2048 AS chunk, {_SIG} || 'e' || CAST(floor(log10(amount)) - 3 AS INTEGER) AS fine, CAST(round(amount) AS BIGINT) || '' AS coarse FROM cases WHERE amount >= 0.01) GROUP BY chunk""",
+    FROM (SELECT case_id, orderkey // 8 AS chunk, {_SIG} || 'e' || CAST(floor(log10(amount)) - 3 AS INTEGER) AS fine, CAST(round(amount) AS BIGINT) || '' AS coarse FROM cases WHERE amount >= 0.01) GROUP BY chunk""",
 )
 def snk02(spark, d):
     """Four significant digits where a chunk's payload fits its bytes, else whole dollars, else a count."""
     e = F.floor(F.log10("amount")) - 3
     fine = F.concat(F.round(c("amount") / F.pow(F.lit(10.0), e)).cast("long").cast("string"), F.lit("e"), e.cast("int").cast("string"))
-    rows = cases(spark, d).where("amount >= 0.01").select("case_id", (c("orderkey") % 2048).alias("chunk"), fine.alias("fine"), F.round("amount").cast("long").cast("string").alias("coarse"))
+    rows = cases(spark, d).where("amount >= 0.01").select("case_id", F.expr("orderkey div 8").alias("chunk"), fine.alias("fine"), F.round("amount").cast("long").cast("string").alias("coarse"))
     # Sizes come first, so that only what is written is gathered.
     size = rows.groupBy("chunk").agg(F.sum(F.length("fine") + 1).alias("a"), F.sum(F.length("coarse") + 1).alias("b"), F.count("*").cast("string").alias("n"))
     part = rows.join(size.where("a <= 400 OR b <= 400"), "chunk").select("chunk", F.struct("case_id", F.when(c("a") <= 400, c("fine")).otherwise(c("coarse")).alias("v")).alias("r"))
@@ -309,8 +310,9 @@ def jn16(spark, d):
 
 @query("jn17_rank_pairs", "SELECT a.grp, a.rn, a.case_id AS one, b.case_id AS other FROM (SELECT grp, case_id, CAST(row_number() OVER (PARTITION BY grp ORDER BY base, case_id) AS INTEGER) AS rn FROM cases WHERE line = 1) a JOIN (SELECT grp, case_id, CAST(row_number() OVER (PARTITION BY grp ORDER BY base, case_id) AS INTEGER) AS rn FROM cases WHERE line = 2) b USING (grp, rn)")
 def jn17(spark, d):
-    rn = F.row_number().over(W.partitionBy("grp").orderBy("base", "case_id")).alias("rn")
-    one, other = (cases(spark, d).where(c("line") == i).select("grp", c("case_id").alias(n), rn, "base", "case_id").drop("base", "case_id") for i, n in ((1, "one"), (2, "other")))
+    rows = cases(spark, d).where(c("line").isin(1, 2)).select("grp", "line", "base", "case_id")
+    placed = X.places(rows, ["grp", "line"], [F.asc("base"), F.asc("case_id")], "rn").withColumn("rn", c("rn").cast("int"))
+    one, other = (placed.where(c("line") == i).select("grp", "rn", c("case_id").alias(n)) for i, n in ((1, "one"), (2, "other")))
     return one.join(other, ["grp", "rn"])
 
 
@@ -398,6 +400,6 @@ fine AS (SELECT case_id, CAST(0 AS INTEGER) AS level, donor, v FROM rec JOIN poo
 
 @query("ml13_hot_deck", with_tables(_DONORS, "SELECT case_id, level, donor, v AS imputed FROM fine UNION ALL SELECT case_id, CAST(1 AS INTEGER), donor, v FROM rec JOIN pool2 ON rec.cell2 = pool2.cell WHERE rec.cell NOT IN (SELECT cell FROM pool) AND u >= (upto - w) / total AND u < upto / total"))
 def ml13(spark, d):
-    rows = cases(spark, d)
+    rows = store(cases(spark, d).select("case_id", "grp", "line", "weight", "agency1", "status", "period"), "deck")
     donors = rows.where("status = 1 AND period < 1998").select("case_id", "grp", "line", "weight", "agency1")
     return hot_deck(rows.where("period = 2000").select("case_id", "grp", "line"), donors, "case_id", [["grp", "line"], ["line"]], "weight", "agency1", "deck")

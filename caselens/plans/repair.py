@@ -40,12 +40,13 @@ ends AS (SELECT * FROM walk WHERE ({_REASON}) IS NOT NULL OR steps = {MOST})""",
 )
 def opt09b(spark, d):
     """Unearned income stepped until the whole benefit chain meets the benefit that was paid."""
-    paid = lambda x: S.benefit(c("base") / 40 + x, c("base") / 40, c("line"), c("amount") / 4, most=(200 + 160 * c("line")).cast("double"), least=F.lit(23.0))["benefit"]
-    rows = cases(spark, d).withColumn("recorded", paid(c("base") / 40))
+    most = (200 + 160 * c("line")).cast("double")
+    rows = cases(spark, d).select("case_id", (c("base") / 40).alias("income"), (c("base") / 40).alias("earned"), "line", (c("amount") / 4).alias("shelter"), most.alias("most"), "deviation")
+    rows = rows.withColumn("recorded", S.benefit(c("earned") + c("income"), c("earned"), c("line"), c("shelter"), most=c("most"), least=F.lit(23.0))["benefit"])
     rows = rows.withColumn("target", F.greatest(F.lit(0.0), c("recorded") + F.floor(c("deviation") / 200 + 0.5)))
-    w = solver.walk(c("base") / 40, c("target"), c("recorded"), paid, most=MOST)
-    out = rows.select("case_id", "base", w.alias("w"))
-    return out.select("case_id", "w.steps", (F.round(c("w.income") - c("base") / 40, 6) + 0.0).alias("moved"), "w.reached", "w.reason")
+    paid = lambda income, x: S.benefits(x["earned"] + income, x["earned"], x["line"], x["shelter"], x["most"], 23.0)
+    out = solver.walk(rows, "case_id", "income", "target", "recorded", ["earned", "line", "shelter", "most"], paid, most=MOST)
+    return out.select("case_id", "steps", (F.round(c("income") - c("start"), 6) + 0.0).alias("moved"), "reached", "reason")
 
 
 _LEVELS = ", ".join(f"({i + 1}, CAST({p} AS DOUBLE))" for i, p in enumerate(Q.LEVELS))

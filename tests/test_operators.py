@@ -230,3 +230,45 @@ def test_shifts_of_all_groups_meet_the_goal(spark):
     for g in "abc":
         p = [(w / (1 + math.exp(-(z + shifts[g]))), w) for h, z, w in rows if h == g]
         assert abs(sum(a for a, _ in p) / sum(w for _, w in p) - 0.4) < 1e-8
+
+
+def test_running_sums_of_one_large_group_are_cut_into_ranges(spark):
+    from caselens.operators import windows as X
+
+    n = 4000
+    df = spark.range(n).select(F.lit("hot").alias("g"), F.lit(1).alias("tie"), F.concat(F.lit("k"), F.lpad("id", 5, "0")).alias("key"), (F.col("id") % 7).cast("double").alias("w"))
+    df = df.unionAll(spark.createDataFrame([("cold", 1, "a", 2.0), ("cold", 0, "b", 3.0)], "g string, tie int, key string, w double")).repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = X.running_before(df, ["g"], [F.desc("tie"), F.asc("key")], "w", "before")
+        got = {(r.g, r.key): r.before for r in out.collect()}
+        placed = {(r.g, r.key): r.p for r in X.places(df, ["g"], [F.desc("tie"), F.asc("key")], "p").collect()}
+        ranges = df.repartitionByRange(16, "g", F.desc("tie"), "key").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    upto = 0.0
+    for i in range(n):
+        assert got["hot", f"k{i:05d}"] == upto and placed["hot", f"k{i:05d}"] == i + 1
+        upto += i % 7
+    assert (got["cold", "a"], got["cold", "b"]) == (0.0, 2.0) and (placed["cold", "a"], placed["cold", "b"]) == (1, 2)
+    # Equal leading keys of one group spread over the ranges.
+    assert len(ranges) > 8 and max(r[1] for r in ranges) < n / 8
+
+
+def test_hot_deck_meets_a_slice_of_a_large_cell(spark, monkeypatch):
+    from caselens.functions import rng
+    from caselens.operators import impute
+
+    monkeypatch.setattr(impute, "A_SLICE", 8)
+    donors = spark.range(500).select(F.concat(F.lit("d"), F.lpad("id", 4, "0")).alias("key"), F.lit("x").alias("c"), F.when(F.col("id") == 9, 300.0).otherwise(1.0 + F.col("id") % 3).alias("w"), F.col("id").alias("v"))
+    asking = spark.range(400).select(F.concat(F.lit("r"), "id").alias("key"), F.lit("x").alias("c"))
+    got = {r.key: r.donor for r in impute.hot_deck(asking, donors, "key", [["c"]], "w", "v", "s").collect()}
+    rows = sorted((r.key, r.w) for r in donors.collect())
+    total, upto, ends = sum(w for _, w in rows), 0.0, []
+    for key, w in rows:
+        upto += w
+        ends.append((upto / total, key))
+    for r in asking.select("key", rng.hash_uniform(F.lit("s"), F.col("key")).alias("u")).collect():
+        assert got[r.key] == next(k for end, k in ends if r.u < end)
+    assert len(got) == 400 and len(set(got.values())) > 100

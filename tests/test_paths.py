@@ -77,19 +77,32 @@ def test_walk_ends_for_each_reason(spark):
     rows = [("matched", 300.0, 190.0), ("matched", 300.0, 162.0), ("matched", 40.0, 365.0), ("empty", 30.0, 500.0), ("not solved", 5000.0, 300.0), ("passed", 101.0, 170.0)]
     df = spark.createDataFrame(rows, "want string, income double, target double")
     # Falls by 0.5 a dollar, but by 90 at an income of 100: from above to below the target in one step.
-    paid = lambda x: 400 - 0.5 * x - F.when(x > 100, 90.0).otherwise(0.0)
-    rows = df.withColumn("recorded", paid(F.col("income"))).withColumn("target", F.when(F.col("want") == "passed", F.col("recorded") + 30).otherwise(F.col("target")))
-    w = solver.walk(F.col("income"), F.col("target"), F.col("recorded"), paid, most=200)
-    for r in rows.withColumn("w", w).collect():
-        income, steps = r.income, 0
-        value = lambda x: 400 - 0.5 * x - (90.0 if x > 100 else 0.0)
-        up = r.target > r.recorded
+    value = lambda x: 400 - 0.5 * x - (90.0 if x > 100 else 0.0)
+    paid = lambda x, given: 400 - 0.5 * x - np.where(x > 100, 90.0, 0.0) + given["zero"]
+    recorded = 400 - 0.5 * F.col("income") - F.when(F.col("income") > 100, 90.0).otherwise(0.0)
+    rows = df.withColumn("recorded", recorded).withColumn("target", F.when(F.col("want") == "passed", F.col("recorded") + 30).otherwise(F.col("target"))).withColumn("zero", F.lit(0))
+    rows = rows.withColumn("id", F.concat_ws("|", "want", "income", "target")).unionByName(spark.sql("SELECT 'not solved' AS want, 1.0D AS income, CAST(NULL AS DOUBLE) AS target, 2.0D AS recorded, 0 AS zero, 'none' AS id"))
+    got = {r.id: r for r in solver.walk(rows, "id", "income", "target", "recorded", ["zero"], paid, most=200).collect()}
+    assert (got["none"].steps, got["none"].income, got["none"].reached, got["none"].reason) == (0, None, None, "not solved")
+    for r in rows.where("target IS NOT NULL").collect():
+        income, steps, up = r.income, 0, r.target > r.recorded
         while steps < 200:
             now = value(income)
             if abs(r.target - now) <= 3 or (now > r.target if up else now < r.target) or (income <= 0 if up else now <= 0):
                 break
             income, steps = (max(income - 3, 0) if up else income + 3), steps + 1
-        assert (r.w.steps, r.w.income, r.w.reached) == (steps, income, value(income)) and r.w.reason == r.want, r
+        w = got[r.id]
+        assert (w.steps, w.income, w.reached) == (steps, income, value(income)) and w.reason == r.want, r
+
+
+def test_array_chain_equals_the_column_chain(spark):
+    from caselens.functions import scalars as S
+
+    df = spark.range(300).select((F.col("id") * 37.3 % 2600).alias("g"), (F.col("id") * 11.7 % 900).alias("e"), (F.col("id") % 6 + 1).alias("n"), (F.col("id") * 53.1 % 1500).alias("h"))
+    df = df.withColumn("most", (200 + 160 * F.col("n")).cast("double"))
+    rows = df.withColumn("b", S.benefit(F.col("g"), F.col("e"), F.col("n"), F.col("h"), most=F.col("most"), least=F.lit(23.0))["benefit"]).collect()
+    g, e, n, h, most, b = (np.array([r[i] for r in rows], float) for i in range(6))
+    assert S.benefits(g, e, n, h, most, 23.0).tolist() == b.tolist() and len(set(b.tolist())) > 50
 
 
 def test_publication_is_whole_or_not_at_all(spark, tmp_path):
