@@ -251,6 +251,58 @@ def agg27(spark, d):
     return cases(spark, d).groupBy("period", (c("status") == 2).alias("over")).agg(F.count("*").alias("n"), F.round(F.avg("amount"), 4).alias("mean"))
 
 
+@query(
+    "agg27b_rates_by_denominator",
+    """SELECT denominator, required, count(*) AS n, round(sum(weight * CASE WHEN err > 0 THEN 1 ELSE 0 END) / sum(weight), 8) AS rate, round(sum(weight * err) / sum(weight * base), 8) AS dollars FROM (
+      SELECT *, unnest(CASE WHEN agency2 > 0 THEN ['all', 'claimants'] ELSE ['all'] END) AS denominator, base / 1000 > 35 AS required FROM cases WHERE supp % 3 = 0) GROUP BY denominator, required""",
+)
+def agg27b(spark, d):
+    """Rates by whether documentation is required, over claimants and over the stable denominator: one pass, a case in each it belongs to."""
+    group = cases(spark, d).where("supp % 3 = 0").withColumn("required", c("base") / 1000 > 35)
+    both = group.withColumn("denominator", F.explode(F.when(c("agency2") > 0, F.array(F.lit("all"), F.lit("claimants"))).otherwise(F.array(F.lit("all")))))
+    w = c("weight")
+    return both.groupBy("denominator", "required").agg(F.count("*").alias("n"), F.round(R.weighted_mean((c("err") > 0).cast("double"), "weight"), 8).alias("rate"), F.round(F.sum(w * c("err")) / F.sum(w * c("base")), 8).alias("dollars"))
+
+
+@query(
+    "agg27c_yearly_cadence",
+    """SELECT period, count(*) AS n, count(*) FILTER (WHERE agency2 IS NULL) AS missing, count(*) FILTER (WHERE agency2 > line * 3) AS inconsistent, count(*) FILTER (WHERE agency2 BETWEEN 1 AND 2) AS near,
+      round(sum(weight * CASE WHEN agency2 BETWEEN 1 AND 2 THEN 1 ELSE 0 END) / sum(weight), 8) AS near_rate, count(*) FILTER (WHERE agency2 > 0) AS valid,
+      round(count(*) FILTER (WHERE agency2 >= 24) / CAST(count(*) FILTER (WHERE agency2 > 0) AS DOUBLE), 8) AS long_share, round(count(*) FILTER (WHERE agency2 >= 24 AND supp % 3 = 0) / CAST(count(*) FILTER (WHERE agency2 > 0 AND supp % 3 = 0) AS DOUBLE), 8) AS long_share_group
+    FROM cases GROUP BY ROLLUP (period)""",
+)
+def agg27c(spark, d):
+    """Coverage and cadence of a feature family by year and over all years, from one rollup; shares are of cases with a valid period."""
+    x, group = c("agency2"), c("supp") % 3 == 0
+    near = F.coalesce(x.between(1, 2), F.lit(False))
+    share = lambda on: F.round(F.try_divide(F.count_if((x >= 24) & on), F.count_if((x > 0) & on)), 8)
+    return cases(spark, d).rollup("period").agg(
+        F.count("*").alias("n"), F.count_if(x.isNull()).alias("missing"), F.count_if(x > c("line") * 3).alias("inconsistent"), F.count_if(near).alias("near"),
+        F.round(R.weighted_mean(near.cast("double"), "weight"), 8).alias("near_rate"), F.count_if(x > 0).alias("valid"), share(F.lit(True)).alias("long_share"), share(group).alias("long_share_group"),
+    )
+
+
+@query(
+    "agg27d_registry_cross_check",
+    with_tables(
+        "registry AS (SELECT n_name AS grp, p AS period, CASE WHEN (n_nationkey + p) % 5 > 0 THEN CAST((n_nationkey + p) % 2 AS INTEGER) END AS status_known FROM nation, range(1995, 2001) t(p))",
+        """SELECT c.period, status_known AS registered, count(*) AS n, count(*) FILTER (WHERE agency2 IS NULL) AS code_missing, count(*) FILTER (WHERE agency2 IN (2, 3)) AS pattern,
+          round(sum(weight * CASE WHEN agency2 IN (2, 3) THEN 1 ELSE 0 END) / sum(weight), 8) AS pattern_rate, r.grp IS NULL AS unlisted
+        FROM cases c LEFT JOIN registry r ON c.grp = r.grp AND c.period = r.period GROUP BY c.period, status_known, unlisted""",
+    ),
+)
+def agg27d(spark, d):
+    """Cases' code patterns beside the registered status of their place and year; places that aren't listed or have no status are counted apart."""
+    years = F.explode(F.sequence(F.lit(1995), F.lit(2000))).alias("period")
+    place = table(spark, d, "nation").select(c("n_name").alias("grp"), "n_nationkey", years)
+    status = F.when((c("n_nationkey") + c("period")) % 5 > 0, ((c("n_nationkey") + c("period")) % 2).cast("int"))
+    registry = place.select("grp", "period", status.alias("registered"), F.lit(True).alias("listed"))
+    hit = F.coalesce(c("agency2").isin(2, 3), F.lit(False))
+    rows = cases(spark, d).join(registry, ["grp", "period"], "left").withColumn("unlisted", c("listed").isNull())
+    out = rows.groupBy("period", "registered", "unlisted").agg(F.count("*").alias("n"), F.count_if(c("agency2").isNull()).alias("code_missing"), F.count_if(hit).alias("pattern"), F.round(R.weighted_mean(hit.cast("double"), "weight"), 8).alias("pattern_rate"))
+    return out.select("period", "registered", "n", "code_missing", "pattern", "pattern_rate", "unlisted")
+
+
 @query("agg28_band_coverage", "SELECT period, count(*) FILTER (WHERE abs(base / 1000 - 45) <= 1) AS near, count(*) FILTER (WHERE abs(base / 1000 - 45) <= 5) AS wide, count(*) FILTER (WHERE abs(base / 1000 - 45) <= 5 AND err > 0) AS overlap FROM cases GROUP BY period")
 def agg28(spark, d):
     away = F.abs(c("base") / 1000 - 45)
