@@ -54,6 +54,21 @@ def draw_sums(sampled: DataFrame, group: str, draws: int, seed: int, sums: list[
     return per_draw(sampled, group, draws, sums, one)
 
 
+def seeded_sums(sampled: DataFrame, group: str, draws: int, seeds: list[int], sums: list[str]) -> DataFrame:
+    """(group, seed, draw, sums): as :func:`draw_sums` from several streams of their own; a group's rows are ordered once for all of them."""
+
+    def one(rows, k: int) -> list[float]:
+        import numpy as np
+
+        n, (s, d) = len(rows), divmod(k, draws)
+        at = (rng.uniforms(seeds[s], d * n + np.arange(1, n + 1)) * n).astype(np.int64)
+        return [float(rows[x].to_numpy()[at].sum()) for x in sums]
+
+    out = per_draw(sampled, group, draws * len(seeds), sums, one)
+    of = F.element_at(F.array(*[F.lit(s) for s in seeds]), F.floor(F.col("draw") / draws).cast("int") + 1)
+    return out.select(group, of.alias("seed"), (F.col("draw") % draws).alias("draw"), *sums)
+
+
 #: The Poisson distribution function of mean 1 at 0, 1, 2, ...
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 

@@ -143,6 +143,26 @@ def bst07(spark, d):
     return B.over_seeds(per, ["grp"], "m").select("grp", F.round("mean", 6).alias("mean"), F.round("mc_se", 6).alias("mc_se"))
 
 
+SEEDS = [SEED + 10_000 * i for i in range(8)]
+_SEEDED = f"""
+cells AS (SELECT * REPLACE (grp || '|' || period AS grp) FROM cases),
+smp AS (SELECT grp, weight * err AS we, weight * base AS wb, row_number() OVER (PARTITION BY grp ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM cells),
+sz AS (SELECT DISTINCT grp, n FROM smp),
+idx AS (SELECT grp, n, d AS draw, CAST({SEED} + 10000 * s AS BIGINT) AS seed, CAST(d * n + j AS BIGINT) AS k FROM sz, range(0, {len(SEEDS)}) r(s), range(0, 5) t(d), LATERAL (SELECT unnest(range(1, n + 1)) AS j)),{_RNG},
+means AS (SELECT grp, seed, avg(rate) AS m FROM (SELECT v.grp, seed, draw, sum(we) * 100 / sum(wb) AS rate FROM uni v JOIN smp ON v.grp = smp.grp AND smp.i = CAST(floor(v.u * v.n) AS BIGINT) GROUP BY v.grp, seed, draw) GROUP BY grp, seed)"""
+
+
+@query("bst07b_own_seeds", with_tables(_SEEDED, "SELECT grp, round(avg(m), 6) AS mean, round(stddev_samp(m) / sqrt(count(*)), 6) AS mc_se, round(max(m) - min(m), 6) AS spread FROM means GROUP BY grp"))
+def bst07b(spark, d):
+    """Eight seeds, each a stream of its own with five draws: the mean over seeds, its Monte Carlo error and the seeds' spread."""
+    w = c("weight")
+    s = B.samples(_cells(spark, d), "grp", ["case_id"], we=w * c("err"), wb=w * c("base"))
+    t = B.seeded_sums(s, "grp", 5, SEEDS, ["we", "wb"])
+    per = t.groupBy("grp", "seed").agg(F.avg(c("we") * 100 / c("wb")).alias("m"))
+    wide = per.groupBy("grp").agg((F.max("m") - F.min("m")).alias("spread"))
+    return B.over_seeds(per, ["grp"], "m").join(wide, "grp").select("grp", *[F.round(x, 6).alias(x) for x in ("mean", "mc_se", "spread")])
+
+
 @query(
     "bst08_drift_band",
     with_tables(
