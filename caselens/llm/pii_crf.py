@@ -1,17 +1,26 @@
 """Personal data by a skip-chain conditional random field (operator 1).
 
 Four recognisers give base spans. The field's nodes are the base spans, held to
-their kinds, and every other token that has a digit or an ``@``; node
-potentials come from a token's shape, chain potentials join neighbours, and
-skip potentials join each repeated or similar token (same digits, same last
-seven digits, same mailbox name) to the one before it in the document, however
-far away. Loopy sum-product messages make the labels of such tokens agree; a
-token whose likeliest label is a kind of personal data becomes a further span.
-A token that occurs n times gives n - 1 skip edges, never all pairs.
-
-Potentials are smoothed counts over all documents: shapes by label, labels by
-preceding label, agreement along skip edges. Their table is bounded (SHAPES by
-labels), so it alone visits the driver.
+their kinds, and every other token that may be personal data: those with a
+digit or an ``@``, addresses written out (``name (at) host dot net``), numbers
+masked but for their last four digits, and bare mailbox names of addresses that
+the document holds. Node potentials come from a token's shape (whether its
+digits pass the check among it) and the word before it, chain potentials join
+neighbours, and skip potentials join each repeated or similar token (same
+digits, same last seven or masked last four, same address however written, same
+mailbox) to the one before it in the document, however far away. Loopy
+sum-product messages make the labels of such tokens agree; a token whose
+likeliest label is a kind of personal data becomes a further span. A token that
+occurs n times gives n - 1 skip edges, never all pairs.
+
+A kind that a token cannot be (a card number failing its check, an address part
+over 255) has no weight there. Open tokens are unlabelled, not known to be
+other: however often a shape occurs open, each kind keeps HIDDEN times the
+weight of other, and words and neighbours speak little against it, so that evidence from the word before or along a skip decides.
+
+Potentials are smoothed counts over all documents: shapes and preceding words by
+label, labels by preceding label, agreement along skip edges. Their table is
+bounded (SHAPES and CONTEXTS by labels), so it alone visits the driver.
 
 Defined results: a null or empty text has no spans; texts of any length are
 searched whole, in linear time; of labels equally likely the first listed
@@ -21,11 +30,13 @@ counts; repeated rows (and rows without a doc_id) give a row each; an empty tabl
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +48,9 @@ from . import storage
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SHAPES = 1024
+CONTEXTS = 1024
+#: The weight of each possible kind against other that an open token's shape leaves at least.
+HIDDEN = 0.08
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _MAILBOX_TAIL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -45,7 +59,13 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARKED = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
-_NUMBER = re.compile(r"\(?[0-9](?:[ ().-]{0,3}+[0-9])*+")
+_NUMBER = re.compile(r"\(?[0-9](?:[][ ().-]{0,3}+[0-9])*+")
+_WRITTEN = re.compile(r"[\s(\[{]{1,3}at[\s)\]}]{1,3}([A-Za-z0-9-]++(?:(?:\.|[\s(\[{]{1,3}dot[\s)\]}]{1,3})[A-Za-z0-9-]++)++)", re.IGNORECASE)
+_DOT = re.compile(r"[\s(\[{]+dot[\s)\]}]+", re.IGNORECASE)
+_MASKED = re.compile(r"(?:[*xX#\u2022]{2,}+[ -]?+)++([0-9]{4})\Z")
+_DIALLED = re.compile(r"(?:[A-Za-z]+[:=.]?)?\+?[][0-9 ().-]+\Z")
+_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]*\Z")
+_BOX = re.compile(r"(?<![^\s(\[<,;:'\"])[A-Za-z0-9._%+-]{5,64}+")
 _EDGES = "\"'()[]{}<>,;:!?.*$%&#|=/\\`~^"
 _MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -108,51 +128,119 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{LABELS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def _shape(token: str, glued: bool) -> int:
-    digits = sum(c.isdigit() for c in token)
+class Node(NamedTuple):
+    """A token of the field; label -1 where it is open, ``may`` a bit for each label that it can have."""
+
+    start: int
+    label: int
+    stop: int
+    shape: int
+    keys: list[str]
+    context: int = -1
+    may: int = (1 << len(LABELS)) - 1
+
+
+def _address(token: str) -> str:
+    """A mail address however written, in lower case."""
+    if m := _WRITTEN.search(token):
+        return f"{token[: m.start()]}@{_DOT.sub('.', m[1])}".lower()
+    return token.lower()
+
+
+def _four(token: str) -> str | None:
+    """Four dotted numbers of at most 255, brackets and spaces aside."""
+    parts = re.sub(r"[][() ]", "", token).split(".")
+    return ".".join(parts) if len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts) else None
+
+
+def _digits(token: str) -> str:
+    return "".join(c for c in token if "0" <= c <= "9")
+
+
+def _shape(token: str, glued: bool, kind: str) -> int:
+    digits = _digits(token)
     letters = sum(c.isalpha() for c in token)
-    band = int(np.searchsorted([1, 4, 7, 9, 12, 15, 20], digits, "right"))
-    seen = f"{band}|{min(letters, 3)}|{min(token.count('.'), 3)}|{min(token.count('-'), 2)}|{'(' in token}|{' ' in token}|{'@' in token}|{glued}"
+    band = int(np.searchsorted([1, 4, 7, 9, 12, 15, 20], len(digits), "right"))
+    check = 12 <= len(digits) <= 19 and _luhn(digits)
+    seen = f"{band}|{min(letters, 3)}|{min(token.count('.'), 3)}|{min(token.count('-'), 2)}|{'(' in token}|{' ' in token}|{'@' in token}|{glued}|{check}|{kind}"
     return zlib.crc32(seen.encode()) % SHAPES
 
 
-def _keys(token: str, label: int) -> list[str]:
+def _keys(token: str, label: int, kind: str) -> list[str]:
     """What a token shares with those it may name the same thing as."""
-    digits = "".join(c for c in token if "0" <= c <= "9")
-    out = []
-    if "@" in token:
-        box, _, host = token.lower().partition("@")
-        out.append("m" + token.lower())
-        if len(box) >= 5:
-            out.append("b" + box)
-        return out
-    if label == 2 or token.count(".") == 3:
-        out.append("i" + token)
-    if len(digits) >= 7:
+    if kind == "masked":
+        return ["f" + _digits(token)]
+    if "@" in token or kind == "written":
+        whole = _address(token)
+        box = whole.partition("@")[0]
+        return ["m" + whole, "b" + box] if len(box) >= 5 else ["m" + whole]
+    if kind == "box":
+        return ["b" + token.lower()]
+    digits, out = _digits(token), []
+    if label == 2 or _four(token):
+        out.append("i" + (_four(token) or token))
+    elif len(digits) >= 7:
         out += ["d" + digits, "s" + digits[-7:]]
-    if any(c.isalpha() for c in token) and len(token) >= 5:
-        out.append("b" + token.lower())
+        if label == 3:
+            out.append("f" + digits[-4:])
     return out
 
 
-def nodes(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, list[str]]]]:
-    """The base spans, and the field's nodes (start, label, end, shape, keys) by start;
-    label -1 where it is open."""
+def _may(token: str, kind: str) -> int:
+    """A bit for each label that an open token can have."""
+    if kind in ("written", "box") or "@" in token:
+        return 0b00011
+    if kind == "masked":
+        return 0b01001
+    if _four(token):
+        return 0b00101
+    digits = _digits(token)
+    card = 12 <= len(digits) <= 19 and _luhn(digits)
+    phone = 7 <= len(digits) <= 15 and token.count(".") < 4 and _DIALLED.match(token)
+    return 1 | (8 if card else 0) | (16 if phone else 0)
+
+
+def _context(text: str, at: int) -> int:
+    m = _BEFORE.search(text, max(0, at - 24), at)
+    return zlib.crc32(m[1].lower().encode()) % CONTEXTS if m else 0
+
+
+def nodes(text: str) -> tuple[list[tuple[int, int, int]], list[Node]]:
+    """The base spans, and the field's nodes by start."""
     base = base_spans(text)
-    if not _MARKED.search(text):
+    if not _MARKED.search(text) and not _WRITTEN.search(text):
         return base, []
     taken = []
     for a, k, b in base:
         if not taken or a >= taken[-1][2]:
             taken.append((a, k, b))
-    out = [(a, k, b) for a, k, b in taken]
-    starts = np.array([a for a, _, _ in taken], np.int64)
-    stops = np.array([b for _, _, b in taken], np.int64)
+    out = [(a, k, b, "") for a, k, b in taken]
+    starts, stops = [a for a, _, _ in taken], [b for _, _, b in taken]
 
     def free(a: int, b: int) -> bool:
-        at = int(np.searchsorted(stops, a, "right"))
+        at = bisect.bisect_right(stops, a)
         return at >= len(starts) or starts[at] >= b
 
+    held = 0
+    for m in _WRITTEN.finditer(text):
+        a = m.start()
+        while a > held and m.start() - a < 64 and text[a - 1] in _MAILBOX:
+            a -= 1
+        if a < m.start() and free(a, m.end()):
+            out.append((a, -1, m.end(), "written"))
+            held = m.end()
+    out.sort()
+    starts, stops = [x[0] for x in out], [x[2] for x in out]
+    boxes = {_address(text[a:b]).partition("@")[0] for a, k, b, kind in out if k == 1 or kind == "written"}
+    boxes = {x for x in boxes if len(x) >= 5 and not x.isalpha()}
+    if boxes:
+        for m in _BOX.finditer(text):
+            a, b = m.start(), m.end()
+            while b > a and text[b - 1] in ".-%+_":
+                b -= 1
+            if text[a:b].lower() in boxes and not text.startswith("@", b) and free(a, b):
+                out.append((a, -1, b, "box"))
+    here = {a for a, _, _, kind in out if kind == "box"}
     numbers_until = 0
     for m in _TOKEN.finditer(text):
         a, b = m.start(), m.end()
@@ -160,23 +248,29 @@ def nodes(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
             a += 1
         while b > a and text[b - 1] in _EDGES:
             b -= 1
+        if tail := _MASKED.search(text, max(m.start(), b - 24), b):
+            if free(tail.start(), b) and tail.start() >= numbers_until:
+                out.append((tail.start(), -1, b, "masked"))
+                numbers_until = b
+            continue
         token = text[a:b]
         if "@" in token or any(c.isalpha() for c in token):
-            if a >= numbers_until and free(a, b):
-                out.append((a, -1, b))
+            if a >= numbers_until and a not in here and free(a, b):
+                out.append((a, -1, b, ""))
         elif b > numbers_until:
             for n in _NUMBER.finditer(text, max(a, numbers_until)):
                 if n.start() >= b:
                     break
                 numbers_until = n.end()
                 if free(n.start(), n.end()):
-                    out.append((n.start(), -1, n.end()))
+                    out.append((n.start(), -1, n.end(), ""))
     out.sort()
     made = []
-    for a, k, b in out:
+    for a, k, b, kind in out:
         token = text[a:b].lstrip("+")
         glued = (a > 0 and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
-        made.append((a, k, b, _shape(token, glued), _keys(token, k)))
+        may = _may(token, kind) if k < 0 else 1 << k
+        made.append(Node(a, k, b, _shape(token, glued, kind), _keys(token, k, kind), _context(text, a), may))
     return base, made
 
 
@@ -184,7 +278,7 @@ def _edges(field: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Node pairs and whether each is a skip edge."""
     last: dict[str, int] = {}
     left, right, skip = [], [], []
-    for i, (_, _, _, _, keys) in enumerate(field):
+    for i, keys in enumerate(f[4] for f in field):
         if i:
             left.append(i - 1), right.append(i), skip.append(0)
         seen = set()
@@ -199,17 +293,19 @@ def _edges(field: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Potentials:
-    """Log potentials: shape by label, label by label along the chain, and along skips."""
+    """Log potentials: shape by label, label by label along the chain, and along skips; preceding word by label."""
 
     shape: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    context: np.ndarray | None = None
 
 
 def counts(field: list[tuple]) -> list[tuple[str, int, int]]:
     """What a document adds to the tables: (table, row, column) events."""
-    labels = [max(k, 0) for _, k, _, _, _ in field]
+    labels = [max(f[1], 0) for f in field]
     out = [("shape", f[3], y) for f, y in zip(field, labels, strict=True)]
+    out += [("context", f[5], y) for f, y in zip(field, labels, strict=True)]
     left, right, skip = _edges(field)
     for i, j, s in zip(left.tolist(), right.tolist(), skip.tolist(), strict=True):
         if not s:
@@ -223,30 +319,39 @@ def potentials(rows: list[tuple[str, int, int, int]]) -> Potentials:
     """From summed (table, row, column, count) rows."""
     shape = np.zeros((SHAPES, len(LABELS)))
     chain = np.zeros((len(LABELS), len(LABELS)))
-    agree = np.array([1.0, 4.0])
+    context = np.zeros((CONTEXTS, len(LABELS)))
+    # Seven like digits or one address by chance are rare: skips agree before any are counted.
+    agree = np.array([1.0, 256.0])
     for table, i, j, n in rows:
         if table == "shape":
             shape[i, j] += n
         elif table == "chain":
             chain[i, j] += n
+        elif table == "context":
+            context[i, j] += n
         else:
             agree[j] += n
     prior = np.array([0.9, 0.025, 0.025, 0.025, 0.025])
-    by_shape = np.log((shape + 2 * prior) / (shape.sum(1, keepdims=True) + 2))
+    by_shape = (shape + 2 * prior) / (shape.sum(1, keepdims=True) + 2)
+    by_shape = np.log(np.maximum(by_shape, HIDDEN * by_shape[:, :1]))
+    word = np.log((context + prior) / (context.sum(1, keepdims=True) + 1) * (context.sum() + 1) / (context.sum(0) + prior))
     lift = (chain + prior * prior[:, None] * 10) / (chain.sum() + 10)
     lift = np.log(lift / (lift.sum(1, keepdims=True) * lift.sum(0, keepdims=True)))
     weight = float(np.clip(np.log(agree[1] / agree[0]), 1.0, 6.0))
-    return Potentials(by_shape, np.clip(lift, -2, 2), weight * np.eye(len(LABELS)))
+    return Potentials(by_shape, np.clip(lift, -0.5, 1), weight * np.eye(len(LABELS)), np.clip(word, -0.5, 3))
 
 
 def infer(field: list[tuple], model: Potentials, rounds: int = 30, damping: float = 0.3) -> np.ndarray:
     """Marginals of each node by loopy sum-product with damping."""
-    n, k = len(field), len(LABELS)
-    unary = np.stack([model.shape[f[3]] for f in field])
+    field, k = [Node(*f) for f in field], len(LABELS)
+    unary = model.shape[[f.shape for f in field]]
+    if model.context is not None:
+        unary = unary + model.context[[f.context for f in field]]
     for i, f in enumerate(field):
-        if f[1] > 0:
-            unary[i] = -30.0
-            unary[i, f[1]] = 0.0
+        may = 1 << f.label if f.label > 0 else f.may
+        unary[i, [not may >> y & 1 for y in range(k)]] = -30.0
+        if f.label > 0:
+            unary[i, f.label] = 0.0
     left, right, skip = _edges(field)
     if not len(left):
         p = np.exp(unary - unary.max(1, keepdims=True))
@@ -283,8 +388,8 @@ def added_spans(field: list[tuple], model: Potentials) -> list[tuple[int, int, i
     return [(f[0], int(y), f[2]) for f, y, q in zip(field, best, p.max(1), strict=True) if f[1] < 0 and y and q >= 0.5]
 
 
-_FIELD = "array<struct<start:int,label:int,stop:int,shape:int,keys:array<string>>>"
-_FIELD_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("label", pa.int32()), ("stop", pa.int32()), ("shape", pa.int32()), ("keys", pa.list_(pa.string()))]))
+_FIELD = "array<struct<start:int,label:int,stop:int,shape:int,keys:array<string>,context:int,may:int>>"
+_FIELD_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("label", pa.int32()), ("stop", pa.int32()), ("shape", pa.int32()), ("keys", pa.list_(pa.string())), ("context", pa.int32()), ("may", pa.int32())]))
 
 
 def recognise(docs: DataFrame) -> DataFrame:
@@ -298,7 +403,7 @@ def recognise(docs: DataFrame) -> DataFrame:
                 for j, out in enumerate(n):
                     out.append(sum(k == j + 1 for _, k, _ in base))
                 spans.append(written(base))
-                fields.append([{"start": a, "label": k, "stop": b, "shape": s, "keys": keys} for a, k, b, s, keys in field])
+                fields.append([f._asdict() for f in field])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(spans, pa.string()), pa.array(fields, _FIELD_ARROW)], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "nodes"])
 
     storage.small_batches(docs.sparkSession, 256)
@@ -312,7 +417,7 @@ def fit(found: DataFrame) -> Potentials:
         table: dict[tuple, int] = {}
         for batch in batches:
             for field in batch.column(0).to_pylist():
-                for event in counts([(x["start"], x["label"], x["stop"], x["shape"], x["keys"]) for x in field]):
+                for event in counts([Node(**x) for x in field]):
                     table[event] = table.get(event, 0) + 1
         rows = [(*event, n) for event, n in table.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["t", "i", "j", "n"])
@@ -330,7 +435,7 @@ def find(docs: DataFrame) -> DataFrame:
         for batch in batches:
             spans, added, all_ = [], [], []
             for base, field in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                new = added_spans([(x["start"], x["label"], x["stop"], x["shape"], x["keys"]) for x in field], model) if field else []
+                new = added_spans([Node(**x) for x in field], model) if field else []
                 old = [(int(a), LABELS.index(k), int(b)) for k, a, b in (x.split(":") for x in base.split(","))] if base else []
                 spans.append(written([*old, *new]))
                 added.append(len(new))
