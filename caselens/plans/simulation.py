@@ -133,7 +133,13 @@ def bst06(spark, d):
         size = np.minimum(np.exp(mid + (u[2] - 0.5)), base * 0.1)
         return [float((w * np.where((u[1] < 0.4) & (size > 200), size, 0.0)).sum()), float((w * base).sum())]
 
-    t = B.per_draw(s, "grp", 20, ["e", "b"], one)
+    def large(r, sizes):
+        size = F.least(F.exp(c("centre") + (c("u2") - 0.5)), c("base") * 0.1)
+        e = F.when((c("u1") < 0.4) & (size > 200), size).otherwise(0.0)
+        picked = B.occurrences(sizes, "grp", 20, SEED, uniforms=3).join(r, ["grp", "_place"])
+        return picked.groupBy("grp", "draw").agg(F.sum(c("weight") * e).alias("e"), F.sum(c("weight") * c("base")).alias("b"))
+
+    t = B.per_draw(s, "grp", 20, ["e", "b"], one, large)
     return t.select("grp", "draw", F.round(c("e") * 100 / c("b"), 6).alias("rate"))
 
 

@@ -79,6 +79,19 @@ def test_bootstrap_is_deterministic_and_centred(spark):
     assert wide < np.std([r.rate for r in a])
 
 
+def test_groups_of_any_size_give_the_same_draws(spark, monkeypatch):
+    """One group holds nine rows of ten; joined by place its draws equal those made in one task."""
+    df = spark.createDataFrame([("hot" if i % 10 else "s", f"k{i // 2}", i, float(i % 7), 1.0 + i % 3) for i in range(900)], "g string, a string, id int, e double, b double")
+    s = B.samples(df, "g", ["a", "id"], e=F.col("e"), b=F.col("b"))
+    runs = [lambda: B.draw_sums(s, "g", 7, 11, ["e", "b"], extra=5), lambda: B.seeded_sums(s, "g", 3, [5, 77], ["e", "b"])]
+    whole = [sorted(r().collect()) for r in runs]
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    monkeypatch.setattr(B, "BLOCK", 64)
+    for run, want in zip(runs, whole, strict=True):
+        assert sorted(run().collect()) == want
+    assert B.draw_sums(s.where("false"), "g", 7, 11, ["e"]).count() == 0
+
+
 def test_planted_effect_is_recovered(spark):
     rows = [(g, y, 5 + i + 0.3 * (y - 1995) * (i % 2) + (2.0 if g == "T" and y >= 1998 else 0.0)) for i, g in enumerate(["T", "A", "B", "C", "D"]) for y in range(1993, 2001)]
     rows = [(g, y, 6.5 + 0.15 * (y - 1995) + (2.0 if y >= 1998 else 0.0)) if g == "T" else (g, y, x) for g, y, x in rows]
