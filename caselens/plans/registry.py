@@ -46,7 +46,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import aggregates, extras, learning, models, ordered, persistence, projections, relations, repair, simulation, studies  # noqa: F401
+    from . import aggregates, extras, features, learning, models, ordered, persistence, projections, relations, repair, simulation, studies  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
