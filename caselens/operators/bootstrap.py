@@ -144,6 +144,12 @@ def percentile_interval(draws: DataFrame, keys: list[str], x: str) -> DataFrame:
     return draws.groupBy(*keys).agg(F.stddev_samp(x).alias("se"), F.percentile(x, F.lit(0.025)).alias("low"), F.percentile(x, F.lit(0.975)).alias("high"))
 
 
+def summary(draws: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """:func:`percentile_interval` with the share of draws at exactly zero."""
+    zero = draws.groupBy(*keys).agg(F.avg((F.col(x) == 0).cast("double")).alias("zero_share"))
+    return percentile_interval(draws, keys, x).join(zero, keys)
+
+
 def over_seeds(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Mean over seeds and its Monte-Carlo standard error."""
     return df.groupBy(*keys).agg(F.avg(x).alias("mean"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("mc_se"))

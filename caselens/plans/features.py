@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..operators import bootstrap as B
 from ..operators import features as E
+from ..operators import rates as R
+from ..sources import contracts as M
 from ..sources.cases import cases, table
-from .registry import query, with_tables
+from .projections import TIER_SQL
+from .registry import panel, query, with_tables
+from .simulation import _RNG, DRAWS, SEED
 
 c = F.col
 
 #: A premium of each calendar year on the tables' scale.
 PREMIUMS = {1995: 46.1, 1996: 42.5, 1997: 43.8, 1998: 43.8, 1999: 45.5, 2000: 45.5}
 ELEMENT, IMPACTS = 305, [2, 3]
+OFFICIAL = 9.0
+FROM, UNTIL = 1996, 1997
 
 #: Each role of a review as SQL over the case view, read by Spark and DuckDB alike.
 ROLES = {
@@ -96,3 +104,67 @@ def prj16d(spark, d):
     g = x.groupBy("year").agg(*sums).select("year", "w", "wy", F.inline(F.array(*out)))
     ratio = lambda a, b: F.round(F.try_divide(a, b), 8)
     return g.select("year", "feature", ratio(c("on"), c("w")).alias("prevalence"), ratio(c("hit"), c("on")).alias("rate_with"), ratio(c("wy") - c("hit"), c("w") - c("on")).alias("rate_without"))
+
+
+def _share(rate: str) -> str:
+    return f"avg(({TIER_SQL.format(rate)}) / CAST(100 AS DOUBLE))"
+
+
+_ELEMENTS = "list_distinct([300 + part % 8, 300 + supp % 8])"
+_CUT = f"CASE WHEN err = 0 THEN err ELSE err * (1 - len(list_intersect({_ELEMENTS}, [{ELEMENT}])) / len({_ELEMENTS})) END"
+_LEVER = f"""
+cells AS (SELECT * REPLACE (grp || '|' || period AS grp), {_CUT} AS cut, err > 0 AND list_contains({_ELEMENTS}, {ELEMENT}) AS touched FROM cases),
+pt AS (SELECT grp, count(*) FILTER (WHERE touched) AS touched, sum(weight * (err - cut)) AS dollars, sum(weight * err) * 100 / sum(weight * base) AS p0, sum(weight * cut) * 100 / sum(weight * base) AS p1 FROM cells GROUP BY grp),
+smp AS (SELECT grp, weight * err AS we, weight * base AS wb, weight * cut AS ws, row_number() OVER (PARTITION BY grp ORDER BY case_id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM cells),
+sz AS (SELECT DISTINCT grp, n FROM smp),
+idx AS (SELECT grp, n, d AS draw, CAST({SEED} AS BIGINT) AS seed, CAST(d * n + j AS BIGINT) AS k FROM sz, range(0, {DRAWS}) t(d), LATERAL (SELECT unnest(range(1, n + 1)) AS j)),{_RNG},
+drawn AS (SELECT v.grp, draw, sum(we) * 100 / sum(wb) AS rate, sum(ws) * 100 / sum(wb) AS rate_cut FROM uni v JOIN smp s ON v.grp = s.grp AND s.i = CAST(floor(u * v.n) AS BIGINT) GROUP BY v.grp, draw),
+moved AS (SELECT grp, touched, dollars, p1 - p0 AS shift, {OFFICIAL} + (rate - p0) AS now, {OFFICIAL} + (p1 - p0) + (rate_cut - p1) AS adopted, {OFFICIAL} + (rate - p0) + (p0 - p1) AS reversed FROM drawn JOIN pt USING (grp))"""
+
+
+@query(
+    "x06b_accounting_bound",
+    with_tables(
+        _LEVER,
+        f"SELECT grp, max(touched) AS touched, round(max(dollars), 2) AS dollars, round(max(shift), 6) + 0.0 AS shift, round({_share('now')}, 8) AS share_now, round({_share('adopted')}, 8) AS share_adopted, round({_share('reversed')}, 8) AS share_reversed, round({_share('adopted')} - {_share('now')}, 8) + 0.0 AS adopted_delta, round({_share('reversed')} - {_share('now')}, 8) + 0.0 AS reversed_delta FROM moved GROUP BY grp",
+    ),
+)
+def x06b(spark, d):
+    """Errors attributed to one element in full: the shift of each cell's rate, expected cost shares over common
+    draws with the lever on, and with the shift's sign reversed on the unchanged draws."""
+    own = F.array_distinct(F.array(300 + c("part") % 8, 300 + c("supp") % 8).cast("array<int>"))
+    w = c("weight")
+    rows = cases(spark, d).withColumns({"grp": F.concat_ws("|", "grp", "period"), "cut": S.lever_error(c("err"), own, [ELEMENT], 1.0), "touched": (c("err") > 0) & F.array_contains(own, ELEMENT)})
+    points = rows.groupBy("grp").agg(F.count_if("touched").alias("touched"), F.sum(w * (c("err") - c("cut"))).alias("dollars"), R.weighted_ratio("weight", "err", "base").alias("p0"), R.weighted_ratio("weight", "cut", "base").alias("p1"))
+    drawn = B.draw_sums(B.samples(rows, "grp", ["case_id"], we=w * c("err"), wb=w * c("base"), ws=w * c("cut")), "grp", DRAWS, SEED, ["we", "wb", "ws"])
+    shift = c("p1") - c("p0")
+    now = OFFICIAL + (c("we") * 100 / c("wb") - c("p0"))
+    rates = {"now": now, "adopted": OFFICIAL + shift + (c("ws") * 100 / c("wb") - c("p1")), "reversed": now - shift}
+    share = {k: F.avg(S.tier(r) / 100.0) for k, r in rates.items()}
+    g = drawn.join(points, "grp").groupBy("grp").agg(F.max("touched").alias("touched"), F.max("dollars").alias("dollars"), F.max(shift).alias("shift"), *[x.alias(f"share_{k}") for k, x in share.items()])
+    delta = {f"{k}_delta": (F.round(c(f"share_{k}") - c("share_now"), 8) + 0.0).alias(f"{k}_delta") for k in ("adopted", "reversed")}
+    return g.select("grp", "touched", F.round("dollars", 2).alias("dollars"), (F.round("shift", 6) + 0.0).alias("shift"), *[F.round(f"share_{k}", 8).alias(f"share_{k}") for k in rates], *delta.values())
+
+
+_DRIFT = f"""
+moves AS (SELECT a.grp, round(b.rate - a.rate, 10) AS delta, round(sqrt(100 / a.n + 100 / b.n), 10) AS sd FROM panel a JOIN panel b ON a.grp = b.grp AND a.period = {FROM} AND b.period = {UNTIL}),
+smp AS (SELECT delta * delta AS d2, sd * sd AS s2, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM moves),
+idx AS (SELECT n, d AS draw, CAST({SEED} AS BIGINT) AS seed, CAST(d * n + j AS BIGINT) AS k FROM (SELECT DISTINCT n FROM smp), range(0, 400) t(d), LATERAL (SELECT unnest(range(1, n + 1)) AS j)),{_RNG},
+taus AS (SELECT draw, sqrt(greatest(CAST(0 AS DOUBLE), round((sum(d2) - sum(s2)) / max(v.n), 10))) AS tau FROM uni v JOIN smp ON smp.i = CAST(floor(u * v.n) AS BIGINT) GROUP BY draw)"""
+
+
+@query("x26b_drift_bootstrap", with_tables(_DRIFT, "SELECT round((SELECT sqrt(greatest(CAST(0 AS DOUBLE), round((sum(d2) - sum(s2)) / count(*), 10))) FROM smp), 6) AS tau, round(stddev_samp(tau), 6) AS se, round(quantile_cont(tau, 0.025), 6) AS low, round(quantile_cont(tau, 0.975), 6) AS high, round(avg(CASE WHEN tau = 0 THEN 1.0 ELSE 0.0 END), 8) AS zero_share FROM taus"))
+def x26b(spark, d):
+    """The drift beyond sampling error between two periods, and its bootstrap over jurisdictions: error, interval, share at zero."""
+    p = panel(spark, d)
+    side = lambda year, k: p.where(c("period") == year).select("grp", c("rate").alias(f"rate{k}"), c("n").alias(f"n{k}"))
+    moves = side(FROM, 0).join(side(UNTIL, 1), "grp").select("grp", F.round(c("rate1") - c("rate0"), 10).alias("delta"), F.round(F.sqrt(100 / c("n0") + 100 / c("n1")), 10).alias("sd"))
+    moves = M.drift_inputs(moves, "delta", "sd")
+    tau = lambda d2, s2, n: F.sqrt(F.greatest(F.lit(0.0), F.round((d2 - s2) / n, 10)))
+    squares = {"d2": c("delta") * c("delta"), "s2": c("sd") * c("sd")}
+    point = moves.agg(tau(F.sum(squares["d2"]), F.sum(squares["s2"]), F.count("*")).alias("tau"), F.count("*").cast("double").alias("n"))
+    whole = moves.withColumn("all", F.lit("all"))
+    drawn = B.draw_sums(B.samples(whole, "all", ["grp"], one=F.lit(1.0), **squares), "all", 400, SEED, ["one", "d2", "s2"])
+    rates = drawn.select("all", tau(c("d2"), c("s2"), c("one")).alias("rate"))
+    s = B.summary(rates, ["all"], "rate")
+    return s.crossJoin(point).select(*[F.round(k, 6).alias(k) for k in ("tau", "se", "low", "high")], F.round("zero_share", 8).alias("zero_share"))

@@ -49,3 +49,11 @@ def require_content(df: DataFrame, expected: str) -> DataFrame:
     if wrong:
         raise ContractError(f"unexpected content: {wrong}")
     return df
+
+
+def drift_inputs(df: DataFrame, delta: str, sd: str) -> DataFrame:
+    """``df`` if it has two rows at least, finite changes, and finite standard deviations of zero or more."""
+    if len(df.take(2)) < 2:
+        raise ContractError("at least two jurisdictions are required")
+    finite = lambda x: F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return require_all(df, finite_change=finite(delta), finite_deviation=finite(sd) & (F.col(sd) >= 0))

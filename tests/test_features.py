@@ -2,7 +2,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from caselens.operators import bootstrap as B
 from caselens.operators import features as E
+from caselens.sources import contracts as M
 
 NUMBERS = [k for k in E.ROLES if k not in ("error", "state", "year", "slots", "findings")]
 SCHEMA = "id int, error boolean, state string, year int, slots array<double>, findings array<struct<element:int,finding:int,dollars:double>>, " + ", ".join(f"{k} double" for k in NUMBERS)
@@ -59,3 +61,17 @@ def test_edges(spark):
     assert got[16].official_error == 1 and got[16].medical_error == 0
     with pytest.raises(ValueError):
         E.prepared(spark.range(1), *[spark.range(1)] * 4)
+
+
+def test_drift_inputs_are_checked(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "delta double, sd double")
+    assert M.drift_inputs(frame((0.1, 0.0), (-2.0, 1.0)), "delta", "sd").count() == 2
+    for bad in ([(0.1, 0.2)], [(0.1, -0.2), (1.0, 1.0)], [(float("nan"), 0.2), (1.0, 1.0)], [(float("inf"), 0.2), (1.0, 1.0)], [(None, 0.2), (1.0, 1.0)], [(0.1, float("inf")), (1.0, 1.0)]):
+        with pytest.raises(M.ContractError):
+            M.drift_inputs(frame(*bad), "delta", "sd")
+
+
+def test_summary_of_draws(spark):
+    df = spark.createDataFrame([("a", float(max(0, i - 10))) for i in range(101)], "k string, rate double")
+    r = B.summary(df, ["k"], "rate").first()
+    assert (r.low, r.high) == (0.0, pytest.approx(87.5)) and r.zero_share == pytest.approx(11 / 101) and r.se == pytest.approx(28.5, abs=1)
