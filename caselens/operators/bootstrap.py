@@ -49,7 +49,7 @@ def per_draw(sampled: DataFrame, group: str, draws: int, sums: list[str], one: C
 
     schema = f"{group} {kind}, draw int, {', '.join(f'{s} double' for s in sums)}"
     kept = store(sampled, "samples")
-    sizes = store(kept.groupBy(group).agg(F.count("*").alias("n")), "sizes")
+    sizes = kept.groupBy(group).agg(F.count("*").alias("n"))
     if not sizes.where(F.col("n") > TASK_ROWS).head(1):
         return kept.groupBy(group).applyInPandas(run, schema)
     wide = sizes.where(F.col("n") > TASK_ROWS)
