@@ -30,9 +30,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("grp"))
     region = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
-    joined = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
     places = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
-    joined = joined.join(customer, joined["o_custkey"] == customer["c_custkey"]).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    # Narrow tables meet first: lines, the widest rows, are shuffled once at most, by order.
+    placed = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = line.join(placed, line["l_orderkey"] == placed["o_orderkey"])
     out = joined.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("case_id"),
         "grp",
