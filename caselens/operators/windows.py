@@ -7,6 +7,9 @@ window runs within ranges (:func:`running_before`).
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,14 +47,83 @@ def places(df: DataFrame, groups: list[str], order: list[Column], out: str) -> D
     return running_before(df.withColumn("_one", F.lit(1.0)), groups, order, "_one", out).withColumn(out, F.col(out).cast("long") + 1).drop("_one")
 
 
+#: Rows from whose order brackets around a budget's end are read; what is inside is then counted in full.
+SAMPLE_ROWS = 1_000_000
+
+
+def order_key(score: str, tie: list[str]) -> Column:
+    """What rises in the order of best scores first (NaN before numbers, nulls last), ties by ``tie``."""
+    return F.struct(F.col(score).isNull().alias("gone"), (~F.isnan(score)).alias("number"), (-F.col(score)).alias("score"), *tie)
+
+
+def slot(rule: str, share: float) -> str:
+    return f"{rule}:{share!r}"
+
+
+def budget_cuts(rows: DataFrame, groups: list[str], scores: dict[str, str], tie: list[str], weight: str, shares: list[float]) -> DataFrame:
+    """(groups, _total, _cuts): where each ranking's budgets end. ``_cuts`` maps ``slot(rule, share)`` to the last key
+    (:func:`order_key`) that starts inside the share of the group's weight, the weight before it and its own.
+
+    Nothing is ordered whole: the order of some rows brackets every end, weights before a bracket are summed, and
+    only the rows inside brackets are gathered and ordered. Counts show whether an end lies in its bracket; one
+    that doesn't is looked for again without bounds. ``rows`` are read a few times and should be stored.
+    """
+    every = max(1, rows.count() // SAMPLE_ROWS)
+    keys = {rule: order_key(s, tie) for rule, s in scores.items()}
+    slots = {slot(rule, x): (rule, x) for rule in scores for x in shares}
+    w, total = F.col(weight), F.col("_total")
+
+    by = W.partitionBy(*groups, "rule")
+    some = rows.where(F.pmod(F.xxhash64(*tie), F.lit(every)) == 0)
+    some = some.select(*groups, w.alias("w"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), k.alias("key")) for r, k in keys.items()])).alias("r")).select(*groups, "w", "r.*")
+    at = some.withColumn("upto", F.sum("w").over(by.orderBy("key").rowsBetween(W.unboundedPreceding, 0)) / F.sum("w").over(by))
+    at = at.withColumn("spread", F.sum(F.col("w") * F.col("w")).over(by) / F.pow(F.sum("w").over(by), 2))
+    slack = lambda x: 6 * F.sqrt(x * (1 - x) * F.col("spread")) + 4 * F.col("spread")
+    ends = F.array(*[F.struct(F.lit(repr(x)).alias("share"), F.max(F.when(F.col("upto") <= x - slack(x), F.col("key"))).alias("low"), F.min(F.when(F.col("upto") >= x + slack(x), F.col("key"))).alias("high")) for x in shares])
+    brackets = at.groupBy(*groups, "rule").agg(ends.alias("e")).select(*groups, "rule", F.inline("e"))
+    brackets = brackets.select(*groups, F.concat_ws(":", "rule", "share").alias("slot"), "low", "high")
+
+    def found(brackets: DataFrame) -> DataFrame:
+        of = brackets.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("low", "high")))).alias("_of"))
+        both = rows.join(store(of, "brackets"), groups, "left")
+        low = {s: F.element_at("_of", s)["low"] for s in slots}
+        high = {s: F.element_at("_of", s)["high"] for s in slots}
+        before = {s: F.coalesce(keys[r] < low[s], F.lit(False)) for s, (r, _) in slots.items()}
+        inside = {s: ~before[s] & F.coalesce(keys[r] <= high[s], F.lit(True)) for s, (r, _) in slots.items()}
+        starts = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(x).alias("share"), F.coalesce(F.sum(F.when(before[s], w)), F.lit(0.0)).alias("_start")) for s, (_, x) in slots.items()])
+        sums = both.groupBy(*groups).agg(F.sum(w).alias("_total"), starts.alias("s")).select(*groups, "_total", F.inline("s"))
+        held = both.where(functools.reduce(lambda a, b: a | b, inside.values()))
+        held = held.select(*groups, w.alias("w"), F.explode(F.array(*[F.when(inside[s], F.struct(F.lit(s).alias("slot"), keys[r].alias("key"))) for s, (r, _) in slots.items()])).alias("r")).where("r IS NOT NULL")
+        held = held.groupBy(*groups, F.col("r.slot").alias("slot"), F.col("r.key").alias("key")).agg(F.sum("w").alias("w"))
+        run = F.coalesce(F.sum("w").over(W.partitionBy(*groups, "slot").orderBy("key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        last = F.max(F.when(F.col("_start") + F.col("_run") < total * F.col("share"), F.struct("key", (F.col("_start") + F.col("_run")).alias("before"), "w")))
+        ran = sums.join(held.withColumn("_run", run), [*groups, "slot"], "left")
+        out = ran.groupBy(*groups, "slot").agg(F.first("share").alias("share"), F.first("_total").alias("_total"), F.first("_start").alias("_start"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("_held"), last.alias("cut"))
+        return store(out, "cuts")
+
+    cuts = found(brackets)
+    sure = F.col("cut").isNotNull() & (F.col("_start") < total * F.col("share")) & (F.col("_start") + F.col("_held") >= total * F.col("share")) & (F.col("cut")["before"] + F.col("cut")["w"] >= total * F.col("share"))
+    if cuts.where(~sure & (F.col("share") > 0)).head(1):
+        doubt = cuts.where(~sure).select(*groups, "slot")
+        again = found(store(brackets.join(doubt, [*groups, "slot"], "left_anti"), "brackets"))
+        cuts = cuts.where(sure).unionByName(again.join(doubt, [*groups, "slot"], "left_semi"))
+    return cuts.groupBy(*groups).agg(F.first("_total").alias("_total"), F.map_from_entries(F.collect_list(F.struct("slot", "cut"))).alias("_cuts"))
+
+
+def inside_cut(score: str, tie: list[str], weight: str, rule: str, share: float) -> Column:
+    """The fraction of a row, joined to :func:`budget_cuts`, that is inside the budget; equal keys share the end alike."""
+    cut, key = F.element_at("_cuts", slot(rule, share)), order_key(score, tie)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_total") * share - cut["before"]) / cut["w"]))
+    return F.when(F.col(weight).isNull() | (key < cut["key"]), 1.0).when(key == cut["key"], part).otherwise(0.0)
+
+
 def budget_membership(df: DataFrame, groups: list[str], score: str, tie: list[str], weight: str, coverage: float) -> DataFrame:
     """The fraction of each row inside a budget of ``coverage`` of the weight, best scores first;
-    only the row at the boundary is split."""
-    total = df.groupBy(*groups).agg(F.sum(weight).alias("_total"))
-    ranked = running_before(df, groups, [F.desc(score), *[F.asc(t) for t in tie]], weight, "_before")
-    ranked = ranked.join(total, groups) if groups else ranked.crossJoin(F.broadcast(total))
-    inside = (F.col("_total") * coverage - F.col("_before")) / F.col(weight)
-    return ranked.withColumn("membership", F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside))).drop("_before", "_total")
+    only the row at the boundary is split. Pass no more columns than are needed: the rows are stored."""
+    rows = store(df.withColumn("_all", F.lit(0)) if not groups else df, "budget")
+    by = groups or ["_all"]
+    cuts = budget_cuts(rows, by, {"score": score}, tie, weight, [coverage])
+    return rows.join(cuts, by).select(*df.columns, inside_cut(score, tie, weight, "score", coverage).alias("membership"))
 
 
 def weighted_quantiles(df: DataFrame, groups: list[str], x: str, weight: str, levels: list[float]) -> DataFrame:
@@ -68,6 +140,46 @@ def weighted_quantiles(df: DataFrame, groups: list[str], x: str, weight: str, le
     return ranked.groupBy(*groups).agg(*reached).select(*groups, F.inline(rows))
 
 
+#: Parts of a sketch from which brackets around exact percentiles are read.
+SKETCH = 10_000
+
+
+def exact_percentiles(rows: DataFrame, wanted: dict[int, tuple[Column, float]]) -> DataFrame:
+    """(level_no, value): exact interpolated percentiles, each of a column of its own.
+
+    A sketch brackets each percentile; values below the bracket are counted, and only those inside, some thousandths
+    of the rows, are grouped and put in order. Counts show whether a rank lies in its bracket; one that doesn't is
+    looked for again without bounds. ``rows`` are read a few times and should be stored.
+    """
+    sketch = rows.agg(*[F.percentile_approx(x, [max(0.0, p - 3 / SKETCH), min(1.0, p + 3 / SKETCH)], SKETCH).alias(f"b{i}") for i, (x, p) in wanted.items()], *[F.count(x).alias(f"n{i}") for i, (x, _) in wanted.items()]).first()
+    sizes = {i: sketch[f"n{i}"] for i in wanted if sketch[f"n{i}"]}
+    bounds = {i: tuple(sketch[f"b{i}"]) for i in sizes}
+
+    def ranked(bounds: dict) -> list:
+        # Some levels a pass: an expression of all of them is too long a method to be compiled.
+        return [r for first in range(0, len(bounds), 3) for r in some(dict(list(bounds.items())[first : first + 3])).collect()]
+
+    def some(bounds: dict) -> DataFrame:
+        # A value below its bracket counts under null, one above is dropped.
+        each = [F.when(x.isNotNull() & (x <= bounds[i][1]), F.struct(F.lit(i).alias("level_no"), F.when(x >= bounds[i][0], x).alias("x"))) for i, (x, _) in wanted.items() if i in bounds]
+        counts = rows.select(F.explode(F.array(*each)).alias("r")).where("r IS NOT NULL").groupBy("r.level_no", "r.x").agg(F.count("*").alias("k"))
+        upto = F.sum("k").over(W.partitionBy("level_no").orderBy(F.asc_nulls_first("x")).rowsBetween(W.unboundedPreceding, 0))
+        place = functools.reduce(lambda a, i: a.when(F.col("level_no") == i, F.lit((sizes[i] - 1) * wanted[i][1])), bounds, F.when(F.lit(False), F.lit(0.0)))
+        r = counts.withColumn("upto", upto).withColumn("place", place)
+        at = lambda f: F.min(F.when(F.col("upto") > f("place"), F.struct("upto", "x")))["x"]
+        return r.groupBy("level_no").agg(F.first("place").alias("place"), at(F.floor).alias("low"), at(F.ceil).alias("high"))
+
+    def value(r) -> float:
+        low, high = math.floor(r.place), math.ceil(r.place)
+        return r.low if low == high else (high - r.place) * r.low + (r.place - low) * r.high
+
+    # One row a level: both its order statistics, or nulls where the bracket misses them.
+    found = {r.level_no: value(r) for r in ranked(bounds) if r.low is not None and r.high is not None} if sizes else {}
+    if missed := {i: (float("-inf"), float("nan")) for i in sizes if i not in found}:
+        found |= {r.level_no: value(r) for r in ranked(missed)}
+    return rows.sparkSession.createDataFrame([(i, found.get(i)) for i in wanted], "level_no int, value double")
+
+
 def ranking_metrics(df: DataFrame, groups: list[str], score: str, label: str, weight: str) -> DataFrame:
     """Weighted ROC-AUC and average precision; ties in score share one step."""
     w, y = F.col(weight), F.col(label)
@@ -83,11 +195,12 @@ def ranking_metrics(df: DataFrame, groups: list[str], score: str, label: str, we
 
 def precision_at(df: DataFrame, groups: list[str], score: str, tie: list[str], label: str, weight: str, share: float) -> DataFrame:
     """Precision and recall over whole rows: those before the cutoff weight, and the row that crosses it."""
-    total = df.groupBy(*groups).agg(F.sum(weight).alias("_total"), F.sum(F.col(weight) * F.col(label)).alias("_pos"))
-    ranked = running_before(df, groups, [F.desc(score), *[F.asc(t) for t in tie]], weight, "_before").join(total, groups)
-    top = ranked.where(F.col("_before") < share * F.col("_total"))
-    hit = F.sum(F.col(weight) * F.col(label))
-    return top.groupBy(*groups).agg((hit / F.sum(weight)).alias("precision"), (hit / F.first("_pos")).alias("recall"))
+    rows = store(df, "ranked")
+    cuts = budget_cuts(rows, groups, {"score": score}, tie, weight, [share])
+    top = order_key(score, tie) <= F.element_at("_cuts", slot("score", share))["key"]
+    hit, w = F.col(weight) * F.col(label), F.col(weight)
+    sums = rows.join(cuts, groups).groupBy(*groups).agg(F.sum(F.when(top, hit)).alias("_hit"), F.sum(F.when(top, w)).alias("_top"), F.sum(hit).alias("_pos"))
+    return sums.where("_top IS NOT NULL").select(*groups, (F.col("_hit") / F.col("_top")).alias("precision"), (F.col("_hit") / F.col("_pos")).alias("recall"))
 
 
 def mean_excess(df: DataFrame, groups: list[str], x: str, weight: str, levels: list[float]) -> DataFrame:

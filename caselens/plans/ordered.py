@@ -15,8 +15,8 @@ _BUDGET = """budget AS (SELECT *, coalesce(sum(weight) OVER (PARTITION BY grp OR
 member AS (SELECT *, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (total * CAST(0.1 AS DOUBLE) - before) / weight)) AS membership FROM budget)"""
 
 
-def _members(spark, d):
-    return X.budget_membership(cases(spark, d).select("case_id", "grp", "score", "weight", "err"), ["grp"], "score", ["case_id"], "weight", 0.1)
+def _members(spark, d, *more: str):
+    return X.budget_membership(cases(spark, d).select("case_id", "grp", "score", "weight", *more), ["grp"], "score", ["case_id"], "weight", 0.1)
 
 
 @query("win01_budget_membership", with_tables(_BUDGET, "SELECT case_id, round(membership, 8) AS membership FROM member WHERE membership > 0"))
@@ -34,7 +34,7 @@ def win01b(spark, d):
 @query("win02_dollar_capture", with_tables(_BUDGET, "SELECT grp, round(sum(membership * weight * err) / sum(weight * err), 8) AS capture FROM member GROUP BY grp"))
 def win02(spark, d):
     w = c("weight") * c("err")
-    return _members(spark, d).groupBy("grp").agg(F.round(F.sum(c("membership") * w) / F.sum(w), 8).alias("capture"))
+    return _members(spark, d, "err").groupBy("grp").agg(F.round(F.sum(c("membership") * w) / F.sum(w), 8).alias("capture"))
 
 
 _QUANTILES = """wq AS (SELECT grp, amount, sum(weight) AS w FROM cases GROUP BY grp, amount),
@@ -152,9 +152,12 @@ _LADDER = "[" + ", ".join(f"CAST({s} AS DOUBLE) + ln(1 + line)" for s in _STEPS)
 _Q = f"q AS (SELECT case_id, grp, weight, amount, base, score, line, {_LADDER} AS q FROM cases)"
 
 
+def ladder():
+    return [F.lit(s) + F.ln(1 + c("line")) for s in _STEPS]
+
+
 def _quantiles(spark, d):
-    ladder = F.array(*[F.lit(s) + F.ln(1 + c("line")) for s in _STEPS])
-    return cases(spark, d).withColumn("q", ladder)
+    return cases(spark, d).withColumn("q", F.array(*ladder()))
 
 
 @query("qnt01_monotone", with_tables(_Q, "SELECT case_id, round(list_sort(list_transform([q[3], q[1], q[2]], lambda v: greatest(v, ln(CAST(30 AS DOUBLE)))))[1], 8) AS low, round(list_sort(list_transform([q[3], q[1], q[2]], lambda v: greatest(v, ln(CAST(30 AS DOUBLE)))))[3], 8) AS high FROM q"))

@@ -11,6 +11,7 @@ from ..operators import bootstrap as B
 from ..operators import rates as R
 from ..operators import windows as X
 from ..sources.cases import cases
+from ..sources.shared import store
 from .ordered import _LADDER, _inverse_sql
 from .projections import TIER_SQL
 from .registry import query, with_tables
@@ -197,11 +198,11 @@ def bst09(spark, d):
     ),
 )
 def bst11(spark, d):
-    rows = cases(spark, d)
-    ranked = X.running_before(rows, ["grp"], [F.desc("score"), F.asc("case_id")], "weight", "before").join(rows.groupBy("grp").agg(F.sum("weight").alias("total")), "grp")
+    rows = store(cases(spark, d).select("grp", "score", "case_id", "weight", "base", "err"), "ranked")
     # Every setting is one more column of sums over the same rows.
     grid = [(a, b) for a in (0.05, 0.1, 0.2) for b in (0.5, 1.0)]
-    share = lambda a: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c("total") * a - c("before")) / c("weight")))
+    ranked = rows.join(X.budget_cuts(rows, ["grp"], {"score": "score"}, ["case_id"], "weight", [0.05, 0.1, 0.2]), "grp")
+    share = lambda a: X.inside_cut("score", ["case_id"], "weight", "score", a)
     sums = ranked.groupBy("grp").agg(*[R.weighted_ratio("weight", c("err") * (1 - b * share(a)), "base").alias(f"r{i}") for i, (a, b) in enumerate(grid)])
     out = F.array(*[F.struct(F.lit(a).alias("coverage"), F.lit(b).alias("effect"), F.round(f"r{i}", 6).alias("rate")) for i, (a, b) in enumerate(grid)])
     return sums.select("grp", F.inline(out))

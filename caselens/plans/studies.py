@@ -15,7 +15,8 @@ from ..operators import bootstrap as B
 from ..operators import rates as R
 from ..operators import windows as X
 from ..sources.cases import cases
-from .ordered import _Q, _quantiles, _survival_sql
+from ..sources.shared import store
+from .ordered import _Q, _quantiles, _survival_sql, ladder
 from .projections import TIER_SQL
 from .registry import panel, query, with_tables
 
@@ -66,15 +67,19 @@ def _cut_sql(rule: str, k: float, e: float) -> str:
 )
 def bst11b(spark, d):
     """Four rankings by three coverages by two effects, each over the same resampling draws."""
-    rows = cases(spark, d).withColumn("flag", (c("line") == 3).cast("double")).withColumn("u", rng.hash_uniform(F.lit("order"), c("case_id")))
-    rows = rows.join(rows.groupBy("grp").agg(F.sum("weight").alias("total")), "grp")
-    for rule, col in RULES.items():
-        rows = X.running_before(rows, ["grp"], [F.desc(col), F.asc("case_id")], "weight", f"b_{rule}")
-    inside = lambda rule, k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c("total") * k - c(f"b_{rule}")) / c("weight")))
+    rows = store(cases(spark, d).select("grp", "case_id", "weight", "base", "err", "score", (c("line") == 3).cast("double").alias("flag"), rng.hash_uniform(F.lit("order"), c("case_id")).alias("u")), "ruled")
+    shares = sorted({k for _, k, _ in SETTINGS})
     we = c("weight") * c("err")
-    sums = B.poisson_sums(rows, ["grp"], "case_id", 6, wb=c("weight") * c("base"), we=we, **{f"s{i}": we * (1 - e * inside(r, k)) for i, (r, k, e) in enumerate(SETTINGS)})
-    long = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("coverage"), F.lit(e).alias("effect"), c(f"s{i}").alias("s")) for i, (r, k, e) in enumerate(SETTINGS)])
-    each = sums.select("grp", "wb", "we", F.inline(long))
+    parts = []
+    # A ranking at a time over the stored rows: all twelve ends in one expression make a method too long to be compiled.
+    for rule, col in RULES.items():
+        grid = [(k, e) for r, k, e in SETTINGS if r == rule]
+        cuts = X.budget_cuts(rows, ["grp"], {rule: col}, ["case_id"], "weight", shares)
+        inside = {f"i{i}": we * X.inside_cut(col, ["case_id"], "weight", rule, k) for i, k in enumerate(shares)}
+        sums = B.poisson_sums(rows.join(cuts, "grp"), ["grp"], "case_id", 6, wb=c("weight") * c("base"), we=we, **inside)
+        long = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("coverage"), F.lit(e).alias("effect"), (c("we") - e * c(f"i{shares.index(k)}")).alias("s")) for k, e in grid])
+        parts.append(sums.select("grp", "wb", "we", F.inline(long)))
+    each = reduce(DataFrame.unionByName, parts)
     return each.groupBy("grp", "rule", "coverage", "effect").agg((F.round(F.avg((c("s") - c("we")) * 100 / c("wb")), 6) + 0.0).alias("mean_delta"), F.round(F.stddev_samp(c("s") * 100 / c("wb")), 6).alias("sd_rate"))
 
 
@@ -240,9 +245,9 @@ def ml12b(spark, d):
 )
 def x05(spark, d):
     """Each level's offset: the quantile of the residuals at that level."""
-    rows = _quantiles(spark, d).where("amount > 0")
-    fit = rows.agg(*[F.percentile(F.ln("amount") - F.get("q", F.lit(i)), F.lit(p)).alias(f"o{i}") for i, p in enumerate(Q.LEVELS)])
-    return fit.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("level_no"), (F.round(f"o{i}", 6) + 0.0).alias("offset_log")) for i in range(len(Q.LEVELS))])))
+    rows = store(cases(spark, d).where("amount > 0").select("amount", "line"), "residuals")
+    fit = X.exact_percentiles(rows, {i + 1: (F.ln("amount") - ladder()[i], p) for i, p in enumerate(Q.LEVELS)})
+    return fit.select("level_no", (F.round("value", 6) + 0.0).alias("offset_log"))
 
 
 @query("x01b_full_process", with_tables(_Q + ", t AS (SELECT *, 1000 + 100 * (period - 1995) AS thr FROM q JOIN (SELECT case_id AS i, period FROM cases) ON case_id = i)", f"SELECT case_id, round(least(CAST(0.95 AS DOUBLE), score * 10), 8) AS p_dev, round(least(CAST(0.95 AS DOUBLE), score * 10) * ({_survival_sql('ln(thr)')}), 8) AS uncapped, round(CASE WHEN base * 0.1 <= thr THEN 0 ELSE least(CAST(0.95 AS DOUBLE), score * 10) * ({_survival_sql('ln(thr)')}) END, 8) AS crosses, round(least(exp(q[5]), base * 0.1), 6) AS median_dollars FROM t"))
