@@ -11,6 +11,7 @@ from ..operators import features as E
 from ..operators import rates as R
 from ..sources import contracts as M
 from ..sources.cases import cases, table
+from ..sources.shared import store
 from .projections import TIER_SQL
 from .registry import panel, query, with_tables
 from .simulation import _RNG, DRAWS, SEED
@@ -156,7 +157,7 @@ taus AS (SELECT draw, sqrt(greatest(CAST(0 AS DOUBLE), round((sum(d2) - sum(s2))
 @query("x26b_drift_bootstrap", with_tables(_DRIFT, "SELECT round((SELECT sqrt(greatest(CAST(0 AS DOUBLE), round((sum(d2) - sum(s2)) / count(*), 10))) FROM smp), 6) AS tau, round(stddev_samp(tau), 6) AS se, round(quantile_cont(tau, 0.025), 6) AS low, round(quantile_cont(tau, 0.975), 6) AS high, round(avg(CASE WHEN tau = 0 THEN 1.0 ELSE 0.0 END), 8) AS zero_share FROM taus"))
 def x26b(spark, d):
     """The drift beyond sampling error between two periods, and its bootstrap over jurisdictions: error, interval, share at zero."""
-    p = panel(spark, d)
+    p = store(panel(spark, d).where(c("period").isin(FROM, UNTIL)).select("grp", "period", "rate", "n"), "panel")
     side = lambda year, k: p.where(c("period") == year).select("grp", c("rate").alias(f"rate{k}"), c("n").alias(f"n{k}"))
     moves = side(FROM, 0).join(side(UNTIL, 1), "grp").select("grp", F.round(c("rate1") - c("rate0"), 10).alias("delta"), F.round(F.sqrt(100 / c("n0") + 100 / c("n1")), 10).alias("sd"))
     moves = M.drift_inputs(moves, "delta", "sd")
