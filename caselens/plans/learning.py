@@ -121,9 +121,9 @@ _BAND = "CAST(floor((weight - 1) / 13) AS INTEGER)"
 _STRATA_SQL = f"SELECT *, CAST((row_number() OVER (PARTITION BY y, band ORDER BY u, case_id) - 1) % 5 AS INTEGER) AS fold FROM (SELECT case_id, weight, CASE WHEN err > 0 THEN 1 ELSE 0 END AS y, {_BAND} AS band, {_hash_sql(chr(39) + 'fold' + chr(39), 'case_id')} AS u FROM cases)"
 
 
-def _labelled(spark, d) -> DataFrame:
+def _labelled(spark, d, *more: str) -> DataFrame:
     rows = cases(spark, d).withColumn("y", (c("err") > 0).cast("int")).withColumn("band", F.floor((c("weight") - 1) / 13).cast("int"))
-    return V.stratified(rows, ["y", "band"], "case_id", FOLDS)
+    return V.stratified(rows.select("case_id", "weight", "y", "band", *[k for k in more if k != "weight"]), ["y", "band"], "case_id", FOLDS)
 
 
 @query("ml02c_stratified_folds", with_tables(f"dealt AS ({_STRATA_SQL})", "SELECT fold, y, band, count(*) AS n, round(sum(weight), 6) AS weight FROM dealt GROUP BY ALL"))
@@ -135,7 +135,7 @@ def ml02c(spark, d):
 @query("ml02b_nested_calibration")
 def ml02b(spark, d):
     """Out-of-fold probabilities: boosted scores of models that left out the fold, calibrated by inner scores alone."""
-    rows = _labelled(spark, d)
+    rows = _labelled(spark, d, *FEATURES)
     scored, _, _, _ = V.nested_scores(_stored(rows, "y"), len(FEATURES), FOLDS)
     gap = lambda p: c("w") * (c(p) - c("y")) * (c(p) - c("y"))
     table = scored.groupBy("fold").agg(
