@@ -16,6 +16,8 @@ from ..sources.cases import cases, table, threshold
 from .registry import panel, query, with_tables
 
 c = F.col
+#: Lines that one part of a large grouping holds.
+PART_ROWS = 500_000
 
 
 @query("src01_core_universe", "SELECT grp, count(*) AS n, round(sum(err), 2) AS dollars, CAST(sum(len(list_distinct([300 + part % 8, 300 + supp % 8]))) AS BIGINT) AS elements FROM cases WHERE (line = 1 OR line % 2 = 0) AND weight > 0 AND base IS NOT NULL GROUP BY grp")
@@ -219,7 +221,7 @@ def jn01(spark, d):
 
 @query("jn02_one_to_one", "SELECT case_id, base, score FROM cases")
 def jn02(spark, d):
-    rows = cases(spark, d)
+    rows = store(cases(spark, d).select("case_id", "base", "score"), "both")
     scores = contracts.require_unique(rows.select("case_id", "score"), ["case_id"])
     return rows.select("case_id", "base").join(scores, "case_id")
 
@@ -357,8 +359,9 @@ def set01(spark, d):
 
 @query("set02_code_sets", "SELECT agency1 FROM cases WHERE line = 1 INTERSECT SELECT agency2 FROM cases EXCEPT SELECT 7")
 def set02(spark, d):
-    rows = cases(spark, d)
-    return rows.where("line = 1").select("agency1").intersect(rows.select("agency2")).exceptAll(spark.range(7, 8).select(c("id").cast("int")))
+    # A set is made distinct before it meets the other: few codes, and all rows of a code would meet in one task.
+    rows = store(cases(spark, d).select("line", "agency1", "agency2").distinct(), "codes")
+    return rows.where("line = 1").select("agency1").distinct().intersect(rows.select("agency2").distinct()).exceptAll(spark.range(7, 8).select(c("id").cast("int")))
 
 
 @query("set03_key_equality", "SELECT period, grp, side FROM (SELECT grp, period, 'left' AS side FROM panel WHERE n > 10 EXCEPT SELECT grp, period, 'left' FROM cases WHERE status = 2) UNION ALL (SELECT period, grp, 'right' FROM cases WHERE status = 2 EXCEPT SELECT period, grp, 'right' FROM panel WHERE n > 10)")
@@ -368,7 +371,9 @@ def set03(spark, d):
 
 @query("set05_repeated_keys", "SELECT orderkey, line, count(*) AS n FROM cases GROUP BY 1, 2 HAVING count(*) > 1")
 def set05(spark, d):
-    return cases(spark, d).groupBy("orderkey", "line").agg(F.count("*").alias("n")).where("n > 1")
+    # Parts of bounded size: lines are dealt by order once, for the join and the groups.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, d, "lineitem").count() // PART_ROWS))
+    return cases(spark, d, parts).groupBy("orderkey", "line").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("srt01_by_key", "SELECT grp, period, rate FROM panel ORDER BY grp, period")

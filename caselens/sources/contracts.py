@@ -17,7 +17,12 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    twice = df.groupBy(*keys).count().where("count > 1").limit(3).collect()
+    # Hashes of eight bytes are counted first; keys themselves only where a hash repeats.
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    same = hashed.groupBy("_hash").count().where("count > 1").select("_hash")
+    if not same.head(1):
+        return df
+    twice = hashed.join(same, "_hash", "left_semi").groupBy(*keys).count().where("count > 1").limit(3).collect()
     if twice:
         raise ContractError(f"{keys} repeat: {twice}")
     return df

@@ -58,3 +58,66 @@ def test_budget_gathers_brackets_only(spark, monkeypatch):
     df = spark.range(2000).select((F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("id"), F.rand(1).alias("s"), F.lit(1.0).alias("w"))
     X.budget_membership(df, ["g"], "s", ["id"], "w", 0.1).count()
     assert "ordered" not in stored and "ranges" not in stored
+
+
+@pytest.fixture
+def stored(monkeypatch):
+    """Tables stored by a query's module, by name."""
+    import importlib
+
+    out = {}
+
+    def watch(module: str):
+        m = importlib.import_module(f"caselens.{module}")
+        keep = m.store
+
+        def note(df, name):
+            out[name] = keep(df, name)
+            return out[name]
+
+        monkeypatch.setattr(m, "store", note)
+        return out
+
+    return watch
+
+
+@pytest.mark.parametrize(("name", "module", "table"), [
+    ("jn02_one_to_one", "plans.relations", "both"), ("x26b_drift_bootstrap", "plans.features", "panel"), ("ml02c_stratified_folds", "operators.folds", "strata"),
+    ("ml01_boosted_classifier", "plans.models", "features"), ("ml08_permutation_importance", "plans.models", "dealt"),
+])
+def test_the_case_view_is_read_once(spark, stored, name, module, table):
+    tables = stored(module)
+    registry.queries()[name](spark, DATA)
+    assert table in tables and len(tables[table].columns) <= 7
+
+
+def test_isotonic_fit_reads_one_point_a_score(spark, stored):
+    tables = stored("plans.models")
+    registry.queries()["ml02_isotonic_by_fold"](spark, DATA)
+    assert tables["points"].count() == tables["points"].select("fold", "score").distinct().count() <= 4 * 11
+
+
+def test_code_sets_meet_as_sets(spark, stored):
+    tables = stored("plans.relations")
+    registry.queries()["set02_code_sets"](spark, DATA)
+    assert tables["codes"].count() == tables["codes"].distinct().count()
+
+
+def test_repeated_keys_in_parts_of_bounded_size(spark, monkeypatch):
+    from caselens.plans import relations
+
+    monkeypatch.setattr(relations, "PART_ROWS", 500)
+    df = registry.queries()["set05_repeated_keys"](spark, DATA)
+    lines = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    assert f", {lines}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unique_keys_are_checked_beyond_their_hashes(spark, monkeypatch):
+    from caselens.sources import contracts as M
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "k int, s string")
+    # All hashes collide: keys decide.
+    monkeypatch.setattr(M.F, "xxhash64", lambda *k: F.lit(1))
+    assert M.require_unique(df, ["k", "s"]) is df
+    with pytest.raises(M.ContractError):
+        M.require_unique(df, ["k"])
