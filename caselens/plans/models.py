@@ -119,22 +119,21 @@ _FEATURES = ["base_k", "discount", "score", "line", "weight"]
 
 
 def _features(spark, d):
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = cases(spark, d).select("case_id", (c("base") / 1000).alias("base_k"), "discount", "score", c("line").cast("double").alias("line"), "weight", (c("err") > 0).cast("double").alias("label"), F.ln(1 + c("amount")).alias("size"), I.fold_of(c("case_id"), 4).alias("fold"))
-    return VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(rows)
+    return cases(spark, d).select("case_id", (c("base") / 1000).alias("base_k"), "discount", "score", c("line").cast("double").alias("line"), "weight", (c("err") > 0).cast("double").alias("label"), F.ln(1 + c("amount")).alias("size"), I.fold_of(c("case_id"), 4).alias("fold"))
 
 
 @query("ml01_boosted_classifier")
 def ml01(spark, d):
     from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     from ..operators.windows import ranking_metrics
 
-    rows = _features(spark, d)
+    # The fit reads its rows in every one of its jobs: from files, the features alone.
+    narrow = store(_features(spark, d).select(*_FEATURES, "label", "fold"), "features")
+    rows = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(narrow)
     fit = GBTClassifier(labelCol="label", weightCol="weight", maxIter=5, maxDepth=4, seed=1).fit(rows.where("fold <> 0"))
-    from pyspark.ml.functions import vector_to_array
-
     held = fit.transform(rows.where("fold = 0")).select(F.lit("held out").alias("part"), vector_to_array("probability")[1].alias("p"), "label", "weight")
     return ranking_metrics(held, ["part"], "p", "label", "weight").select("part", F.round("auc", 4).alias("auc"), F.round("average_precision", 4).alias("average_precision"))
 
@@ -146,9 +145,11 @@ def ml02(spark, d):
 
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = _features(spark, d).select("case_id", "score", "label", "weight", "fold")
-    parts = [IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(rows.where(c("fold") != k)).transform(rows.where(c("fold") == k)) for k in range(4)]
-    return reduce(lambda a, b: a.unionAll(b), parts).groupBy("fold").agg(F.count("*").alias("n"), F.round(R.weighted_mean("prediction", "weight"), 4).alias("predicted"), F.round(R.weighted_mean("label", "weight"), 4).alias("observed"))
+    # Equal scores are one point of the fit: their weights and weighted labels are summed first, in one pass over the cases.
+    sums = _features(spark, d).groupBy("fold", "score").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(c("weight") * c("label")).alias("wy"))
+    points = store(sums.withColumn("label", c("wy") / c("w")), "points")
+    parts = [IsotonicRegression(featuresCol="score", labelCol="label", weightCol="w").fit(points.where(c("fold") != k)).transform(points.where(c("fold") == k)) for k in range(4)]
+    return reduce(lambda a, b: a.unionAll(b), parts).groupBy("fold").agg(F.sum("n").alias("n"), F.round(R.weighted_mean("prediction", "w"), 4).alias("predicted"), F.round(R.weighted_mean("label", "w"), 4).alias("observed"))
 
 
 @query("ml03_smearing", "SELECT grp, round(sum(weight * exp(ln(1 + amount) - 7)) / sum(weight), 6) AS smear FROM cases WHERE amount > 0 GROUP BY grp")
@@ -184,6 +185,7 @@ def ml08(spark, d):
     from ..operators.windows import ranking_metrics
 
     rows = cases(spark, d).select("case_id", "grp", "score", "discount", "weight", (c("err") > 0).cast("double").alias("y"))
+    rows = store(rows, "dealt")
     from pyspark.sql import Window as W
 
     by_key, by_hash = W.partitionBy("grp").orderBy("case_id"), W.partitionBy("grp").orderBy(rng.hash_uniform(F.lit("deal"), c("case_id")), "case_id")
