@@ -1,10 +1,11 @@
 """Histogram trees as Spark jobs: boosted quantiles, boosted probabilities and quantile forests.
 
 Features are cut into at most BINS bins, a missing value being bin 0, and the
-binned rows are stored once. A level of trees is one pass: each task sums
-gradients and weights by (model, node, feature, bin) in numpy, Spark adds the
-tasks' sums up, and the splits are picked on that table, whose size depends on
-parameters alone. Models are columns of one pass: nine quantile levels, all
+binned rows are stored once; what a fit reads of them is stored again in blocks
+of BLOCK rows, whose columns are numpy's own bytes. A level of trees is one pass
+over the blocks: each task sums gradients and weights by (model, node, feature,
+bin) in numpy, two features at a time, Spark adds the tasks' sums up, and the
+splits are picked on that table, whose size depends on parameters alone. Models are columns of one pass: nine quantile levels, all
 models of a nested cross-validation (each leaves out its folds), or the trees of
 a forest grow together, so the number of passes is that of one model. Tasks work
 out a row's prediction so far from the trees themselves; nothing about rows is
@@ -20,10 +21,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import store
+
 BINS = 32
+#: Rows of a block.
+BLOCK = 1 << 14
 SHRINK = 1.0
 #: Cells of the value grid from which weighted quantiles are read.
 GRID = 2048
@@ -54,7 +59,7 @@ class Forest:
     def nodes(self, x: np.ndarray, r: int, m: int, levels: int) -> np.ndarray:
         """The node each row reaches in model m's tree of round r after so many levels, counted from 0 within the level.
         ``x`` has a row of bins for each feature, so a split compares one row with a number."""
-        at = np.zeros(x.shape[1], np.uint16)
+        at = np.zeros(x.shape[1], np.uint8 if levels <= 8 else np.uint16)
         for level in range(levels):
             right = np.zeros(x.shape[1], bool)
             for node in range(2**level):
@@ -64,14 +69,16 @@ class Forest:
                     if self.missing_right[r][m, i]:
                         goes |= x[f] == 0
                     right |= goes & (at == node) if level else goes
-            at = 2 * at + right
+            at += at
+            at += right
         return at
 
     def raw_of(self, x: np.ndarray, m: int, rounds: int | None = None) -> np.ndarray:
         """Model m's sum of start and leaf values."""
         out = np.full(x.shape[1], self.start[m])
         for r in range(len(self.feature) if rounds is None else rounds):
-            out += self.value[r][m][self.nodes(x, r, m, self.depth)]
+            # Nodes are in range: clipping only spares the check.
+            out += self.value[r][m].take(self.nodes(x, r, m, self.depth), mode="clip")
         return out
 
     def raw(self, x: np.ndarray) -> np.ndarray:
@@ -81,11 +88,19 @@ class Forest:
 
 @dataclass(frozen=True)
 class Batch:
-    """Rows in a task: bins (a row a feature), target, weight by model (0 where the model leaves the row out)."""
+    """A block's rows in a task: bins (a row a feature), target, weight, fold, and how often each model draws a row (a row a model, or None: once)."""
 
     x: np.ndarray
     y: np.ndarray
     w: np.ndarray
+    fold: np.ndarray
+    times: np.ndarray | None
+    excluded: Sequence[Sequence[int]]
+
+    def weight(self, m: int) -> np.ndarray:
+        """Rows' weights for model m, 0 where it leaves the row out."""
+        w = self.w if self.times is None else self.w * self.times[m]
+        return np.where(np.isin(self.fold, list(self.excluded[m])), 0.0, w) if len(self.excluded[m]) else w
 
 
 def cut_points(rows: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
@@ -95,10 +110,11 @@ def cut_points(rows: DataFrame, features: Sequence[str], bins: int = BINS) -> li
     return [np.unique(np.array(q if q is not None else [], float)) for q in found]
 
 
-def binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray], *, target: str, weight: str, fold: str, key: str) -> DataFrame:
-    """(x, y, w, fold, key): the bins of every row's features, 0 for a missing one, its target, weight, fold and a 64-bit hash of its key."""
+def binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray], *, target: str, weight: str, fold: str, key: str | Column) -> DataFrame:
+    """(x, y, w, fold, key): the bins of every row's features, 0 for a missing one, its target, weight, fold and a 64-bit hash
+    of its key. A Column as ``key`` is that hash."""
     columns = [F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
-    plain = rows.select(F.col(target).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), F.col(fold).cast("int").alias("fold"), F.xxhash64(key).alias("key"), *columns)
+    plain = rows.select(F.col(target).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), F.col(fold).cast("int").alias("fold"), (F.xxhash64(key) if isinstance(key, str) else key).alias("key"), *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,22 +130,55 @@ def binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray], *,
 
 def bins_of(column: pa.Array) -> np.ndarray:
     """The bins of some rows, a row a feature."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.uint16)
-    return np.ascontiguousarray(flat.reshape(len(column), -1).T)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(flat.astype(bins_type(int(flat.max(initial=0)))).reshape(len(column), -1).T)
+
+
+def bins_type(highest: int) -> type:
+    return np.uint8 if highest < 256 else np.uint16
+
+
+_BLOCK_SCHEMA = "n int, x binary, y binary, w binary, fold binary, times binary"
 
 
-def _left_out(fold: np.ndarray, excluded: Sequence[Sequence[int]]) -> np.ndarray:
-    return np.stack([np.isin(fold, list(e)) for e in excluded], 1)
+def blocks(stored: DataFrame, excluded: Sequence[Sequence[int]], bins: int, drawn: bool) -> tuple[DataFrame, list[tuple[int, ...]]]:
+    """The rows that any model sees, BLOCK of them a row, stored: a fit reads them once a level, so they are laid out for
+    its tasks once. With them, the folds among theirs that each model leaves out."""
+    nobody = set.intersection(*[set(e) for e in excluded])
+    seen = stored.where(~F.col("fold").isin(sorted(nobody))) if nobody else stored
+    kind = bins_type(bins)
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        x = bins_of(t["x"].combine_chunks()).astype(kind)
+        y, w, fold, key = (t[k].to_numpy() for k in ("y", "w", "fold", "key"))
+        times = times_drawn(key, len(excluded)).T.astype(np.uint8).tobytes() if drawn else None
+        values = [x.tobytes(), y.astype(float).tobytes(), w.astype(float).tobytes(), fold.astype(np.int32).tobytes(), times]
+        return pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["n", "x", "y", "w", "fold", "times"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in stream:
+            for first in range(0, b.num_rows, BLOCK):
+                part = b.slice(first, BLOCK)
+                if held and sum(h.num_rows for h in held) + part.num_rows > BLOCK:
+                    yield block(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield block(held)
+
+    return store(seen.select("x", "y", "w", "fold", "key").mapInArrow(run, _BLOCK_SCHEMA), "blocks"), [tuple(k for k in e if k not in nobody) for e in excluded]
 
 
-def batches_of(stream: Iterator[pa.RecordBatch], excluded: Sequence[Sequence[int]], drawn: bool) -> Iterator[Batch]:
+def batches_of(stream: Iterator[pa.RecordBatch], excluded: Sequence[Sequence[int]], bins: int) -> Iterator[Batch]:
+    kind = bins_type(bins)
     for b in stream:
-        if not b.num_rows:
-            continue
-        y, w, fold, key = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
-        x = bins_of(b.column(0))
-        weight = np.where(_left_out(fold, excluded), 0.0, w[:, None])
-        yield Batch(x, y, weight * times_drawn(key, len(excluded)) if drawn else weight)
+        for i in range(b.num_rows):
+            n = b.column(0)[i].as_py()
+            x, y, w, fold, times = (b.column(k)[i].as_buffer() for k in range(1, 6))
+            at = lambda v, kind: np.frombuffer(v, kind)
+            yield Batch(at(x, kind).reshape(-1, n), at(y, float), at(w, float), at(fold, np.int32), None if times is None else at(times, np.uint8).reshape(-1, n), excluded)
 
 
 def times_drawn(key: np.ndarray, trees: int) -> np.ndarray:
@@ -141,23 +190,27 @@ def times_drawn(key: np.ndarray, trees: int) -> np.ndarray:
     return np.searchsorted(POISSON, u, "right").astype(float)
 
 
-def _summed(stored: DataFrame, excluded: Sequence[Sequence[int]], drawn: bool, shape: tuple[int, ...], place: Callable, sums: int = 2) -> np.ndarray:
-    """``sums`` arrays of a shape, added up over all rows. ``place(batch)`` yields (first, size, cells from first on, values...)."""
+def _summed(blocked: DataFrame, excluded: Sequence[Sequence[int]], bins: int, shape: tuple[int, ...], add: Callable, fold_up: Callable | None = None, sums: int = 2) -> np.ndarray:
+    """``sums`` arrays of a shape, added up over all rows. ``add(batch, totals)`` adds a block to a task's totals, a dict of
+    arrays; ``fold_up(totals)`` makes the task's sums of them, by default the array "sums" that starts as zeros."""
     size = int(np.prod(shape))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((sums, size))
-        for batch in batches_of(stream, excluded, drawn):
-            for first, n, cell, *values in place(batch):
-                for s, v in enumerate(values):
-                    total[s, first : first + n] += np.bincount(cell, v, n)
+        totals = {} if fold_up else {"sums": np.zeros((sums, *shape))}
+        none = True
+        for batch in batches_of(stream, excluded, bins):
+            add(batch, totals)
+            none = False
+        if none:
+            return
+        total = (fold_up(totals) if fold_up else totals["sums"]).reshape(sums, size)
         used = np.flatnonzero(total.any(0))
         for first in range(0, len(used), 1 << 16):
             part = used[first : first + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(total[s, part]) for s in range(sums))], ["cell", *(f"s{s}" for s in range(sums))])
 
     schema = "cell long, " + ", ".join(f"s{s} double" for s in range(sums))
-    table = stored.mapInArrow(run, schema).groupBy("cell").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(sums)]).toArrow()
+    table = blocked.mapInArrow(run, schema).groupBy("cell").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(sums)]).toArrow()
     out = np.zeros((sums, size))
     out[:, table["cell"].to_numpy()] = np.stack([table[f"s{s}"].to_numpy() for s in range(sums)]) if len(table) else 0
     return out.reshape(sums, *shape)
@@ -186,38 +239,76 @@ def pick_splits(g: np.ndarray, h: np.ndarray, least: float) -> tuple[np.ndarray,
     return np.where(split, f, -1), cut + 1, right.astype(bool), *sides
 
 
-def grow_round(stored: DataFrame, forest: Forest, gradients: Callable, n_features: int, bins: int, excluded: Sequence[Sequence[int]], least: float, drawn: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _histograms(models: int, n_features: int, nodes: int, bins: int, of_row: Callable) -> tuple[Callable, Callable]:
+    """``add`` and ``fold_up`` of sums by [model, feature, node, bin]; ``of_row(batch, m)`` gives rows' node and two values.
+
+    While nodes are few, features are counted in pairs, half as many passes over a block's rows, and each feature's sums
+    are those of its pair over the other feature.
+    """
+    paired = nodes * bins * bins <= BLOCK
+    step = 2 if paired else 1
+    groups = [tuple(range(f, min(f + step, n_features))) for f in range(0, n_features, step)]
+
+    def add(b: Batch, totals: dict) -> None:
+        codes = []
+        for g in groups:
+            code = b.x[g[0]].astype(np.intp)
+            for f in g[1:]:
+                code = code * bins + b.x[f]
+            codes.append((code, nodes * bins ** len(g)))
+        for m in range(models):
+            node, *values = of_row(b, m)
+            node = node.astype(np.intp)
+            for i, (code, n) in enumerate(codes):
+                cell = node * (n // nodes) + code if nodes > 1 else code
+                if (m, i) not in totals:
+                    totals[m, i] = np.zeros((len(values), n))
+                for s, v in enumerate(values):
+                    totals[m, i][s] += np.bincount(cell, v, n)
+
+    def fold_up(totals: dict) -> np.ndarray:
+        out = np.zeros((2, models, n_features, nodes, bins))
+        for (m, i), t in totals.items():
+            g = groups[i]
+            t = t.reshape(2, nodes, *[bins] * len(g))
+            for k, f in enumerate(g):
+                out[:, m, f] = t.sum(2 + (1 - k)) if len(g) == 2 else t
+        return out
+
+    return add, fold_up
+
+
+def grow_round(blocked: DataFrame, forest: Forest, gradients: Callable, n_features: int, bins: int, excluded: Sequence[Sequence[int]], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Grows one more tree of every model, a pass a level; returns the leaves' (g, h) sums."""
     forest.grow()
     r, models = len(forest.feature) - 1, forest.models
     for level in range(forest.depth):
         nodes = 2**level
 
-        def place(b: Batch, level: int = level, nodes: int = nodes):
-            for m in range(models):
-                g, h = gradients(b, m, forest.raw_of(b.x, m, r))
-                base = forest.nodes(b.x, r, m, level).astype(np.int32) * bins
-                for f in range(n_features):
-                    yield (m * n_features + f) * nodes * bins, nodes * bins, base + b.x[f], g, h
+        def of_row(b: Batch, m: int, level: int = level) -> tuple[np.ndarray, ...]:
+            return forest.nodes(b.x, r, m, level), *gradients(b, m, forest.raw_of(b.x, m, r))
 
-        g, h = _summed(stored, excluded, drawn, (models, n_features, nodes, bins), place).swapaxes(2, 3)
+        add, fold_up = _histograms(models, n_features, nodes, bins, of_row)
+        g, h = _summed(blocked, excluded, bins, (models, n_features, nodes, bins), add, fold_up).swapaxes(2, 3)
         f, cut, right, lg, lh, rg, rh = pick_splits(g, h, least)
         at = slice(nodes - 1, 2 * nodes - 1)
         forest.feature[r][:, at], forest.cut[r][:, at], forest.missing_right[r][:, at] = f, cut, right
     return np.stack([lg, rg], -1).reshape(models, -1), np.stack([lh, rh], -1).reshape(models, -1)
 
 
-def _leaf_quantiles(stored: DataFrame, excluded, levels: np.ndarray, leaves: int, low: float, high: float, residual: Callable) -> np.ndarray:
+def _leaf_quantiles(blocked: DataFrame, excluded, bins: int, levels: np.ndarray, leaves: int, low: float, high: float, residual: Callable) -> np.ndarray:
     """The weighted quantile of residuals in every model's leaves, from sums over a grid: the mean of the cell that reaches the level."""
     models = len(levels)
 
-    def place(b: Batch):
+    def add(b: Batch, totals: dict) -> None:
         for m in range(models):
             value, leaf = residual(b, m)
-            cell = np.clip(((value - low) / (high - low) * GRID).astype(np.int64), 0, GRID - 1)
-            yield m * leaves * GRID, leaves * GRID, leaf * np.int64(GRID) + cell, b.w[:, m], b.w[:, m] * value
+            cell = leaf.astype(np.intp) * GRID + np.clip(((value - low) / (high - low) * GRID).astype(np.intp), 0, GRID - 1)
+            w = b.weight(m)
+            for s, v in enumerate((w, w * value)):
+                totals["sums"][s, m] += np.bincount(cell, v, leaves * GRID).reshape(leaves, GRID)
 
-    w, wv = _summed(stored, excluded, False, (models, leaves, GRID), place)
+    w, wv = _summed(blocked, excluded, bins, (models, leaves, GRID), add)
     upto = np.cumsum(w, -1)
     reached = (upto >= levels[:, None, None] * upto[..., -1:] - 1e-9 * upto[..., -1:]) & (w > 0)
     at = reached.argmax(-1)[..., None]
@@ -233,30 +324,32 @@ def boosted_quantiles(stored: DataFrame, n_features: int, levels: Sequence[float
     bounds = stored.where(~F.col("fold").isin(list(excluded))).agg(F.min("y"), F.max("y")).first()
     low, high = (float(v or 0.0) for v in bounds)
     spread = max(high - low, 1e-9)
-    one_leaf = lambda b, m: (b.y, np.zeros(len(b.y), np.int64))
-    start = _leaf_quantiles(stored, out_of, tau, 1, low, low + spread, one_leaf)[:, 0]
+    blocked, out_of = blocks(stored, out_of, bins, False)
+    start = _leaf_quantiles(blocked, out_of, bins, tau, 1, low, low + spread, lambda b, m: (b.y, np.zeros(len(b.y), np.uint8)))[:, 0]
     forest = Forest(depth, len(tau), start)
 
     def gradients(b: Batch, m: int, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return b.w[:, m] * (tau[m] - (b.y <= raw)), b.w[:, m]
+        w = b.weight(m)
+        return w * (tau[m] - (b.y <= raw)), w
 
     for r in range(rounds):
-        grow_round(stored, forest, gradients, n_features, bins + 1, out_of, least)
-        residual = lambda b, m, r=r: (b.y - forest.raw_of(b.x, m, r), forest.nodes(b.x, r, m, depth).astype(np.int64))
-        forest.value[r][:] = rate * _leaf_quantiles(stored, out_of, tau, 2**depth, -spread, spread, residual)
+        grow_round(blocked, forest, gradients, n_features, bins + 1, out_of, least)
+        residual = lambda b, m, r=r: (b.y - forest.raw_of(b.x, m, r), forest.nodes(b.x, r, m, depth))
+        forest.value[r][:] = rate * _leaf_quantiles(blocked, out_of, bins, tau, 2**depth, -spread, spread, residual)
     return forest
 
 
 def boosted_probabilities(stored: DataFrame, n_features: int, *, excluded: Sequence[Sequence[int]] = ((),), rounds: int = 10, depth: int = 3, rate: float = 0.3, bins: int = BINS, least: float = 5.0) -> Forest:
     """Boosted log odds of a 0/1 target by Newton steps, one model for each entry of ``excluded``, which names the folds it doesn't see."""
     forest = Forest(depth, len(excluded), np.zeros(len(excluded)))
+    blocked, excluded = blocks(stored, excluded, bins, False)
 
     def gradients(b: Batch, m: int, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = 1 / (1 + np.exp(-raw))
-        return b.w[:, m] * (b.y - p), b.w[:, m] * p * (1 - p)
+        p, w = 1 / (1 + np.exp(-raw)), b.weight(m)
+        return w * (b.y - p), w * p * (1 - p)
 
     for r in range(rounds):
-        g, h = grow_round(stored, forest, gradients, n_features, bins + 1, excluded, least)
+        g, h = grow_round(blocked, forest, gradients, n_features, bins + 1, excluded, least)
         forest.value[r][:] = rate * g / (h + SHRINK)
     return forest
 
@@ -291,16 +384,24 @@ def quantile_forest(stored: DataFrame, n_features: int, *, excluded: Sequence[in
     forest = Forest(depth, trees, np.zeros(trees))
     out_of = [tuple(excluded)] * trees
     middle = float(known.agg(F.avg("y")).first()[0] or 0.0)
+    blocked, out_of = blocks(stored, out_of, bins, True)
+
+    def centred(b: Batch, m: int, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = b.weight(m)
+        return w * (b.y - middle), w
+
     # Centred targets: the gain of squared sums is then that of the variance, whatever SHRINK is.
-    grow_round(stored, forest, lambda b, m, raw: (b.w[:, m] * (b.y - middle), b.w[:, m]), n_features, bins + 1, out_of, least, drawn=True)
+    grow_round(blocked, forest, centred, n_features, bins + 1, out_of, least)
     leaves, width = 2**depth, len(cuts) + 1
 
-    def place(b: Batch):
+    def add(b: Batch, totals: dict) -> None:
         cell = np.searchsorted(cuts, b.y, "left")
         for t in range(trees):
-            yield t * leaves * width, leaves * width, forest.nodes(b.x, 0, t, depth) * np.int64(width) + cell, b.w[:, t], b.w[:, t] * b.y
+            at, w = forest.nodes(b.x, 0, t, depth).astype(np.intp) * width + cell, b.weight(t)
+            for s, v in enumerate((w, w * b.y)):
+                totals["sums"][s, t] += np.bincount(at, v, leaves * width).reshape(leaves, width)
 
-    w, wy = _summed(stored, out_of, True, (trees, leaves, width), place)
+    w, wy = _summed(blocked, out_of, bins, (trees, leaves, width), add)
     total = w.sum((0, 1))
     values = np.where(total > 0, wy.sum((0, 1)) / np.maximum(total, 1e-300), np.concatenate([cuts, cuts[-1:] if len(cuts) else [0.0]]))
     return QuantileForest(forest, np.maximum.accumulate(values), w / np.maximum(w.sum(-1, keepdims=True), 1e-300))

@@ -140,6 +140,30 @@ def weighted_quantiles(df: DataFrame, groups: list[str], x: str, weight: str, le
     return ranked.groupBy(*groups).agg(*reached).select(*groups, F.inline(rows))
 
 
+#: Bins of a group's range of values in which quantiles are looked for.
+VALUE_BINS = 1 << 14
+
+
+def bracketed_quantiles(rows: DataFrame, groups: list[str], x: str, weight: str, levels: list[float]) -> DataFrame:
+    """:func:`weighted_quantiles` of finite numbers in groups of any size: weights are summed by bins of the values' range,
+    and only the bins in which a level is reached are put in order, each by itself. ``rows`` are read thrice and should be stored."""
+    known = rows.where(F.col(x).isNotNull() & (F.col(weight) > 0))
+    ends = known.groupBy(*groups).agg(F.min(x).alias("_low"), (F.max(x) - F.min(x)).alias("_spread"))
+    bin_of = F.when(F.col("_spread") > 0, F.floor((F.col(x) - F.col("_low")) / F.col("_spread") * VALUE_BINS)).otherwise(F.lit(0)).cast("int")
+    binned = known.join(store(ends, "ends"), groups).select(*groups, bin_of.alias("_bin"), F.col(x).alias("_x"), F.col(weight).alias("_w"))
+
+    by = W.partitionBy(*groups)
+    upto = F.sum("_w").over(by.orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+    bins = binned.groupBy(*groups, "_bin").agg(F.sum("_w").alias("_w")).select(*groups, "_bin", upto.alias("_upto"), (upto - F.col("_w")).alias("_start"), F.sum("_w").over(by).alias("_total"))
+    hit = F.filter(F.array(*[F.when((F.col("_start") < p * F.col("_total")) & (F.col("_upto") >= p * F.col("_total")), F.lit(float(p))) for p in levels]), lambda p: p.isNotNull())
+    hits = store(bins.select(*groups, "_bin", "_start", "_total", hit.alias("_levels")).where(F.size("_levels") > 0), "hits")
+
+    inside = binned.join(hits.select(*groups, "_bin"), [*groups, "_bin"]).groupBy(*groups, "_bin", "_x").agg(F.sum("_w").alias("_w"))
+    run = inside.withColumn("_run", F.sum("_w").over(W.partitionBy(*groups, "_bin").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)))
+    at = run.join(hits, [*groups, "_bin"]).select(*groups, "_x", (F.col("_start") + F.col("_run")).alias("_upto"), "_total", F.explode("_levels").alias("level"))
+    return at.groupBy(*groups, "level").agg(F.min(F.when(F.col("_upto") >= F.col("level") * F.col("_total"), F.col("_x"))).alias("value"))
+
+
 #: Parts of a sketch from which brackets around exact percentiles are read.
 SKETCH = 10_000
 

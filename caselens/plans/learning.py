@@ -11,7 +11,7 @@ from ..functions import rng
 from ..operators import boosting as H
 from ..operators import folds as V
 from ..operators import rates as R
-from ..operators.windows import ranking_metrics, weighted_quantiles
+from ..operators.windows import bracketed_quantiles, ranking_metrics
 from ..sources.cases import cases
 from ..sources.shared import store
 from .registry import query, with_tables
@@ -28,18 +28,23 @@ def _fold(key: str = "case_id"):
     return F.floor(rng.hash_uniform(F.lit("split"), c(key)) * FOLDS).cast("int")
 
 
+def _kept(rows: DataFrame, *more: str) -> DataFrame:
+    """What a fit needs of the cases, stored: bounds, medians, bins and cells read it, and the case view is made once."""
+    return store(rows.select(F.xxhash64("case_id").alias("key"), "weight", "fold", *FEATURES, *more), "rows")
+
+
 def _sizes(spark, d) -> DataFrame:
     """Cases that deviate, with the log of the size, and a fold by a hash of the key."""
-    return cases(spark, d).where(c("amount") > TOLERANCE).withColumn("size", F.ln("amount")).withColumn("fold", _fold())
+    return _kept(cases(spark, d).where(c("amount") > TOLERANCE).withColumn("size", F.ln("amount")).withColumn("fold", _fold()), "status", "size")
 
 
 def _stored(rows: DataFrame, target: str, known: DataFrame | None = None) -> DataFrame:
     cuts = H.cut_points(rows if known is None else known, FEATURES)
-    table = H.binned(rows, FEATURES, cuts, target=target, weight="weight", fold="fold", key="case_id")
+    table = H.binned(rows, FEATURES, cuts, target=target, weight="weight", fold="fold", key=c("key"))
     # Read many times by tasks that compute: dealt evenly, once, in narrow rows.
     spark = rows.sparkSession
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return store(table.repartition(parts), "binned")
+    return store(table.repartition(parts, "key"), "binned")
 
 
 def _losses(held: DataFrame, q: str, name: str) -> DataFrame:
@@ -51,7 +56,7 @@ def _losses(held: DataFrame, q: str, name: str) -> DataFrame:
 
 def _cells(rows: DataFrame) -> DataFrame:
     """Held-out rows with the training rows' weighted quantiles of their cell."""
-    q = weighted_quantiles(rows.where(c("fold") != HELD_OUT), ["line", "status"], "size", "weight", list(Q.LEVELS))
+    q = bracketed_quantiles(rows.where(c("fold") != HELD_OUT), ["line", "status"], "size", "weight", list(Q.LEVELS))
     wide = q.groupBy("line", "status").agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "value"))), lambda r: r["value"]).alias("q"))
     return rows.where(c("fold") == HELD_OUT).join(wide, ["line", "status"]).select(c("size").alias("y"), c("weight").alias("w"), "q")
 
@@ -136,6 +141,7 @@ def ml02c(spark, d):
 def ml02b(spark, d):
     """Out-of-fold probabilities: boosted scores of models that left out the fold, calibrated by inner scores alone."""
     rows = _labelled(spark, d, *FEATURES)
+    rows = rows.withColumn("key", F.xxhash64("case_id"))
     scored, _, _, _ = V.nested_scores(_stored(rows, "y"), len(FEATURES), FOLDS)
     gap = lambda p: c("w") * (c(p) - c("y")) * (c(p) - c("y"))
     table = scored.groupBy("fold").agg(
@@ -147,7 +153,7 @@ def ml02b(spark, d):
 
 
 def _classifier(spark, d) -> tuple[DataFrame, H.Forest]:
-    rows = cases(spark, d).withColumn("y", (c("err") > 0).cast("int")).withColumn("fold", _fold())
+    rows = _kept(cases(spark, d).withColumn("y", (c("err") > 0).cast("int")).withColumn("fold", _fold()), "y")
     stored = _stored(rows, "y", rows.where(c("fold") != HELD_OUT))
     return stored, H.boosted_probabilities(stored, len(FEATURES), excluded=[(HELD_OUT,)], rounds=20)
 

@@ -194,6 +194,33 @@ def test_pooled_levels_are_the_nearest_rising_ones():
     assert (H.pooled(np.zeros(3), np.zeros(3)) == 0.5).all()
 
 
+def test_a_fit_reads_rows_in_blocks_whatever_their_size(stored, monkeypatch):
+    df, _, _ = stored
+    how = {"rounds": 2, "depth": 2, "bins": 8, "least": 10.0}
+    whole = H.boosted_probabilities(df.withColumn("y", (F.col("y") > 0.8).cast("double")), 3, excluded=[(0,), (0, 1)], **how)
+    monkeypatch.setattr(H, "BLOCK", 64)  # many blocks, and features counted one by one
+    blocked, rest = H.blocks(df, [(0,), (0, 1)], 8, False)
+    sizes = [r.n for r in blocked.collect()]
+    assert max(sizes) <= 64 and sum(sizes) == df.where("fold <> 0").count() and rest == [(), (1,)]
+    small = H.boosted_probabilities(df.withColumn("y", (F.col("y") > 0.8).cast("double")), 3, excluded=[(0,), (0, 1)], **how)
+    for r in range(2):
+        assert all(splits_of(whole, r, m) == splits_of(small, r, m) for m in range(2)) and np.allclose(whole.value[r], small.value[r])
+
+
+def test_quantiles_of_a_large_group_from_bins(spark, monkeypatch):
+    from caselens.operators import windows as X
+
+    rng = np.random.default_rng(4)
+    rows = [("abc"[i % 3], None if i % 50 == 0 else float(np.round(rng.lognormal(), 2)) if i % 3 else 7.0, float(i % 6)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, x double, w double").repartition(3)
+    levels = [0.05, 0.5, 0.9, 0.99, 1.0]
+    take = lambda q: sorted((r.g, r.level, r.value) for r in q.collect())
+    want = take(X.weighted_quantiles(df, ["g"], "x", "w", levels))
+    for bins in (1, 16, 1 << 14):
+        monkeypatch.setattr(X, "VALUE_BINS", bins)
+        assert take(X.bracketed_quantiles(df, ["g"], "x", "w", levels)) == want
+
+
 def test_empty_training_rows(spark):
     empty = spark.createDataFrame([], "x array<int>, y double, w double, fold int, key long")
     assert H.boosted_quantiles(empty, 2, [0.5], rounds=1, bins=4).start.tolist() == [0.0]
