@@ -81,13 +81,13 @@ def parsed_number(text: Column) -> Column:
 
 def row_sum(columns: list[Column], least: int = 1) -> Column:
     """Sum of the present values; null where fewer than ``least`` are present."""
-    values = F.array(*[c.cast("double") for c in columns])
-    there = F.filter(values, lambda v: v.isNotNull())
-    return F.when(F.size(there) >= least, F.aggregate(there, F.lit(0.0), lambda a, v: a + v))
+    values = [c.cast("double") for c in columns]
+    there = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
+    return F.when(there >= least, reduce(lambda a, v: a + F.coalesce(v, F.lit(0.0)), values, F.lit(0.0)))
 
 
 def count_positive(columns: list[Column]) -> Column:
-    return F.size(F.filter(F.array(*columns), lambda v: v > 0))
+    return reduce(lambda a, b: a + b, [F.when(c > 0, 1).otherwise(0) for c in columns])
 
 
 def any_null(columns: list[Column]) -> Column:

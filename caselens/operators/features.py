@@ -31,20 +31,27 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
+def registry(states: DataFrame, broad: DataFrame, standard: DataFrame) -> DataFrame:
+    """One row a place: whether it is known, and the years of either policy."""
+    entry = lambda df, kind, year: df.select("state", F.lit(kind).alias("kind"), year.alias("year"))
+    years = lambda kind: F.collect_set(F.when(c("kind") == kind, c("year"))).alias(f"_{kind}")
+    rows = entry(broad, "broad", c("year")).union(entry(standard, "standard", c("year"))).union(entry(states, "known", F.lit(None)))
+    return rows.groupBy("state").agg(F.bool_or(c("kind") == "known").alias("_known"), years("broad"), years("standard"))
+
+
 def prepared(df: DataFrame, states: DataFrame, broad: DataFrame, standard: DataFrame, premiums: DataFrame) -> DataFrame:
     """Sentinels cleared and registries joined: ``states`` (state), ``broad`` and ``standard`` (state, year), ``premiums`` (calendar_year, premium)."""
     require_columns(df, ROLES)
-    clean = df.withColumns({k: S.nonnegative(c(k)) for k in SENTINELS})
-    month = c("year_month") % 100
-    clean = clean.withColumn("calendar_year", F.when(month.between(1, 12) & (c("year_month") == F.floor("year_month")), F.floor(c("year_month") / 100)))
-    known = states.select("state").distinct().withColumn("_known", F.lit(True))
-    by = ["state", "year"]
-    rows = clean.join(known, "state", "left")
-    rows = rows.join(broad.select(*by).distinct().withColumn("_broad", F.lit(True)), by, "left")
-    rows = rows.join(standard.select(*by).distinct().withColumn("_standard", F.lit(True)), by, "left")
-    rows = rows.join(premiums.select("calendar_year", "premium"), "calendar_year", "left")
+    at = S.nonnegative(c("year_month"))
+    calendar = F.when((at % 100).between(1, 12) & (at == F.floor(at)), F.floor(at / 100))
+    # Slots are counted here: a lambda keeps this projection out of the joins' generated method, which would be too long to be compiled.
+    slots = {"_records": F.coalesce(F.size(F.filter("slots", lambda v: v > 0)), F.lit(0)), "_no_records": c("slots").isNull() | F.forall("slots", lambda v: v.isNull())}
+    clean = df.withColumns({k: S.nonnegative(c(k)) for k in SENTINELS} | slots | {"calendar_year": calendar}).drop("slots")
+    # Registries have a row a place and year, or a year: they are sent to the rows, whose widest form is never shuffled for them.
+    rows = clean.join(F.broadcast(registry(states, broad, standard)), "state", "left")
+    rows = rows.join(F.broadcast(premiums.select("calendar_year", "premium")), "calendar_year", "left")
     yes = lambda x: F.coalesce(x, F.lit(False))
-    return rows.withColumns({"_known": yes(c("_known")), "_broad": yes(c("_broad")) & yes(c("_known")), "_standard": yes(c("_standard")), "_elders": yes(c("elders") > 0), "_frail": yes(c("elders") > 0) | yes(c("disabled") > 0), "_earns": yes(c("earned") > 0), "_kids": yes(c("kids") > 0), "size": F.coalesce("certified", "unit")})
+    return rows.withColumns({"_known": yes(c("_known")), "_broad": yes(F.array_contains("_broad", c("year"))) & yes(c("_known")), "_standard": yes(F.array_contains("_standard", c("year"))), "_elders": yes(c("elders") > 0), "_frail": yes(c("elders") > 0) | yes(c("disabled") > 0), "_earns": yes(c("earned") > 0), "_kids": yes(c("kids") > 0), "size": F.coalesce("certified", "unit")})
 
 
 def targets(medical_element: int, impacts: list[int]) -> dict[str, Column]:
@@ -88,8 +95,8 @@ def medical() -> dict[str, Column]:
 
 def records() -> dict[str, Column]:
     """Positive person slots against the household's total, and the utility choice."""
-    n = F.coalesce(F.size(F.filter("slots", lambda v: v > 0)), F.lit(0))
-    return {"records_missing": flag(c("slots").isNull() | F.forall("slots", lambda v: v.isNull())), "records": n, "total_has_income": flag(c("self_total") > 0), "records_mismatch": flag((n > 0) != F.coalesce(c("self_total") > 0, F.lit(False))), "actual_utilities": flag(c("utility") == 2), "actual_utilities_missing": S.missing(c("utility"))}
+    n = c("_records")
+    return {"records_missing": flag(c("_no_records")), "records": n, "total_has_income": flag(c("self_total") > 0), "records_mismatch": flag((n > 0) != F.coalesce(c("self_total") > 0, F.lit(False))), "actual_utilities": flag(c("utility") == 2), "actual_utilities_missing": S.missing(c("utility"))}
 
 
 def deductions() -> dict[str, Column]:
