@@ -9,7 +9,9 @@ splits are picked on that table, whose size depends on parameters alone. Models
 models of a nested cross-validation (each leaves out its folds), or the trees of
 a forest grow together, so the number of passes is that of one model. Tasks work
 out a row's prediction so far from the trees themselves; nothing about rows is
-kept between passes, and no row reaches the driver.
+kept between passes, and no row reaches the driver. Where models leave out
+different folds a block's rows are of one fold, so a model passes over whole
+blocks, and trees of depth 3 are read from tables, eight at a time (Walk).
 
 At every split the rows without the feature go to the side that gains more.
 """
@@ -17,11 +19,12 @@ At every split the rows without the feature go to the side that gains more.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import store
@@ -32,6 +35,8 @@ BLOCK = 1 << 14
 SHRINK = 1.0
 #: Cells of the value grid from which weighted quantiles are read.
 GRID = 2048
+#: Trees up to this depth have their leaves in a byte, a bit each; a word holds as many of them as it has bytes.
+BYTE_DEPTH, WORD_TREES = 3, 8
 #: Distribution function of a Poisson variable of mean 1.
 POISSON = np.cumsum([0.36787944117144233, 0.36787944117144233, 0.18393972058572117, 0.06131324019524039, 0.015328310048810098, 0.003065662009762019, 0.0005109436682936699])
 
@@ -86,21 +91,115 @@ class Forest:
         return np.stack([self.raw_of(x, m) for m in range(self.models)], 1)
 
 
+def grouped(widths: Sequence[int], nodes: int = 1) -> list[tuple[int, ...]]:
+    """Features, by their numbers of bins, in as few groups as keep the numbers of a group's bins together few."""
+    for k in range(1, len(widths) + 1):
+        groups, sizes = [[] for _ in range(k)], [1] * k
+        for f in sorted(range(len(widths)), key=lambda f: -widths[f]):
+            least = sizes.index(min(sizes))
+            groups[least].append(f)
+            sizes[least] *= widths[f]
+        if max(sizes) * max(nodes, 4) <= BLOCK:
+            break
+    return [tuple(sorted(g)) for g in groups if g]
+
+
 @dataclass(frozen=True)
-class Batch:
-    """A block's rows in a task: bins (a row a feature), target, weight, fold, and how often each model draws a row (a row a model, or None: once)."""
+class Rows:
+    """Bins of some rows, a row a feature."""
 
     x: np.ndarray
+    known: dict = field(default_factory=dict, kw_only=True)
+
+    def code(self, group: tuple[int, ...], widths: Sequence[int]) -> np.ndarray:
+        """One number for the rows' bins of a group of features; it is made once."""
+        if group not in self.known:
+            code = self.x[group[0]].astype(np.intp)
+            for f in group[1:]:
+                code = code * widths[f] + self.x[f]
+            self.known[group] = code
+        return self.known[group]
+
+
+@dataclass(frozen=True)
+class Batch(Rows):
+    """A block's rows in a task, with target, weight, how often each model draws a row (a row a model, or None: once),
+    the models that see the block, and the rows' fold where models differ in what they see."""
+
     y: np.ndarray
     w: np.ndarray
-    fold: np.ndarray
     times: np.ndarray | None
-    excluded: Sequence[Sequence[int]]
+    models: Sequence[int]
+    fold: int | None
 
     def weight(self, m: int) -> np.ndarray:
-        """Rows' weights for model m, 0 where it leaves the row out."""
-        w = self.w if self.times is None else self.w * self.times[m]
-        return np.where(np.isin(self.fold, list(self.excluded[m])), 0.0, w) if len(self.excluded[m]) else w
+        """Rows' weights for model m, which sees the block."""
+        return self.w if self.times is None else self.w * self.times[m]
+
+
+class Walk:
+    """Where rows stand before round ``r``, and the node they reach in that round's tree after so many levels.
+
+    A split leaves open one side's leaves, so each bin of a feature leaves open some leaves of each tree, and the leaf that all
+    features leave open is a row's. With a bit a leaf and a byte a tree, one table a group of features, looked up by the rows'
+    numbers, does this for eight trees at once. Tables depend on parameters alone and are made where they are used.
+    Deeper trees are walked split by split.
+    """
+
+    def __init__(self, forest: Forest, r: int, level: int, widths: Sequence[int]) -> None:
+        self.forest, self.r, self.level, self.widths = forest, r, level, widths
+        self.groups, self.trees, self.made = grouped(widths), r + (level > 0), {}
+
+    def _tables(self, m: int) -> tuple[list[np.ndarray], np.ndarray]:
+        if m in self.made:
+            return self.made[m]
+        forest, bins = self.forest, np.arange(max(self.widths))
+        every = sum((1 << 2**forest.depth) - 1 << 8 * t for t in range(WORD_TREES))
+        open_ = np.full((len(self.widths), -(-self.trees // WORD_TREES), len(bins)), np.uint64(every))
+        for t in range(self.trees):
+            word, shift = t // WORD_TREES, 8 * (t % WORD_TREES)
+            for i in range(2**forest.depth - 1):
+                level = (i + 1).bit_length() - 1
+                half = 2 ** (forest.depth - level - 1)
+                left = ((1 << half) - 1) << (2 * half * (i + 1 - 2**level) + shift)
+                if (f := forest.feature[t][m, i]) < 0:
+                    open_[0, word] &= ~np.uint64(left << half)
+                else:
+                    right = (bins > forest.cut[t][m, i]) | ((bins == 0) & forest.missing_right[t][m, i])
+                    open_[f, word] &= np.where(right, ~np.uint64(left), ~np.uint64(left << half))
+        tables = []
+        for g in self.groups:
+            table = open_[g[0]][:, : self.widths[g[0]]]
+            for f in g[1:]:
+                table = (table[:, :, None] & open_[f][:, None, : self.widths[f]]).reshape(len(table), table.shape[1] * self.widths[f])
+            tables.append(table)
+        values = np.zeros((self.r, 256))
+        for t in range(self.r):
+            values[t, 1 << np.arange(2**forest.depth)] = forest.value[t][m]
+        self.made[m] = tables, values
+        return self.made[m]
+
+    def __call__(self, rows: Rows, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Model m's sum of start and leaf values before round r, and nodes counted from 0 within the level."""
+        forest, n = self.forest, rows.x.shape[1]
+        if forest.depth > BYTE_DEPTH:
+            return forest.raw_of(rows.x, m, self.r), forest.nodes(rows.x, self.r, m, self.level) if self.level else np.zeros(n, np.uint8)
+        tables, values = self._tables(m)
+        leaves = []
+        for word in range(len(tables[0])):
+            # Numbers are in range: clipping only spares the check.
+            left = tables[0][word].take(rows.code(self.groups[0], self.widths), mode="clip")
+            for table, g in zip(tables[1:], self.groups[1:], strict=True):
+                left &= table[word].take(rows.code(g, self.widths), mode="clip")
+            leaves.append(left.astype("<u8", copy=False).view(np.uint8).reshape(n, WORD_TREES))
+        raw = np.full(n, forest.start[m])
+        for t in range(self.r):
+            raw += values[t].take(leaves[t // WORD_TREES][:, t % WORD_TREES], mode="clip")
+        if not self.level:
+            return raw, np.zeros(n, np.intp)
+        node = np.zeros(256, np.intp)
+        node[1 << np.arange(2**forest.depth)] = np.arange(2**forest.depth) >> (forest.depth - self.level)
+        return raw, node.take(leaves[self.r // WORD_TREES][:, self.r % WORD_TREES], mode="clip")
 
 
 def cut_points(rows: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
@@ -110,22 +209,32 @@ def cut_points(rows: DataFrame, features: Sequence[str], bins: int = BINS) -> li
     return [np.unique(np.array(q if q is not None else [], float)) for q in found]
 
 
-def binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray], *, target: str, weight: str, fold: str, key: str | Column) -> DataFrame:
-    """(x, y, w, fold, key): the bins of every row's features, 0 for a missing one, its target, weight, fold and a 64-bit hash
-    of its key. A Column as ``key`` is that hash."""
+def plain(rows: DataFrame, features: Sequence[str], *, target: str, weight: str, key: str | Column, more: Sequence[Column | str] = ()) -> DataFrame:
+    """What :func:`binning` reads, without folds, and ``more``."""
     columns = [F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
-    plain = rows.select(F.col(target).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), F.col(fold).cast("int").alias("fold"), (F.xxhash64(key) if isinstance(key, str) else key).alias("key"), *columns)
+    return rows.select(F.col(target).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), (F.xxhash64(key) if isinstance(key, str) else key).alias("key"), *columns, *more)
+
+
+def binning(cuts: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step over batches from features to their bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.zeros((b.num_rows, len(cuts)), np.int32)
             for i, c in enumerate(cuts):
-                v = b.column(4 + i).to_numpy(zero_copy_only=False)
+                v = b.column(f"f{i}").to_numpy(zero_copy_only=False)
                 x[:, i] = np.where(np.isnan(v), 0, 1 + np.searchsorted(c, v, "left"))
             bins = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(cuts), dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([bins, *(b.column(i) for i in range(4))], ["x", "y", "w", "fold", "key"])
+            yield pa.RecordBatch.from_arrays([bins, *(b.column(k) for k in ("y", "w", "fold", "key"))], ["x", "y", "w", "fold", "key"])
 
-    return plain.mapInArrow(run, "x array<int>, y double, w double, fold int, key long")
+    return run
+
+
+def binned(rows: DataFrame, features: Sequence[str], cuts: list[np.ndarray], *, target: str, weight: str, fold: str, key: str | Column) -> DataFrame:
+    """(x, y, w, fold, key): the bins of every row's features, 0 for a missing one, its target, weight, fold and a 64-bit hash
+    of its key. A Column as ``key`` is that hash."""
+    read = plain(rows, features, target=target, weight=weight, key=key, more=[F.col(fold).cast("int").alias("fold")])
+    return read.mapInArrow(binning(cuts), "x array<int>, y double, w double, fold int, key long")
 
 
 def bins_of(column: pa.Array) -> np.ndarray:
@@ -138,47 +247,90 @@ def bins_type(highest: int) -> type:
     return np.uint8 if highest < 256 else np.uint16
 
 
-_BLOCK_SCHEMA = "n int, x binary, y binary, w binary, fold binary, times binary"
+@contextmanager
+def _batches(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Jobs inside pass rows on to Python by their number alone, at most ``rows`` at a time: rows of known size needn't be
+    weighed one by one, which takes longer than passing them on."""
+    here = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2**31 - 1)} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {k: spark.conf.get(k, None) for k in here}
+    for k, v in here.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+_BLOCK_SCHEMA = "n int, x binary, y binary, w binary, fold int, times binary, key binary"
+#: Blocks that JVM and task pass on at a time: few, so that both work at once.
+BLOCKS_PASSED = 8
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers in the smallest of three types that holds them all exactly; length and number of rows tell which."""
+    values = values.astype(float)
+    with np.errstate(all="ignore"):
+        small = next((v for v in (values.astype(np.uint8), values.astype(np.float32)) if (v == values).all()), values)
+    return small.tobytes()
 
 
-def blocks(stored: DataFrame, excluded: Sequence[Sequence[int]], bins: int, drawn: bool) -> tuple[DataFrame, list[tuple[int, ...]]]:
+def unpacked(values: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(values, {1: np.uint8, 4: np.float32, 8: float}[values.size // n]).astype(float, copy=False)
+
+
+def blocks(stored: DataFrame, excluded: Sequence[Sequence[int]], bins: int, drawn: bool, read: Callable | None = None) -> tuple[DataFrame, list[tuple[int, ...]]]:
     """The rows that any model sees, BLOCK of them a row, stored: a fit reads them once a level, so they are laid out for
-    its tasks once. With them, the folds among theirs that each model leaves out."""
+    its tasks once. With them, the folds among theirs that each model leaves out; where these differ, a block is of one fold.
+    ``read`` is a step over batches that makes the rows' (x, y, w, fold, key) of ``stored``, where these aren't its columns."""
     nobody = set.intersection(*[set(e) for e in excluded])
-    seen = stored.where(~F.col("fold").isin(sorted(nobody))) if nobody else stored
-    kind = bins_type(bins)
+    rest = [tuple(k for k in e if k not in nobody) for e in excluded]
+    apart, kind = any(rest), bins_type(bins)
+    if not read:
+        stored = (stored.where(~F.col("fold").isin(sorted(nobody))) if nobody else stored).select("x", "y", "w", "fold", "key")
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
         x = bins_of(t["x"].combine_chunks()).astype(kind)
         y, w, fold, key = (t[k].to_numpy() for k in ("y", "w", "fold", "key"))
         times = times_drawn(key, len(excluded)).T.astype(np.uint8).tobytes() if drawn else None
-        values = [x.tobytes(), y.astype(float).tobytes(), w.astype(float).tobytes(), fold.astype(np.int32).tobytes(), times]
-        return pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["n", "x", "y", "w", "fold", "times"])
+        values = [pa.array([v], pa.binary()) for v in (x.tobytes(), packed(y), packed(w), times, key.astype(np.int64).tobytes())]
+        values.insert(3, pa.array([int(fold[0]) if apart else None], pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int32()), *values], ["n", "x", "y", "w", "fold", "times", "key"])
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in stream:
-            for first in range(0, b.num_rows, BLOCK):
-                part = b.slice(first, BLOCK)
-                if held and sum(h.num_rows for h in held) + part.num_rows > BLOCK:
-                    yield block(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield block(held)
+    def by_fold(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+        fold = b.column("fold").to_numpy()
+        for k in np.unique(fold) if apart or read else [0]:
+            if k not in nobody or not read:
+                yield int(k), b.take(pa.array(np.flatnonzero(fold == k))) if apart or read else b
 
-    return store(seen.select("x", "y", "w", "fold", "key").mapInArrow(run, _BLOCK_SCHEMA), "blocks"), [tuple(k for k in e if k not in nobody) for e in excluded]
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for b in read(stream) if read else stream:
+            for k, rows in by_fold(b):
+                for first in range(0, rows.num_rows, BLOCK):
+                    part, before = rows.slice(first, BLOCK), held.setdefault(k, [])
+                    if before and sum(h.num_rows for h in before) + part.num_rows > BLOCK:
+                        yield block(before)
+                        before.clear()
+                    before.append(part)
+        for before in held.values():
+            if before:
+                yield block(before)
+
+    with _batches(stored.sparkSession):
+        return store(stored.mapInArrow(run, _BLOCK_SCHEMA), "blocks"), rest
 
 
 def batches_of(stream: Iterator[pa.RecordBatch], excluded: Sequence[Sequence[int]], bins: int) -> Iterator[Batch]:
     kind = bins_type(bins)
     for b in stream:
         for i in range(b.num_rows):
-            n = b.column(0)[i].as_py()
-            x, y, w, fold, times = (b.column(k)[i].as_buffer() for k in range(1, 6))
-            at = lambda v, kind: np.frombuffer(v, kind)
-            yield Batch(at(x, kind).reshape(-1, n), at(y, float), at(w, float), at(fold, np.int32), None if times is None else at(times, np.uint8).reshape(-1, n), excluded)
+            n, fold = b.column(0)[i].as_py(), b.column(4)[i].as_py()
+            x, y, w, times = (b.column(k)[i].as_buffer() for k in (1, 2, 3, 5))
+            at = lambda v, kind: np.frombuffer(v, kind).reshape(-1, n)
+            models = [m for m, e in enumerate(excluded) if fold not in e]
+            yield Batch(at(x, kind), unpacked(y, n), unpacked(w, n), None if times is None else at(times, np.uint8), models, fold)
 
 
 def times_drawn(key: np.ndarray, trees: int) -> np.ndarray:
@@ -190,7 +342,7 @@ def times_drawn(key: np.ndarray, trees: int) -> np.ndarray:
     return np.searchsorted(POISSON, u, "right").astype(float)
 
 
-def _summed(blocked: DataFrame, excluded: Sequence[Sequence[int]], bins: int, shape: tuple[int, ...], add: Callable, fold_up: Callable | None = None, sums: int = 2) -> np.ndarray:
+def summed(blocked: DataFrame, excluded: Sequence[Sequence[int]], bins: int, shape: tuple[int, ...], add: Callable, fold_up: Callable | None = None, sums: int = 2) -> np.ndarray:
     """``sums`` arrays of a shape, added up over all rows. ``add(batch, totals)`` adds a block to a task's totals, a dict of
     arrays; ``fold_up(totals)`` makes the task's sums of them, by default the array "sums" that starts as zeros."""
     size = int(np.prod(shape))
@@ -210,7 +362,9 @@ def _summed(blocked: DataFrame, excluded: Sequence[Sequence[int]], bins: int, sh
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(total[s, part]) for s in range(sums))], ["cell", *(f"s{s}" for s in range(sums))])
 
     schema = "cell long, " + ", ".join(f"s{s} double" for s in range(sums))
-    table = blocked.mapInArrow(run, schema).groupBy("cell").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(sums)]).toArrow()
+    read = blocked.select("n", "x", "y", "w", "fold", "times")
+    with _batches(read.sparkSession, BLOCKS_PASSED):
+        table = read.mapInArrow(run, schema).groupBy("cell").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(sums)]).toArrow()
     out = np.zeros((sums, size))
     out[:, table["cell"].to_numpy()] = np.stack([table[f"s{s}"].to_numpy() for s in range(sums)]) if len(table) else 0
     return out.reshape(sums, *shape)
@@ -239,57 +393,53 @@ def pick_splits(g: np.ndarray, h: np.ndarray, least: float) -> tuple[np.ndarray,
     return np.where(split, f, -1), cut + 1, right.astype(bool), *sides
 
 
-def _histograms(models: int, n_features: int, nodes: int, bins: int, of_row: Callable) -> tuple[Callable, Callable]:
+def _histograms(models: int, widths: Sequence[int], nodes: int, bins: int, of_row: Callable) -> tuple[Callable, Callable]:
     """``add`` and ``fold_up`` of sums by [model, feature, node, bin]; ``of_row(batch, m)`` gives rows' node and two values.
 
-    While nodes are few, features are counted in pairs, half as many passes over a block's rows, and each feature's sums
-    are those of its pair over the other feature.
+    While nodes are few, features are counted in groups, in fewer passes over a block's rows, and each feature's sums are
+    those of its group over the other features.
     """
-    paired = nodes * bins * bins <= BLOCK
-    step = 2 if paired else 1
-    groups = [tuple(range(f, min(f + step, n_features))) for f in range(0, n_features, step)]
+    groups = grouped(widths, nodes)
+    cells = [int(np.prod([widths[f] for f in g])) for g in groups]
 
     def add(b: Batch, totals: dict) -> None:
-        codes = []
-        for g in groups:
-            code = b.x[g[0]].astype(np.intp)
-            for f in g[1:]:
-                code = code * bins + b.x[f]
-            codes.append((code, nodes * bins ** len(g)))
-        for m in range(models):
+        for m in b.models:
             node, *values = of_row(b, m)
-            node = node.astype(np.intp)
-            for i, (code, n) in enumerate(codes):
-                cell = node * (n // nodes) + code if nodes > 1 else code
+            node = node.astype(np.intp, copy=False)
+            for i, (g, n) in enumerate(zip(groups, cells, strict=True)):
+                cell = b.code(g, widths)
+                if nodes > 1:
+                    cell = cell + node * n
                 if (m, i) not in totals:
-                    totals[m, i] = np.zeros((len(values), n))
+                    totals[m, i] = np.zeros((len(values), nodes * n))
                 for s, v in enumerate(values):
-                    totals[m, i][s] += np.bincount(cell, v, n)
+                    totals[m, i][s] += np.bincount(cell, v, nodes * n)
 
     def fold_up(totals: dict) -> np.ndarray:
-        out = np.zeros((2, models, n_features, nodes, bins))
+        out = np.zeros((2, models, len(widths), nodes, bins))
         for (m, i), t in totals.items():
             g = groups[i]
-            t = t.reshape(2, nodes, *[bins] * len(g))
+            t = t.reshape(2, nodes, *[widths[f] for f in g])
             for k, f in enumerate(g):
-                out[:, m, f] = t.sum(2 + (1 - k)) if len(g) == 2 else t
+                out[:, m, f, :, : widths[f]] = t.sum(tuple(2 + j for j in range(len(g)) if j != k))
         return out
 
     return add, fold_up
 
 
-def grow_round(blocked: DataFrame, forest: Forest, gradients: Callable, n_features: int, bins: int, excluded: Sequence[Sequence[int]], least: float) -> tuple[np.ndarray, np.ndarray]:
+def grow_round(blocked: DataFrame, forest: Forest, gradients: Callable, widths: Sequence[int], excluded: Sequence[Sequence[int]], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Grows one more tree of every model, a pass a level; returns the leaves' (g, h) sums."""
     forest.grow()
-    r, models = len(forest.feature) - 1, forest.models
+    r, models, n_features, bins = len(forest.feature) - 1, forest.models, len(widths), max(widths)
     for level in range(forest.depth):
-        nodes = 2**level
+        nodes, walk = 2**level, Walk(forest, r, level, widths)
 
-        def of_row(b: Batch, m: int, level: int = level) -> tuple[np.ndarray, ...]:
-            return forest.nodes(b.x, r, m, level), *gradients(b, m, forest.raw_of(b.x, m, r))
+        def of_row(b: Batch, m: int, walk: Walk = walk) -> tuple[np.ndarray, ...]:
+            raw, node = walk(b, m)
+            return node, *gradients(b, m, raw)
 
-        add, fold_up = _histograms(models, n_features, nodes, bins, of_row)
-        g, h = _summed(blocked, excluded, bins, (models, n_features, nodes, bins), add, fold_up).swapaxes(2, 3)
+        add, fold_up = _histograms(models, widths, nodes, bins, of_row)
+        g, h = summed(blocked, excluded, bins, (models, n_features, nodes, bins), add, fold_up).swapaxes(2, 3)
         f, cut, right, lg, lh, rg, rh = pick_splits(g, h, least)
         at = slice(nodes - 1, 2 * nodes - 1)
         forest.feature[r][:, at], forest.cut[r][:, at], forest.missing_right[r][:, at] = f, cut, right
@@ -301,14 +451,14 @@ def _leaf_quantiles(blocked: DataFrame, excluded, bins: int, levels: np.ndarray,
     models = len(levels)
 
     def add(b: Batch, totals: dict) -> None:
-        for m in range(models):
+        for m in b.models:
             value, leaf = residual(b, m)
             cell = leaf.astype(np.intp) * GRID + np.clip(((value - low) / (high - low) * GRID).astype(np.intp), 0, GRID - 1)
             w = b.weight(m)
             for s, v in enumerate((w, w * value)):
                 totals["sums"][s, m] += np.bincount(cell, v, leaves * GRID).reshape(leaves, GRID)
 
-    w, wv = _summed(blocked, excluded, bins, (models, leaves, GRID), add)
+    w, wv = summed(blocked, excluded, bins, (models, leaves, GRID), add)
     upto = np.cumsum(w, -1)
     reached = (upto >= levels[:, None, None] * upto[..., -1:] - 1e-9 * upto[..., -1:]) & (w > 0)
     at = reached.argmax(-1)[..., None]
@@ -333,23 +483,29 @@ def boosted_quantiles(stored: DataFrame, n_features: int, levels: Sequence[float
         return w * (tau[m] - (b.y <= raw)), w
 
     for r in range(rounds):
-        grow_round(blocked, forest, gradients, n_features, bins + 1, out_of, least)
-        residual = lambda b, m, r=r: (b.y - forest.raw_of(b.x, m, r), forest.nodes(b.x, r, m, depth))
+        grow_round(blocked, forest, gradients, [bins + 1] * n_features, out_of, least)
+        walk = Walk(forest, r, depth, [bins + 1] * n_features)
+
+        def residual(b: Batch, m: int, walk: Walk = walk) -> tuple[np.ndarray, np.ndarray]:
+            raw, leaf = walk(b, m)
+            return b.y - raw, leaf
+
         forest.value[r][:] = rate * _leaf_quantiles(blocked, out_of, bins, tau, 2**depth, -spread, spread, residual)
     return forest
 
 
-def boosted_probabilities(stored: DataFrame, n_features: int, *, excluded: Sequence[Sequence[int]] = ((),), rounds: int = 10, depth: int = 3, rate: float = 0.3, bins: int = BINS, least: float = 5.0) -> Forest:
-    """Boosted log odds of a 0/1 target by Newton steps, one model for each entry of ``excluded``, which names the folds it doesn't see."""
+def boosted_probabilities(stored: DataFrame, n_features: int, *, excluded: Sequence[Sequence[int]] = ((),), rounds: int = 10, depth: int = 3, rate: float = 0.3, bins: int = BINS, least: float = 5.0, laid: tuple | None = None, widths: Sequence[int] | None = None) -> Forest:
+    """Boosted log odds of a 0/1 target by Newton steps, one model for each entry of ``excluded``, which names the folds it doesn't see.
+    ``laid`` are the rows' :func:`blocks`, where they are there already, ``widths`` the features' numbers of bins."""
     forest = Forest(depth, len(excluded), np.zeros(len(excluded)))
-    blocked, excluded = blocks(stored, excluded, bins, False)
+    blocked, excluded = laid or blocks(stored, excluded, bins, False)
 
     def gradients(b: Batch, m: int, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p, w = 1 / (1 + np.exp(-raw)), b.weight(m)
         return w * (b.y - p), w * p * (1 - p)
 
     for r in range(rounds):
-        g, h = grow_round(blocked, forest, gradients, n_features, bins + 1, excluded, least)
+        g, h = grow_round(blocked, forest, gradients, widths or [bins + 1] * n_features, excluded, least)
         forest.value[r][:] = rate * g / (h + SHRINK)
     return forest
 
@@ -391,17 +547,17 @@ def quantile_forest(stored: DataFrame, n_features: int, *, excluded: Sequence[in
         return w * (b.y - middle), w
 
     # Centred targets: the gain of squared sums is then that of the variance, whatever SHRINK is.
-    grow_round(blocked, forest, centred, n_features, bins + 1, out_of, least)
+    grow_round(blocked, forest, centred, [bins + 1] * n_features, out_of, least)
     leaves, width = 2**depth, len(cuts) + 1
 
     def add(b: Batch, totals: dict) -> None:
         cell = np.searchsorted(cuts, b.y, "left")
-        for t in range(trees):
+        for t in b.models:
             at, w = forest.nodes(b.x, 0, t, depth).astype(np.intp) * width + cell, b.weight(t)
             for s, v in enumerate((w, w * b.y)):
                 totals["sums"][s, t] += np.bincount(at, v, leaves * width).reshape(leaves, width)
 
-    w, wy = _summed(blocked, out_of, bins, (trees, leaves, width), add)
+    w, wy = summed(blocked, out_of, bins, (trees, leaves, width), add)
     total = w.sum((0, 1))
     values = np.where(total > 0, wy.sum((0, 1)) / np.maximum(total, 1e-300), np.concatenate([cuts, cuts[-1:] if len(cuts) else [0.0]]))
     return QuantileForest(forest, np.maximum.accumulate(values), w / np.maximum(w.sum(-1, keepdims=True), 1e-300))

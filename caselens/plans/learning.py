@@ -38,8 +38,8 @@ def _sizes(spark, d) -> DataFrame:
     return _kept(cases(spark, d).where(c("amount") > TOLERANCE).withColumn("size", F.ln("amount")).withColumn("fold", _fold()), "status", "size")
 
 
-def _stored(rows: DataFrame, target: str, known: DataFrame | None = None) -> DataFrame:
-    cuts = H.cut_points(rows if known is None else known, FEATURES)
+def _stored(rows: DataFrame, target: str, known: DataFrame) -> DataFrame:
+    cuts = H.cut_points(known, FEATURES)
     table = H.binned(rows, FEATURES, cuts, target=target, weight="weight", fold="fold", key=c("key"))
     # Read many times by tasks that compute: dealt evenly, once, in narrow rows.
     spark = rows.sparkSession
@@ -126,29 +126,42 @@ _BAND = "CAST(floor((weight - 1) / 13) AS INTEGER)"
 _STRATA_SQL = f"SELECT *, CAST((row_number() OVER (PARTITION BY y, band ORDER BY u, case_id) - 1) % 5 AS INTEGER) AS fold FROM (SELECT case_id, weight, CASE WHEN err > 0 THEN 1 ELSE 0 END AS y, {_BAND} AS band, {_hash_sql(chr(39) + 'fold' + chr(39), 'case_id')} AS u FROM cases)"
 
 
+STRATA = ["y", "band"]
+
+
 def _labelled(spark, d, *more: str) -> DataFrame:
+    """Cases with their label, weight band and the hash that deals them, stored."""
     rows = cases(spark, d).withColumn("y", (c("err") > 0).cast("int")).withColumn("band", F.floor((c("weight") - 1) / 13).cast("int"))
-    return V.stratified(rows.select("case_id", "weight", "y", "band", *[k for k in more if k != "weight"]), ["y", "band"], "case_id", FOLDS)
+    return V.hashed(rows.select("case_id", "weight", *STRATA, *more), "case_id")
 
 
 @query("ml02c_stratified_folds", with_tables(f"dealt AS ({_STRATA_SQL})", "SELECT fold, y, band, count(*) AS n, round(sum(weight), 6) AS weight FROM dealt GROUP BY ALL"))
 def ml02c(spark, d):
     """Folds dealt within strata of label and weight: counts differ by one at most."""
-    return _labelled(spark, d).groupBy("fold", "y", "band").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+    return V.dealt(_labelled(spark, d), STRATA, "case_id", FOLDS).groupBy("fold", "y", "band").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @query("ml02b_nested_calibration")
 def ml02b(spark, d):
     """Out-of-fold probabilities: boosted scores of models that left out the fold, calibrated by inner scores alone."""
     rows = _labelled(spark, d, *FEATURES)
-    rows = rows.withColumn("key", F.xxhash64("case_id"))
-    scored, _, _, _ = V.nested_scores(_stored(rows, "y"), len(FEATURES), FOLDS)
-    gap = lambda p: c("w") * (c(p) - c("y")) * (c(p) - c("y"))
-    table = scored.groupBy("fold").agg(
-        F.count("*").alias("n"), R.weighted_mean("y", "w").alias("observed"), R.weighted_mean("raw", "w").alias("raw"), R.weighted_mean("p", "w").alias("calibrated"),
-        (F.sum(gap("raw")) / F.sum("w")).alias("raw_brier"), (F.sum(gap("p")) / F.sum("w")).alias("brier"),
+    cuts = H.cut_points(rows, FEATURES)
+    # Dealt, binned and laid out in one step: ranges of hashes are spread over the tasks, and rows stay where they are.
+    narrow = H.plain(rows, FEATURES, target="y", weight="weight", key="case_id", more=[c("y").alias("label"), "band", "case_id", "_u"])
+    ordered, deal = V.in_turn(narrow, ["label", "band"], "case_id", FOLDS)
+    to_bins = H.binning(cuts)
+    scored, _, _, _ = V.nested_scores(ordered, len(FEATURES), FOLDS, read=lambda stream: to_bins(deal(stream)), widths=[len(k) + 2 for k in cuts])
+    # Rows of a fold and score count alike from here on: they are scored once and summed.
+    w, hit = c("w"), c("hit")
+    sums = store(scored.groupBy("fold", "raw", "p").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(w * c("y")).alias("hit")), "scores")
+    mean = lambda x: F.sum(x) / F.sum("w")
+    gap = lambda p: hit * (1 - c(p)) * (1 - c(p)) + (w - hit) * c(p) * c(p)
+    table = sums.groupBy("fold").agg(
+        F.sum("n").alias("n"), mean(hit).alias("observed"), mean(w * c("raw")).alias("raw"), mean(w * c("p")).alias("calibrated"),
+        mean(gap("raw")).alias("raw_brier"), mean(gap("p")).alias("brier"),
     )
-    auc = ranking_metrics(scored, ["fold"], "raw", "y", "w").select("fold", "auc")
+    share = F.when(w > 0, hit / w).otherwise(0.0)
+    auc = ranking_metrics(sums.withColumn("y", share), ["fold"], "raw", "y", "w").select("fold", "auc")
     return table.join(auc, "fold").select("fold", "n", *[F.round(x, 4).alias(x) for x in ("observed", "raw", "calibrated", "raw_brier", "brier", "auc")])
 
 

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from caselens.operators import boosting as H
@@ -225,3 +226,95 @@ def test_empty_training_rows(spark):
     empty = spark.createDataFrame([], "x array<int>, y double, w double, fold int, key long")
     assert H.boosted_quantiles(empty, 2, [0.5], rounds=1, bins=4).start.tolist() == [0.0]
     assert H.quantile_forest(empty, 2, trees=2, depth=1, bins=4).trees.feature[0].max() == -1
+
+
+def test_tables_of_leaves_equal_comparisons():
+    rng = np.random.default_rng(6)
+    widths = [5, 9, 3, 33, 12]
+    x = np.stack([rng.integers(0, k, 700) for k in widths]).astype(np.uint8)
+    for depth, rounds in ((1, 1), (2, 9), (3, 17), (4, 2)):
+        forest = H.Forest(depth, 2, rng.normal(size=2))
+        for _ in range(rounds):
+            forest.grow()
+            f = forest.feature[-1][:] = rng.integers(-1, len(widths), forest.feature[-1].shape)
+            forest.cut[-1][:] = rng.integers(0, np.array(widths)[f])
+            forest.missing_right[-1][:] = rng.random(f.shape) < 0.5
+            forest.value[-1][:] = rng.normal(size=forest.value[-1].shape)
+        for m in range(2):
+            for r in sorted({0, rounds // 2, rounds - 1}):
+                for level in range(depth + 1):
+                    raw, node = H.Walk(forest, r, level, widths)(H.Rows(x), m)
+                    assert np.array_equal(raw, forest.raw_of(x, m, r)) and np.array_equal(node, forest.nodes(x, r, m, level))
+
+
+def test_groups_of_features_hold_each_once_and_stay_small():
+    for widths in ([33] * 8, [33, 12, 10, 8, 26, 8, 28, 29], [9] * 3, [40000, 2], [257] * 5):
+        for nodes in (1, 4, 32):
+            groups = H.grouped(widths, nodes)
+            assert sorted(f for g in groups for f in g) == list(range(len(widths)))
+            assert all(len(g) == 1 or np.prod([widths[f] for f in g]) * max(nodes, 4) <= H.BLOCK for g in groups)
+
+
+def test_numbers_are_packed_without_loss():
+    for values, size in (([0, 1, 255], 1), ([0.5, -3, 2**24], 4), ([0.1, 1, 2], 8), ([float("nan"), 1, 2], 8), ([256, 0, 1], 4), ([1e300, 0, 0], 8)):
+        raw = H.packed(np.array(values))
+        back = H.unpacked(pa.py_buffer(raw), 3)
+        assert len(raw) == 3 * size and np.array_equal(back, np.array(values, float), equal_nan=True)
+
+
+def test_blocks_are_of_one_fold_where_models_differ(stored, monkeypatch):
+    df, x, rows = stored
+    monkeypatch.setattr(H, "BLOCK", 50)
+    blocked, rest = H.blocks(df, [(0,), (0, 1), (0, 2)], 8, False)
+    assert rest == [(), (1,), (2,)]
+    got = blocked.collect()
+    assert Counter(r.fold for r in got).keys() == {1, 2, 3} and max(r.n for r in got) <= 50
+    want = {r[3]: (tuple(b), r[0], r[1], r[2]) for b, r in zip(x, rows, strict=True) if r[2] != 0}
+    have = {}
+    for r in got:
+        bins, values = np.frombuffer(r.x, np.uint8).reshape(-1, r.n).T, [H.unpacked(pa.py_buffer(bytes(v)), r.n) for v in (r.y, r.w)]
+        for i, key in enumerate(np.frombuffer(r.key, np.int64)):
+            have[key] = (tuple(bins[i]), values[0][i], values[1][i], r.fold)
+    assert have == want
+    assert {r.fold for r in H.blocks(df, [(0,), (0,)], 8, False)[0].collect()} == {None}
+
+
+def test_rows_of_one_hash_are_dealt_by_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(V, "RANGE_ROWS", 100)
+    rng = np.random.default_rng(8)
+    rows = [(f"k{i}é" if i % 9 else f"{i}", bool(i % 7 == 0), int(i // 900), float(rng.integers(0, 40) / 40)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id string, y boolean, band int, _u double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        got = {r.id: r.fold for r in V.dealt(df, ["y", "band"], "id", 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, seen = {}, Counter()
+    for key, y, band, _ in sorted(rows, key=lambda r: (r[3], r[0].encode())):
+        want[key] = seen[y, band] % 5
+        seen[y, band] += 1
+    assert got == want
+
+
+def test_nested_scores_equal_a_plain_version(stored):
+    df, x, rows = stored
+    labelled = df.withColumn("y", (F.col("y") > 0.8).cast("double"))
+    got, levels, forest, out_of = V.nested_scores(labelled, 3, 4, rounds=3, depth=2, bins=8)
+    score = 1 / (1 + np.exp(-forest.raw(np.ascontiguousarray(x.T.astype(np.uint8)))))
+    y, w, fold = (np.array([r[i] for r in rows]) for i in range(3))
+    y = (y > 0.8).astype(float)
+    at = {frozenset(e): m for m, e in enumerate(out_of)}
+    for k in range(4):
+        weight, hit = np.zeros(V.SCORE_BINS), np.zeros(V.SCORE_BINS)
+        for i in range(len(rows)):
+            if fold[i] != k:
+                cell = min(int(score[i, at[frozenset((k, fold[i]))]] * V.SCORE_BINS), V.SCORE_BINS - 1)
+                weight[cell] += w[i]
+                hit[cell] += w[i] * y[i]
+        assert np.allclose(levels[k], H.pooled(weight, hit / np.maximum(weight, 1e-300)))
+    seen = {r.key: (r.y, r.w, r.fold, r.raw, r.p) for r in got.collect()}
+    for i, r in enumerate(rows):
+        raw = score[i, at[frozenset((fold[i],))]]
+        assert seen[r[3]] == pytest.approx((y[i], w[i], fold[i], raw, levels[fold[i]][min(int(raw * V.SCORE_BINS), V.SCORE_BINS - 1)]))
+    # The forest's seen rows and the scores come from blocks: the rows handed over are read by one job.
+    assert len(seen) == len(rows) and "blocks-" in got._jdf.queryExecution().executedPlan().toString()
