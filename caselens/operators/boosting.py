@@ -150,7 +150,7 @@ class Walk:
         self.forest, self.r, self.level, self.widths = forest, r, level, widths
         self.groups, self.trees, self.made = grouped(widths), r + (level > 0), {}
 
-    def _tables(self, m: int) -> tuple[list[np.ndarray], np.ndarray]:
+    def _tables(self, m: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         if m in self.made:
             return self.made[m]
         forest, bins = self.forest, np.arange(max(self.widths))
@@ -173,9 +173,13 @@ class Walk:
             for f in g[1:]:
                 table = (table[:, :, None] & open_[f][:, None, : self.widths[f]]).reshape(len(table), table.shape[1] * self.widths[f])
             tables.append(table)
-        values = np.zeros((self.r, 256))
-        for t in range(self.r):
-            values[t, 1 << np.arange(2**forest.depth)] = forest.value[t][m]
+        leaf, values = 1 << np.arange(2**forest.depth), []
+        for t in range(0, self.r - 1, 2):
+            values.append(np.zeros(1 << 16))
+            values[-1][leaf[:, None] | leaf << 8] = forest.value[t][m][:, None] + forest.value[t + 1][m]
+        if self.r % 2:
+            values.append(np.zeros(1 << 8))
+            values[-1][leaf] = forest.value[self.r - 1][m]
         self.made[m] = tables, values
         return self.made[m]
 
@@ -193,8 +197,10 @@ class Walk:
                 left &= table[word].take(rows.code(g, self.widths), mode="clip")
             leaves.append(left.astype("<u8", copy=False).view(np.uint8).reshape(n, WORD_TREES))
         raw = np.full(n, forest.start[m])
-        for t in range(self.r):
-            raw += values[t].take(leaves[t // WORD_TREES][:, t % WORD_TREES], mode="clip")
+        for i, value in enumerate(values):
+            word, t = divmod(2 * i, WORD_TREES)
+            # Two trees' bytes are one number; the last of an odd number of trees is alone.
+            raw += value.take(leaves[word].view("<u2")[:, t // 2] if len(value) > 256 else leaves[word][:, t], mode="clip")
         if not self.level:
             return raw, np.zeros(n, np.intp)
         node = np.zeros(256, np.intp)
@@ -393,8 +399,9 @@ def pick_splits(g: np.ndarray, h: np.ndarray, least: float) -> tuple[np.ndarray,
     return np.where(split, f, -1), cut + 1, right.astype(bool), *sides
 
 
-def _histograms(models: int, widths: Sequence[int], nodes: int, bins: int, of_row: Callable) -> tuple[Callable, Callable]:
+def _histograms(models: int, widths: Sequence[int], nodes: int, bins: int, of_row: Callable, counted: np.ndarray | None = None) -> tuple[Callable, Callable]:
     """``add`` and ``fold_up`` of sums by [model, feature, node, bin]; ``of_row(batch, m)`` gives rows' node and two values.
+    With ``counted``, by [model, node], only rows of these nodes are summed, of which each of ``nodes`` parents has one.
 
     While nodes are few, features are counted in groups, in fewer passes over a block's rows, and each feature's sums are
     those of its group over the other features.
@@ -405,9 +412,12 @@ def _histograms(models: int, widths: Sequence[int], nodes: int, bins: int, of_ro
     def add(b: Batch, totals: dict) -> None:
         for m in b.models:
             node, *values = of_row(b, m)
-            node = node.astype(np.intp, copy=False)
+            node, on = node.astype(np.intp, copy=False), slice(None)
+            if counted is not None:
+                on = np.flatnonzero(counted[m].take(node, mode="clip"))
+                node, values = node[on] >> 1, [v[on] for v in values]
             for i, (g, n) in enumerate(zip(groups, cells, strict=True)):
-                cell = b.code(g, widths)
+                cell = b.code(g, widths)[on]
                 if nodes > 1:
                     cell = cell + node * n
                 if (m, i) not in totals:
@@ -428,7 +438,8 @@ def _histograms(models: int, widths: Sequence[int], nodes: int, bins: int, of_ro
 
 
 def grow_round(blocked: DataFrame, forest: Forest, gradients: Callable, widths: Sequence[int], excluded: Sequence[Sequence[int]], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Grows one more tree of every model, a pass a level; returns the leaves' (g, h) sums."""
+    """Grows one more tree of every model, a pass a level; returns the leaves' (g, h) sums. Of two nodes that a split made
+    the lighter one's rows are summed, and the other's sums are what is left of the parent's."""
     forest.grow()
     r, models, n_features, bins = len(forest.feature) - 1, forest.models, len(widths), max(widths)
     for level in range(forest.depth):
@@ -438,11 +449,18 @@ def grow_round(blocked: DataFrame, forest: Forest, gradients: Callable, widths:
             raw, node = walk(b, m)
             return node, *gradients(b, m, raw)
 
-        add, fold_up = _histograms(models, widths, nodes, bins, of_row)
-        g, h = summed(blocked, excluded, bins, (models, n_features, nodes, bins), add, fold_up).swapaxes(2, 3)
-        f, cut, right, lg, lh, rg, rh = pick_splits(g, h, least)
+        parents = max(nodes // 2, 1)
+        right = rh < lh if level else None
+        counted = np.stack([~right, right], -1).reshape(models, nodes) if level else None
+        add, fold_up = _histograms(models, widths, parents, bins, of_row, counted)
+        sums = summed(blocked, excluded, bins, (models, n_features, parents, bins), add, fold_up).swapaxes(2, 3)
+        if level:
+            sides = np.stack([sums, whole - sums], 3)
+            sums = np.where(right[None, :, :, None, None, None], sides[:, :, :, ::-1], sides).reshape(2, models, nodes, n_features, bins)
+        whole = sums
+        f, cut, missing_right, lg, lh, rg, rh = pick_splits(*sums, least)
         at = slice(nodes - 1, 2 * nodes - 1)
-        forest.feature[r][:, at], forest.cut[r][:, at], forest.missing_right[r][:, at] = f, cut, right
+        forest.feature[r][:, at], forest.cut[r][:, at], forest.missing_right[r][:, at] = f, cut, missing_right
     return np.stack([lg, rg], -1).reshape(models, -1), np.stack([lh, rh], -1).reshape(models, -1)
 
 
